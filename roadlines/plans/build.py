@@ -27,7 +27,7 @@ def normalize(spark: SparkSession, cmap: ColumnMap) -> None:
     raw = spark.table("raw_bron_accidents")
     write_table(build_roads(spark.table("raw_nwb_wegvakken"),
                             spark.table("raw_nwb_wegvakgeografie"), cmap),
-                "roads_norm", "road_number_norm")
+                "roads_norm", ["road_number_norm", "wegvak_id"])
     roads = spark.table("roads_norm")
     write_table(target_subset(roads), "roads_a2_norm")
     write_table(build_points(spark.table("raw_nwb_puntlocaties"),
@@ -35,7 +35,7 @@ def normalize(spark: SparkSession, cmap: ColumnMap) -> None:
     write_table(stage_accidents(raw, cmap), "accidents_staging")
     located = locate_accidents(spark.table("accidents_staging"), roads,
                                spark.table("road_points_norm"), casualties=True)
-    write_table(located, "accidents_norm", "road_number_norm")
+    write_table(located, "accidents_norm", ["road_number_norm", "accident_id"])
     accidents = spark.table("accidents_norm")
     write_table(target_subset(accidents), "accidents_a2_norm")
     require_same_count(raw, accidents)

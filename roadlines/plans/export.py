@@ -73,15 +73,14 @@ def serving_tables(tables: dict[str, DataFrame], roads: Sequence[str],
 
 
 def export_serving(tables: dict[str, DataFrame], dst: str, roads: Sequence[str]) -> DataFrame:
-    """Write the serving tables (by road where they have one); returns rows per table."""
+    """Write the serving tables (ordered by road where they have one); returns rows per table."""
     reduced = serving_tables(tables, roads)
     counts = None
     for name, df in reduced.items():
-        writer = df.write.mode("overwrite")
         if "road_number_norm" in df.columns:
-            writer = df.hint("rebalance", "road_number_norm").write.mode("overwrite").partitionBy(
-                "road_number_norm")
-        writer.parquet(f"{dst}/{name}")
+            order = ["road_number_norm", "wegvak_id"]
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.write.mode("overwrite").parquet(f"{dst}/{name}")
         one = df.sparkSession.read.schema(df.schema).parquet(f"{dst}/{name}").agg(
             F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         counts = one if counts is None else counts.unionByName(one)
