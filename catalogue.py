@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from fixtures import Tables
 from roadlines.config import AppConfig, ColumnMap
 from roadlines.functions import geometry as geo
-from roadlines.functions.projection import rd_to_wgs84, wgs84_to_rd
 from roadlines.operators import accidents as ac
 from roadlines.operators import bins as bn
 from roadlines.operators import chain as ch
@@ -65,6 +64,11 @@ class Network:
     def accidents(self) -> DataFrame:
         return ac.locate_accidents(self.staging, self.roads, self.points, casualties=True)
 
+    @cached_property
+    def counted(self) -> DataFrame:
+        """Accidents with their road; enough for everything along the official km."""
+        return ac.accident_roads(self.staging, self.roads)
+
     @cached_property
     def intervals(self) -> DataFrame:
         return ac.intervals_of(self.raw.hectointervallen, self.cmap)
@@ -83,7 +87,7 @@ class Network:
 
     def bins(self, **options) -> DataFrame:
         options = {"geometry": False, **options}
-        return lb.road_bins(self.roads, self.accidents, self.intervals, **options)
+        return lb.road_bins(self.roads, self.counted, self.intervals, **options)
 
     @cached_property
     def sized_bins(self) -> DataFrame:
@@ -155,7 +159,7 @@ def orient_measures(n: Network) -> DataFrame:
 
 @query
 def roads_norm(n: Network) -> DataFrame:
-    g = F.col("geom_wgs84")
+    g = "geom_wgs84"
     return n.roads.select("wegvak_id", "road_number_norm", r("length_m", 4).alias("length_m"),
                           geo.start(g).alias("a"), geo.end(g).alias("z")).select(
         "wegvak_id", "road_number_norm", "length_m",
@@ -209,7 +213,7 @@ def accidents_direct_xy(n: Network) -> DataFrame:
 
 @query
 def casualties(n: Network) -> DataFrame:
-    bare = n.accidents.drop("fatal_count", "injury_count")
+    bare = n.counted.drop("fatal_count", "injury_count")
     return flt.on_road(ac.attach_casualties(bare, n.staging), None).groupBy("road_number_norm").agg(
         F.sum("fatal_count").alias("deaths"), F.sum("injury_count").alias("injuries"))
 
@@ -218,18 +222,18 @@ def casualties(n: Network) -> DataFrame:
 
 @query
 def line_length(n: Network) -> DataFrame:
-    return n.lines.select("fk_veld1", r(geo.length(F.col("geom"))).alias("length_m"))
+    return n.lines.select("fk_veld1", r(geo.length("geom")).alias("length_m"))
 
 
 @query
 def line_centroid(n: Network) -> DataFrame:
-    return n.lines.select("fk_veld1", geo.centroid(F.col("geom")).alias("c")).select(
+    return n.lines.select("fk_veld1", geo.centroid("geom").alias("c")).select(
         "fk_veld1", *xy("c", 6, "cx", "cy"))
 
 
 @query
 def line_envelope(n: Network) -> DataFrame:
-    return n.lines.select("fk_veld1", geo.envelope(F.col("geom")).alias("b")).select(
+    return n.lines.select("fk_veld1", geo.envelope("geom").alias("b")).select(
         "fk_veld1", "b.*")
 
 
@@ -238,31 +242,31 @@ def line_interpolate(n: Network) -> DataFrame:
     fractions = F.array(*[F.lit(f) for f in (0.0, 0.25, 0.5, 0.9, 1.0)])
     return (n.lines.withColumn("fraction", F.explode(fractions))
             .select("fk_veld1", "fraction",
-                    geo.interpolate(F.col("geom"), F.col("fraction")).alias("p"))
+                    geo.interpolate("geom", "fraction").alias("p"))
             .select("fk_veld1", "fraction", *xy("p")))
 
 
 @query
 def line_locate(n: Network) -> DataFrame:
     """Fraction and distance of a point beside the line (its centroid, moved)."""
-    placed = n.lines.withColumn("c", geo.centroid(F.col("geom"))).withColumn(
-        "p", geo.point(F.col("c.x") + 37.0, F.col("c.y") - 11.0))
-    g, p = F.col("geom"), F.col("p")
+    placed = n.lines.withColumn("c", geo.centroid("geom")).withColumn(
+        "p", geo.point("c.x + 37D", "c.y - 11D"))
+    g, p = "geom", "p"
     return placed.select("fk_veld1", r(geo.locate(g, p)).alias("fraction"),
                          r(geo.distance(g, p)).alias("dist"))
 
 
 @query
 def line_substring(n: Network) -> DataFrame:
-    piece = geo.substring(F.col("geom"), F.lit(0.2), F.lit(0.75))
+    piece = geo.substring("geom", "0.2D", "0.75D")
     return n.lines.select("fk_veld1", piece.alias("g")).select(
-        "fk_veld1", r(geo.length(F.col("g")), 4).alias("length_m"),
+        "fk_veld1", r(geo.length("g"), 4).alias("length_m"),
         F.size("g").alias("vertices"))
 
 
 @query
 def line_shape(n: Network) -> DataFrame:
-    g = F.col("geom")
+    g = "geom"
     return n.lines.select(
         "fk_veld1", geo.geometry_type(g).alias("geometry_type"), geo.is_valid(g).alias("valid"),
         geo.start(g)["x"].alias("x_start"), geo.start(g)["y"].alias("y_start"),
@@ -271,8 +275,8 @@ def line_shape(n: Network) -> DataFrame:
 
 @query
 def rd_to_wgs84_round_trip(n: Network) -> DataFrame:
-    wgs = n.lines.withColumn("w", rd_to_wgs84(F.col("geom"))).withColumn(
-        "b", wgs84_to_rd(F.col("w")))
+    wgs = n.lines.withColumn("w", geo.rd_to_wgs84("geom")).withColumn(
+        "b", geo.wgs84_to_rd("w"))
     both = F.posexplode(F.arrays_zip("w", "b")).alias("seq", "v")
     return wgs.select("fk_veld1", both).select(
         "fk_veld1", "seq", *xy("v.w", 7, "lon", "lat"), *xy("v.b", 2, "x_back", "y_back"))
@@ -281,8 +285,8 @@ def rd_to_wgs84_round_trip(n: Network) -> DataFrame:
 @query
 def line_geojson(n: Network) -> DataFrame:
     """GeoJSON text of each line, read back to vertices."""
-    text = n.lines.withColumn("t", geo.as_geojson(F.col("geom")))
-    parts = text.withColumn("parts", geo.from_geojson_line(F.col("t")))
+    text = n.lines.withColumn("t", geo.as_geojson("geom"))
+    parts = text.withColumn("parts", geo.from_geojson_line("t"))
     one = geo.dump(parts.select("fk_veld1", "t", "parts"), "parts", "g")
     return one.select("fk_veld1", F.get_json_object("t", "$.type").alias("type"),
                       F.posexplode("g").alias("seq", "v")).select(
@@ -334,15 +338,14 @@ def bins_clip(n: Network) -> DataFrame:
     clips = bn.clip_segments(segments.where(F.col("end_km") != F.col("beg_km")), grid,
                              "beg_km", "end_km")
     return clips.select("road_number", "bin_idx", "wegvak_id", r("beg_km", 4).alias("beg_km"),
-                        r(geo.length(F.col("geom_clip")), 4).alias("clip_m"))
+                        r(geo.length("geom_clip"), 4).alias("clip_m"))
 
 
 @query
 def bins_geometry(n: Network) -> DataFrame:
-    parts = F.col("geom_parts")
     return n.drawn_bins.select("bin_id", "geometry_quality",
-                               r(geo.parts_length(parts), 3).alias("drawn_m"),
-                               F.size(parts).alias("n_parts"))
+                               r(geo.parts_length("geom_parts"), 3).alias("drawn_m"),
+                               F.size("geom_parts").alias("n_parts"))
 
 
 @query
@@ -375,27 +378,27 @@ def bin_ribbons(n: Network) -> DataFrame:
     ribbons = cl.bin_ribbons(parts.join(
         dense.select("bin_id", *lb.KEYS, "density_per_km_year"), list(lb.KEYS)))
     return ribbons.select("bin_id", r("extrusion_height_m", 3).alias("extrusion_height_m"),
-                          geo.as_geojson(F.array("polygon"), "parts").alias("ring"))
+                          geo.as_geojson("polygon").alias("ring"))
 
 
 @query
 def scored_accidents(n: Network) -> DataFrame:
-    return lb.scored_accidents(flt.on_road(n.accidents, None), n.roads, n.intervals).select(
+    return lb.scored_accidents(flt.on_road(n.counted, None), n.roads, n.intervals).select(
         "accident_id", "road_number_norm", "road_km")
 
 
 @query
 def accidents_per_km(n: Network) -> DataFrame:
-    return flt.has_km(lb.accidents_per_km(n.accidents, n.roads, n.intervals))
+    return flt.has_km(lb.accidents_per_km(n.counted, n.roads, n.intervals))
 
 
 @query
 def corridor_per_km(n: Network) -> DataFrame:
-    return lb.corridor_per_km(n.accidents, n.roads, n.intervals, 15.0, 45.0)
+    return lb.corridor_per_km(n.counted, n.roads, n.intervals, 15.0, 45.0)
 
 
 def _a2_per_km(n: Network) -> DataFrame:
-    return lb.accidents_per_km(n.accidents, n.roads, n.intervals, "A2", 1996, 2000)
+    return lb.accidents_per_km(n.counted, n.roads, n.intervals, "A2", 1996, 2000)
 
 
 @query
@@ -410,7 +413,7 @@ def head_km(n: Network) -> DataFrame:
 
 @query
 def year_span(n: Network) -> DataFrame:
-    return lb.year_span(n.accidents)
+    return lb.year_span(n.counted)
 
 
 # ---- listings, summaries, distributions --------------------------------------------------
@@ -431,7 +434,7 @@ def road_meta(n: Network) -> DataFrame:
 
 @query
 def roads_summary(n: Network) -> DataFrame:
-    s = st.roads_summary(n.accidents, n.roads, n.intervals, CFG)
+    s = st.roads_summary(n.counted, n.roads, n.intervals, CFG)
     return s.withColumns({c: r(c) for c in ("xmin", "ymin", "xmax", "ymax")})
 
 
@@ -441,7 +444,7 @@ def road_search(n: Network) -> DataFrame:
 
 
 def _on_roads(n: Network) -> DataFrame:
-    return flt.on_road(n.accidents, None)
+    return flt.on_road(n.counted, None)
 
 
 @query
@@ -456,7 +459,7 @@ def stats_by_severity(n: Network) -> DataFrame:
 
 @query
 def stats_by_quality(n: Network) -> DataFrame:
-    return st.by_count(st.count_by(_on_roads(n), "location_quality"), "location_quality")
+    return st.by_count(st.count_by(flt.on_road(n.accidents, None), "location_quality"), "location_quality")
 
 
 @query
@@ -466,7 +469,7 @@ def severity_labelled(n: Network) -> DataFrame:
 
 @query
 def severities(n: Network) -> DataFrame:
-    return st.severities(n.accidents)
+    return st.severities(n.counted)
 
 
 @query
@@ -534,7 +537,7 @@ def chain_bins(n: Network) -> DataFrame:
 def chain_clips(n: Network) -> DataFrame:
     clips = cb.chain_clips(n.chain, n.chain_grid)
     return clips.select("road_number", "bin_size_km", "bin_idx", "wegvak_id",
-                        r(geo.length(F.col("geom_clip")), 3).alias("clip_m"))
+                        r(geo.length("geom_clip"), 3).alias("clip_m"))
 
 
 @query

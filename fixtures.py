@@ -90,6 +90,16 @@ _SPARK_TWICE = "LATERAL VIEW explode(array(0, 1)) t AS k"
 _DUCK_TWICE = "CROSS JOIN (VALUES (0), (1)) t(k)"
 
 
+# read with a given schema, so that planning opens no file
+SCHEMAS = {
+    "part": "p_partkey bigint, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp, "
+              "o_orderpriority string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+}
+
+
 class Tables:
     """Raw tables as DataFrames, one attribute per table, read when first asked for."""
 
@@ -107,7 +117,7 @@ class Tables:
         if text is None:
             raise AttributeError(name)
         table = text.split("{", 1)[1].split("}", 1)[0]
-        base = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        base = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.sf_dir}/{table}.parquet")
         frame = self.spark.sql(text.replace("{twice}", _SPARK_TWICE), **{table: base})
         setattr(self, name, frame)
         return frame

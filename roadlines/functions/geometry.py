@@ -1,8 +1,7 @@
-"""Geometry as nested columns: a point is struct(x, y), a line is array(point).
+"""Geometry as Column functions: `length("geom")`, `interpolate("geom", "fraction")`, ...
 
-Everything here is a Column expression, so geometry work stays inside the JVM and is
-visible to the optimizer. Values needed in every step of a fold are carried in its state;
-a lambda that named an outer expression would evaluate it again for each vertex.
+Arguments are column names or SQL expression text; results are Columns that stay inside the
+JVM. The formulas are in `shapes`.
 """
 
 from __future__ import annotations
@@ -10,205 +9,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlines.functions.projection import rd_to_wgs84
+from roadlines.functions import shapes as sh
+from roadlines.functions.shapes import LINE_TYPE, MULTILINE_TYPE, POINT_TYPE
 
-POINT_TYPE = "struct<x:double,y:double>"
-LINE_TYPE = f"array<{POINT_TYPE}>"
-MULTILINE_TYPE = f"array<{LINE_TYPE}>"
+__all__ = ["LINE_TYPE", "MULTILINE_TYPE", "POINT_TYPE"]
 
 
-def point(x: Column, y: Column) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"))
+def point(x: str, y: str) -> Column:
+    return F.expr(sh.point(x, y))
 
 
-def start(g: Column) -> Column:
-    return F.get(g, F.lit(0))
+def start(g: str) -> Column:
+    return F.expr(sh.start(g))
 
 
-def end(g: Column) -> Column:
-    return F.get(g, F.size(g) - 1)
+def end(g: str) -> Column:
+    return F.expr(sh.end(g))
 
 
-def edges(g: Column) -> Column:
-    """Consecutive vertex pairs with their length."""
-    n = F.greatest(F.size(g) - 1, F.lit(0))
+def edges(g: str) -> Column:
+    return F.expr(sh.edges(g))
 
-    def edge(a: Column, b: Column) -> Column:
-        return F.struct(
-            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"),
-            gap(a, b).alias("len"))
 
-    return F.zip_with(F.slice(g, F.lit(1), n), F.slice(g, F.lit(2), n), edge)
+def gap(a: str, b: str) -> Column:
+    """Distance between two points."""
+    return F.expr(sh.gap(a, b))
 
 
-def gap(a: Column, b: Column) -> Column:
-    """Distance between two points."""
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    return F.sqrt(dx * dx + dy * dy)
-
-
-def length(g: Column) -> Column:
-    return F.aggregate(edges(g), F.lit(0.0), lambda total, e: total + e["len"])
-
-
-def parts_length(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0.0), lambda total, g: total + length(g))
-
-
-def interpolate(g: Column, fraction: Column) -> Column:
-    """Point at a fraction of the length; the caller clamps the fraction to 0..1."""
-    def step(s: Column, e: Column) -> Column:
-        t = F.when(e["len"] > 0, F.least((s["goal"] - s["at"]) / e["len"], F.lit(1.0))).otherwise(0.0)
-        reached = s["goal"] >= s["at"]
-        return F.struct(
-            s["goal"].alias("goal"),
-            (s["at"] + e["len"]).alias("at"),
-            F.when(reached, e["x1"] + t * (e["x2"] - e["x1"])).otherwise(s["x"]).alias("x"),
-            F.when(reached, e["y1"] + t * (e["y2"] - e["y1"])).otherwise(s["y"]).alias("y"))
-
-    first = start(g)
-    walked = F.aggregate(
-        edges(g),
-        F.struct((length(g) * fraction).alias("goal"), F.lit(0.0).alias("at"),
-                 first["x"].alias("x"), first["y"].alias("y")),
-        step,
-        lambda s: point(s["x"], s["y"]))
-    return (
-        F.when(g.isNull() | fraction.isNull(), None)
-        .when(fraction <= 0, first)
-        .when(fraction >= 1, end(g))
-        .otherwise(walked))
-
-
-def closest(g: Column, p: Column) -> Column:
-    """struct(dist, along, total): distance to the line, measure of the foot point, line length."""
-    def step(s: Column, e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        raw = ((p["x"] - e["x1"]) * dx + (p["y"] - e["y1"]) * dy) / (dx * dx + dy * dy)
-        t = F.when(e["len"] > 0, F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-        qx = F.when(t >= 1, e["x2"]).otherwise(e["x1"] + t * dx) - p["x"]
-        qy = F.when(t >= 1, e["y2"]).otherwise(e["y1"] + t * dy) - p["y"]
-        d = F.sqrt(qx * qx + qy * qy)
-        nearer = d < s["dist"]
-        return F.struct(
-            F.when(nearer, d).otherwise(s["dist"]).alias("dist"),
-            F.when(nearer, s["total"] + t * e["len"]).otherwise(s["along"]).alias("along"),
-            (s["total"] + e["len"]).alias("total"))
-
-    # a line with a single vertex has no edges; its distance is that to the vertex
-    seed = F.struct(F.lit(float("inf")).alias("dist"), F.lit(0.0).alias("along"),
-                    F.lit(0.0).alias("total"))
-    folded = F.aggregate(edges(g), seed, step)
-    lone = F.struct(gap(start(g), p).alias("dist"), F.lit(0.0).alias("along"),
-                    F.lit(0.0).alias("total"))
-    return F.when(g.isNull() | p.isNull(), None).when(F.size(g) == 1, lone).otherwise(folded)
-
-
-def locate(g: Column, p: Column) -> Column:
+def length(g: str) -> Column:
+    return F.expr(sh.length(g))
+
+
+def parts_length(parts: str) -> Column:
+    return F.expr(sh.parts_length(parts))
+
+
+def interpolate(g: str, fraction: str) -> Column:
+    return F.expr(sh.interpolate(g, fraction))
+
+
+def closest(g: str, p: str) -> Column:
+    return F.expr(sh.closest(g, p))
+
+
+def locate(g: str, p: str) -> Column:
     """Fraction of the length at which the line is closest to the point."""
     c = closest(g, p)
     return F.when(c["total"] > 0, c["along"] / c["total"]).when(c["total"].isNotNull(), 0.0)
 
 
-def distance(g: Column, p: Column) -> Column:
+def distance(g: str, p: str) -> Column:
     return closest(g, p)["dist"]
 
 
-def substring(g: Column, lo: Column, hi: Column) -> Column:
-    """Line between two fractions of its length; NULL when the span is empty or reversed."""
-    def step(s: Column, e: Column) -> Column:
-        at = s["at"] + e["len"]
-        inside = (at > s["lo"]) & (at < s["hi"])
-        return F.struct(
-            s["lo"].alias("lo"), s["hi"].alias("hi"), at.alias("at"),
-            F.when(inside, F.array_append(s["kept"], point(e["x2"], e["y2"])))
-            .otherwise(s["kept"]).alias("kept"))
-
-    total = length(g)
-    none = F.array().cast(LINE_TYPE)
-    kept = F.aggregate(
-        edges(g),
-        F.struct((total * lo).alias("lo"), (total * hi).alias("hi"), F.lit(0.0).alias("at"),
-                 none.alias("kept")),
-        step,
-        lambda s: s["kept"])
-    cut = F.concat(F.array(interpolate(g, lo)), kept, F.array(interpolate(g, hi)))
-    return (
-        F.when(g.isNull() | lo.isNull() | hi.isNull() | (lo >= hi), None)
-        .when((lo <= 0) & (hi >= 1), g)
-        .otherwise(cut))
-
-
-def centroid(g: Column) -> Column:
-    """Edge midpoints weighted by edge length; the first vertex for a line without length."""
-    def step(s: Column, e: Column) -> Column:
-        return F.struct(
-            (s["x"] + e["len"] * (e["x1"] + e["x2"]) / 2.0).alias("x"),
-            (s["y"] + e["len"] * (e["y1"] + e["y2"]) / 2.0).alias("y"),
-            (s["len"] + e["len"]).alias("len"))
-
-    first = start(g)
-    seed = F.struct(*[F.lit(0.0).alias(n) for n in ("x", "y", "len")])
-    return F.aggregate(
-        edges(g), seed, step,
-        lambda s: F.when(s["len"] > 0, point(s["x"] / s["len"], s["y"] / s["len"]))
-        .otherwise(first))
-
-
-def envelope(g: Column) -> Column:
-    xs = F.transform(g, lambda v: v["x"])
-    ys = F.transform(g, lambda v: v["y"])
-    return F.when(g.isNotNull(), F.struct(
-        F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"),
-        F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax")))
-
-
-def is_valid(g: Column) -> Column:
-    """Finite coordinates and at least two distinct vertices."""
-    finite = F.forall(g, lambda v: v["x"].isNotNull() & v["y"].isNotNull()
-                      & (F.abs(v["x"]) < float("inf")) & (F.abs(v["y"]) < float("inf")))
-    return finite & (F.size(F.array_distinct(g)) >= 2)
-
-
-def geometry_type(g: Column, kind: str = "line") -> Column:
+def substring(g: str, lo: str, hi: str) -> Column:
+    return F.expr(sh.substring(g, lo, hi))
+
+
+def centroid(g: str) -> Column:
+    return F.expr(sh.centroid(g))
+
+
+def envelope(g: str) -> Column:
+    return F.expr(sh.envelope(g))
+
+
+def is_valid(g: str) -> Column:
+    return F.expr(sh.is_valid(g))
+
+
+def geometry_type(g: str, kind: str = "line") -> Column:
     """Type label; `kind` says how the column is stored: point, line or parts."""
-    label = {"point": F.lit("Point"), "line": F.lit("LineString"),
-             "parts": F.when(F.size(g) == 1, "LineString").otherwise("MultiLineString")}[kind]
-    return F.when(g.isNotNull(), label)
+    return F.expr(sh.geometry_type(g, kind))
+
+
+def as_geojson(g: str, kind: str = "line") -> Column:
+    return F.expr(sh.as_geojson(g, kind))
+
 
+def from_geojson_line(text: str) -> Column:
+    return F.expr(sh.from_geojson_line(text))
 
-def _xy(v: Column) -> Column:
-    return F.array(v["x"], v["y"])
 
+def rd_point_to_wgs84(p: str) -> Column:
+    return F.expr(sh.rd_point_to_wgs84(f"{p}.x", f"{p}.y"))
 
-def as_geojson(g: Column, kind: str = "line") -> Column:
-    """GeoJSON text of a point, a line, or line parts (one part gives a LineString)."""
-    def text(label: str, coordinates: Column) -> Column:
-        return F.to_json(F.struct(F.lit(label).alias("type"), coordinates.alias("coordinates")))
 
-    if kind == "point":
-        body = text("Point", _xy(g))
-    elif kind == "line":
-        body = text("LineString", F.transform(g, _xy))
-    else:
-        body = F.when(F.size(g) == 1, text("LineString", F.transform(F.get(g, F.lit(0)), _xy))
-                      ).otherwise(text("MultiLineString",
-                                       F.transform(g, lambda part: F.transform(part, _xy))))
-    return F.when(g.isNotNull(), body)
+def rd_to_wgs84(g: str) -> Column:
+    """A line in RD metres as a line in degrees."""
+    return F.expr(sh.rd_to_wgs84(g))
 
 
-def from_geojson_line(text: Column) -> Column:
-    """Line parts of LineString or MultiLineString text, NULL for anything else."""
-    kind = F.get_json_object(text, "$.type")
-    body = F.get_json_object(text, "$.coordinates")
-    one = F.from_json(body, "array<array<double>>")
-    many = F.from_json(body, "array<array<array<double>>>")
+def wgs84_to_rd(g: str) -> Column:
+    return F.expr(sh.wgs84_to_rd(g))
 
-    def line(pairs: Column) -> Column:
-        return F.transform(pairs, lambda c: point(F.get(c, F.lit(0)), F.get(c, F.lit(1))))
 
-    return (F.when(kind == "LineString", F.array(line(one)))
-            .when(kind == "MultiLineString", F.transform(many, line)))
+def parts_to_wgs84(parts: str) -> Column:
+    return F.expr(sh.parts_to_wgs84(parts))
 
 
 def dump(df: DataFrame, parts: str = "parts", out: str = "geom") -> DataFrame:
@@ -221,22 +118,7 @@ def ribbon(df: DataFrame, geom: str = "geom", half_width: float = 15.0,
            out: str = "polygon") -> DataFrame:
     """Polygon of `half_width` metres on both sides of an RD line, in degrees.
 
-    Vertices move along the mean normal of the adjoining edges. Lines with fewer than two
-    vertices are skipped.
+    Lines with fewer than two vertices are skipped.
     """
-    g = F.col(geom)
-
-    def offset(side: float) -> Column:
-        def moved(v: Column, i: Column) -> Column:
-            before = F.get(g, F.greatest(i - 1, F.lit(0)))
-            after = F.get(g, F.least(i + 1, F.size(g) - 1))
-            span = F.nullif(gap(before, after), F.lit(0.0))
-            nx = F.coalesce((before["y"] - after["y"]) / span, F.lit(0.0))
-            ny = F.coalesce((after["x"] - before["x"]) / span, F.lit(0.0))
-            return point(v["x"] + side * nx, v["y"] + side * ny)
-
-        return F.transform(g, moved)
-
-    left, right = offset(half_width), F.reverse(offset(-half_width))
-    ring = F.concat(left, right, F.slice(left, 1, 1))
-    return df.where(F.size(g) >= 2).withColumn(out, rd_to_wgs84(ring))
+    ring = df.where(F.size(geom) >= 2).withColumn(out, F.expr(sh.ribbon(geom, half_width)))
+    return ring.withColumn(out, rd_to_wgs84(out))

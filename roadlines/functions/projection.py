@@ -1,10 +1,7 @@
-"""RD New <-> WGS84 by the published Schreutelkamp & Strang van Hees polynomials."""
+"""Constants of the published Schreutelkamp & Strang van Hees polynomials (RD New <-> WGS84)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Origin and polynomial coefficients (power of dx, power of dy, factor).
 RD_ORIGIN = (155000.0, 463000.0)
 WGS_ORIGIN = (52.15517440, 5.38720621)
@@ -27,48 +24,3 @@ Y_TERMS = (
     (3, 0, 59.788), (0, 1, 0.433), (2, 2, -6.439), (1, 1, -0.032), (0, 4, 0.092), (1, 4, -0.054),
 )
 # End of fixed values.
-
-
-def _polynomial(terms: tuple[tuple[int, int, float], ...], u: Column, v: Column) -> Column:
-    """Sum of the terms, nested by the power of u so that each power is multiplied once."""
-    by_power: dict[int, dict[int, float]] = {}
-    for p, q, factor in terms:
-        by_power.setdefault(p, {})[q] = factor
-
-    def nested(factors: dict[int, Column | float], x: Column) -> Column:
-        total: Column = F.lit(0.0)
-        for power in range(max(factors), -1, -1):
-            total = total * x + (factors[power] if power in factors else 0.0)
-        return total
-
-    return nested({p: nested(inner, v) for p, inner in by_power.items()}, u)
-
-
-def rd_point_to_wgs84(x: Column, y: Column) -> Column:
-    """struct(x = longitude, y = latitude); NULL in, NULL out."""
-    dx = (x - RD_ORIGIN[0]) * 1e-5
-    dy = (y - RD_ORIGIN[1]) * 1e-5
-    lon = WGS_ORIGIN[1] + _polynomial(LON_TERMS, dx, dy) / 3600.0
-    lat = WGS_ORIGIN[0] + _polynomial(LAT_TERMS, dx, dy) / 3600.0
-    return F.when(x.isNotNull() & y.isNotNull(), F.struct(lon.alias("x"), lat.alias("y")))
-
-
-def wgs84_point_to_rd(lon: Column, lat: Column) -> Column:
-    dlat = (lat - WGS_ORIGIN[0]) * 0.36
-    dlon = (lon - WGS_ORIGIN[1]) * 0.36
-    x = RD_ORIGIN[0] + _polynomial(X_TERMS, dlat, dlon)
-    y = RD_ORIGIN[1] + _polynomial(Y_TERMS, dlat, dlon)
-    return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
-
-
-def rd_to_wgs84(g: Column) -> Column:
-    """A line in RD metres as a line in degrees."""
-    return F.transform(g, lambda v: rd_point_to_wgs84(v["x"], v["y"]))
-
-
-def wgs84_to_rd(g: Column) -> Column:
-    return F.transform(g, lambda v: wgs84_point_to_rd(v["x"], v["y"]))
-
-
-def parts_to_wgs84(parts: Column) -> Column:
-    return F.transform(parts, rd_to_wgs84)

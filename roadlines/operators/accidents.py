@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from roadlines.config import HM_PER_KM, MAX_ACCIDENT_POINTS, ColumnMap
 from roadlines.functions import geometry as geo
-from roadlines.functions.projection import rd_point_to_wgs84
 from roadlines.functions.text import filled, safe_date, safe_double, safe_int
 from roadlines.operators import filters as flt
 from roadlines.operators.filters import role
@@ -68,10 +67,10 @@ def locate_accidents(staging: DataFrame, roads: DataFrame, points: DataFrame,
                    by_measure).otherwise(by_length)
     clamped = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
     # one interpolation serves both line-based sources
-    fraction = F.when(F.col("hm").isNotNull(), clamped).otherwise(0.5)
+    joined = joined.withColumn("_share", F.when(F.col("hm").isNotNull(), clamped).otherwise(0.5))
     spot = F.coalesce(
         F.col("geom_direct"), F.col("point_geom"),
-        F.when(has_line, geo.interpolate(F.col("seg_geom"), fraction)))
+        F.when(has_line, geo.interpolate("seg_geom", "_share")))
     quality = (
         F.when(F.col("geom_direct").isNotNull(), "direct_xy")
         .when(F.col("point_geom").isNotNull(), "puntlocatie")
@@ -86,10 +85,19 @@ def locate_accidents(staging: DataFrame, roads: DataFrame, points: DataFrame,
         "hm", spot.alias("geom_rd"), quality.alias("location_quality"),
         F.coalesce("is_target_a2", F.lit(False)).alias("is_target_a2"), *extra)
     at = placed.columns.index("geom_rd") + 1
-    wgs = rd_point_to_wgs84(F.col("geom_rd")["x"], F.col("geom_rd")["y"]).alias("geom_wgs84")
+    wgs = geo.rd_point_to_wgs84("geom_rd").alias("geom_wgs84")
     return placed.select(*placed.columns[:at], wgs, *placed.columns[at:])
 
 
+def accident_roads(staging: DataFrame, roads: DataFrame) -> DataFrame:
+    """Accidents with the road of their segment but without a location.
+
+    Counts along the official km need no geometry, so neither lines nor points are joined.
+    """
+    segment = roads.select("wegvak_id", "road_number_norm", "is_target_a2")
+    return staging.drop("road_number_norm", "geom_direct").join(segment, "wegvak_id", "left")
+
+
 def attach_casualties(accidents: DataFrame, staging: DataFrame | None) -> DataFrame:
     """Death and injury counts by accident id; kept as they are when already present."""
     if {"fatal_count", "injury_count"} <= set(accidents.columns):
@@ -191,4 +199,4 @@ def road_accidents(accidents: DataFrame, roads: DataFrame, road: str,
     listed = on_segments(chosen, roads, main_road_only, direction)
     return limit_points(listed, limit).select(
         "accident_id", "accident_year", "severity", "location_quality", "road_number_norm",
-        geo.as_geojson(F.col("geom_wgs84"), "point").alias("geojson"))
+        geo.as_geojson("geom_wgs84", "point").alias("geojson"))

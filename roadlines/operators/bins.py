@@ -117,7 +117,7 @@ def clip_segments(segments: DataFrame, grid: DataFrame, lo: str, hi: str, geom:
         finish = (F.least("bin_end", hi) - F.col(lo)) / divisor
     fractions = overlaps.withColumns({
         "_from": F.greatest(F.lit(0.0), begin), "_to": F.least(F.lit(1.0), finish)})
-    return (fractions.withColumn("geom_clip", geo.substring(F.col(geom), F.col("_from"), F.col("_to")))
+    return (fractions.withColumn("geom_clip", geo.substring(geom, "_from", "_to"))
             .where(F.col("geom_clip").isNotNull()).drop("_from", "_to", geom))
 
 

@@ -24,7 +24,7 @@ def drawn_segments(roads: DataFrame, direction: str | None = GEOMETRY_DIRECTION,
 
 
 def with_centroid(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("centroid", geo.centroid(F.col("geom_rd")))
+    return segments.withColumn("centroid", geo.centroid("geom_rd"))
 
 
 def road_axis(segments: DataFrame) -> DataFrame:

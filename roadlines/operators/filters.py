@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roadlines.config import (
     GEOMETRY_DIRECTION, MAIN_CARRIAGEWAY, RD_X_RANGE, RD_Y_RANGE, clean_direction,
 )
-from roadlines.functions.geometry import POINT_TYPE, point
+from roadlines.functions.geometry import POINT_TYPE
 
 
 def role(name: str | None, kind: str = "string") -> Column:
@@ -70,7 +70,7 @@ def has_km(df: DataFrame, km: str = "road_km") -> DataFrame:
 def plausible_xy(x: Column, y: Column) -> Column:
     """Point when both coordinates lie in the national grid, else NULL."""
     inside = x.between(*RD_X_RANGE) & y.between(*RD_Y_RANGE)
-    return F.when(inside, point(x, y)).cast(POINT_TYPE)
+    return F.when(inside, F.struct(x.alias("x"), y.alias("y"))).cast(POINT_TYPE)
 
 
 def target_subset(df: DataFrame, road: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlines.functions import geometry as geo
+from roadlines.functions import shapes as sh
 from roadlines.session import cut
 
 FACTOR = 4
@@ -58,9 +59,9 @@ def successor_gaps(chain: DataFrame, min_jump: float = 100.0) -> DataFrame:
     Joined on the successor's position: ranks are unique, so this stays an even equi-join.
     """
     following = chain.select("road_number", (F.col("seg_ord") - 1).alias("seg_ord"),
-                             geo.start(F.col("geom_rd")).alias("_next"))
+                             geo.start("geom_rd").alias("next"))
     jumps = chain.join(following, ["road_number", "seg_ord"]).select(
-        "road_number", "seg_ord", geo.gap(geo.end(F.col("geom_rd")), F.col("_next")).alias("jump_m"))
+        "road_number", "seg_ord", geo.gap(sh.end("geom_rd"), "next").alias("jump_m"))
     return jumps.where(F.col("jump_m") > min_jump)
 
 
@@ -132,10 +133,9 @@ def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: f
         where.withColumn("level", ladder)
         .withColumns({"cx": cell_of(F.col("x")), "cy": cell_of(F.col("y"))})
         .withColumn("salt", F.pmod(F.xxhash64("x", "y"), salt_of_level).cast("int")))
-    here = geo.point(F.col("x"), F.col("y"))
     bound = (
         probes.join(vertices, [*by, "level", "cx", "cy", "salt"])
-        .groupBy(*by, "x", "y").agg(F.min(geo.gap(here, F.col("v"))).alias("bound"))
+        .groupBy(*by, "x", "y").agg(F.min(geo.gap(sh.point("x", "y"), "v")).alias("bound"))
         # a little slack, so that rounding cannot exclude the line the bound comes from
         .withColumn("bound", F.col("bound") * (1 + 1e-9) + 1e-6))
     sizes = [cell * FACTOR ** k for k in range(top + 1)]
@@ -144,8 +144,8 @@ def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: f
              .withColumns({"cx": cell_of(F.col("x")), "cy": cell_of(F.col("y"))}))
 
     # a line of one vertex is listed by an edge from the vertex to itself
-    segments = F.when(F.size("geom") == 1, geo.edges(F.concat("geom", "geom"))).otherwise(
-        geo.edges(F.col("geom")))
+    segments = F.when(F.size("geom") == 1, geo.edges("concat(geom, geom)")).otherwise(
+        geo.edges("geom"))
     size = _level_size(cell, F.col("level"))
 
     def reach(a: str, b: str) -> Column:
@@ -158,7 +158,7 @@ def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: f
         .withColumn("level", ladder)
         .withColumn("cx", reach("x1", "x2")).withColumn("cy", reach("y1", "y2"))
         .select(*by, tie, "level", "cx", "cy").distinct())
-    shapes = unique.withColumn("box", geo.envelope(F.col("geom")))
+    shapes = unique.withColumn("box", geo.envelope("geom"))
     candidates = asked.join(listed, [*by, "level", "cx", "cy"]).join(shapes, [*by, tie])
     out_x = F.greatest(F.col("box.xmin") - F.col("x"), F.col("x") - F.col("box.xmax"), F.lit(0.0))
     out_y = F.greatest(F.col("box.ymin") - F.col("y"), F.col("y") - F.col("box.ymax"), F.lit(0.0))
@@ -170,7 +170,7 @@ def _winner(pairs: DataFrame, by: Sequence[str], tie: str, carry: Sequence[str])
     """Lowest (distance, tie) per point; partly aggregated before its shuffle."""
     measured = pairs.select(
         *by, "x", "y", tie, *carry,
-        geo.closest(F.col("geom"), geo.point(F.col("x"), F.col("y"))).alias("c"))
+        geo.closest("geom", sh.point("x", "y")).alias("c"))
     names = ["dist", tie, "along", "total", *carry]
     best = F.min(F.struct(F.col("c.dist").alias("dist"), F.col(tie),
                           F.col("c.along").alias("along"), F.col("c.total").alias("total"), *carry))

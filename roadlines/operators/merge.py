@@ -20,11 +20,11 @@ from roadlines.session import cut
 
 
 def _exit_node(forward: Column) -> Column:
-    return F.when(forward, geo.end(F.col("geom"))).otherwise(geo.start(F.col("geom")))
+    return F.when(forward, geo.end("geom")).otherwise(geo.start("geom"))
 
 
 def _entry_node(forward: Column) -> Column:
-    return F.when(forward, geo.start(F.col("geom"))).otherwise(geo.end(F.col("geom")))
+    return F.when(forward, geo.start("geom")).otherwise(geo.end("geom"))
 
 
 def _links(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,8 +32,8 @@ def _links(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     State 2*line walks the line forward (enters at end 0), 2*line + 1 backward.
     """
-    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), geo.start(F.col("geom")).alias("node")),
-                             F.struct(F.lit(1).alias("side"), geo.end(F.col("geom")).alias("node"))))
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), geo.start("geom").alias("node")),
+                             F.struct(F.lit(1).alias("side"), geo.end("geom").alias("node"))))
     ends = lines.select(*keys, "line", side.alias("e")).select(*keys, "line", "e.side", "e.node")
     pair = F.struct("line", "side")
     nodes = ends.groupBy(*keys, "node").agg(
@@ -90,7 +90,7 @@ def merge_lines(df: DataFrame, keys: Sequence[str], geom: str = "geom") -> DataF
     """
     keys = list(keys)
     g = F.col("geom")
-    ready = df.select(*keys, F.col(geom).alias("geom")).where(geo.is_valid(g))
+    ready = df.select(*keys, F.col(geom).alias("geom")).where(geo.is_valid("geom"))
     lines = cut(ready.withColumn("line", F.monotonically_increasing_id()))
     links = cut(_links(lines, keys))
     if links.isEmpty():

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from roadlines.config import ColumnMap, TargetRules
 from roadlines.functions import geometry as geo
-from roadlines.functions.projection import rd_point_to_wgs84, rd_to_wgs84
 from roadlines.functions.text import (
     general_road_number, safe_double, target_flag, target_road_number,
 )
@@ -77,10 +76,10 @@ def build_roads(wegvakken: DataFrame, lines: DataFrame, cmap: ColumnMap) -> Data
     return named.select(
         "wegvak_id", "road_number_raw", "road_type_raw", "road_number_norm",
         F.col("road_type_raw").alias("road_type"), "direction", "carriageway",
-        "start_hm", "end_hm", geo.length(F.col("geom_rd")).alias("length_m"),
+        "start_hm", "end_hm", geo.length("geom_rd").alias("length_m"),
         (F.col("road_number_norm") == cmap.target.canonical_road_number).alias("is_target_a2"),
-        "geom_rd", rd_to_wgs84(F.col("geom_rd")).alias("geom_wgs84"),
-    ).withColumn("geojson", geo.as_geojson(F.col("geom_wgs84")))
+        "geom_rd", geo.rd_to_wgs84("geom_rd").alias("geom_wgs84"),
+    ).withColumn("geojson", geo.as_geojson("geom_wgs84"))
 
 
 def union_points(puntlocaties: DataFrame, hectopunten: DataFrame, cmap: ColumnMap) -> DataFrame:
@@ -125,13 +124,13 @@ def attach_road(points: DataFrame, roads: DataFrame) -> DataFrame:
     begin, finish = F.coalesce("start_hm", F.lit(0.0)), F.coalesce("end_hm", F.lit(0.0))
     # a measure range of zero gives NULL, and greatest() skips it: the start of the line
     share = (F.col("hm") - begin) / F.nullif(F.abs(finish - begin), F.lit(0.0))
-    on_line = geo.interpolate(F.col("_line"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
-    return joined.withColumn(
+    placed = joined.withColumn("_share", F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+    return placed.withColumn(
         "geom_rd",
-        F.when(F.col("x_rd").isNotNull() & F.col("y_rd").isNotNull(),
-               geo.point(F.col("x_rd"), F.col("y_rd")))
+        F.when(F.col("x_rd").isNotNull() & F.col("y_rd").isNotNull(), geo.point("x_rd", "y_rd"))
         .when(F.col("wegvak_id").isNotNull() & F.col("hm").isNotNull()
-              & F.col("_line").isNotNull(), on_line)).drop("_line")
+              & F.col("_line").isNotNull(), geo.interpolate("_line", "_share"))
+    ).drop("_line", "_share")
 
 
 def build_points(puntlocaties: DataFrame, hectopunten: DataFrame, roads: DataFrame,
@@ -141,7 +140,7 @@ def build_points(puntlocaties: DataFrame, hectopunten: DataFrame, roads: DataFra
     return placed.select(
         "point_id", "wegvak_id", "road_number_raw", "road_number_norm", "hm",
         F.coalesce("is_target_a2", F.lit(False)).alias("is_target_a2"), "geom_rd",
-        rd_point_to_wgs84(F.col("geom_rd")["x"], F.col("geom_rd")["y"]).alias("geom_wgs84"))
+        geo.rd_point_to_wgs84("geom_rd").alias("geom_wgs84"))
 
 
 def best_point(points: DataFrame) -> DataFrame:
@@ -169,20 +168,20 @@ def hm_chain(roads: DataFrame, bucket: int = 100, min_jump: float = 100.0) -> Da
     longest = (
         measured.groupBy("road_number", F.floor(F.col("hm_mid") / bucket).alias("hm_bucket"))
         .agg(F.min(F.struct((-F.col("seg_len_m")).alias("neg"), "wegvak_id", "hm_mid",
-                            geo.start(F.col("geom_rd")).alias("first"),
-                            geo.end(F.col("geom_rd")).alias("last"))).alias("s"))
+                            geo.start("geom_rd").alias("first"),
+                            geo.end("geom_rd").alias("last"))).alias("s"))
         .select("road_number", "hm_bucket", "s.wegvak_id", "s.hm_mid", "s.first", "s.last",
                 (-F.col("s.neg")).alias("seg_len_m")))
     along = Window.partitionBy("road_number").orderBy("hm_mid", "wegvak_id")
-    jump = geo.gap(F.col("last"), F.lead("first").over(along))
     return (
         longest.withColumn("seg_ord", F.row_number().over(along).cast("long"))
         .withColumn("chain_end_m", F.sum("seg_len_m").over(
             along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("chain_start_m", F.col("chain_end_m") - F.col("seg_len_m"))
-        .withColumn("jump_m", jump)
+        .withColumn("next", F.lead("first").over(along))
+        .withColumn("jump_m", geo.gap("last", "next"))
         .withColumn("is_gap", F.coalesce(F.col("jump_m") > min_jump, F.lit(False)))
-        .drop("first", "last"))
+        .drop("first", "last", "next"))
 
 
 def hm_chain_gaps(roads: DataFrame, bucket: int = 100, min_jump: float = 100.0) -> DataFrame:

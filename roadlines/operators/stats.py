@@ -49,7 +49,7 @@ def severities(df: DataFrame, road: str | None = None) -> DataFrame:
 def bbox(df: DataFrame, geom: str = "geom_wgs84", by: Sequence[str] = ()) -> DataFrame:
     """Box around all lines, per group."""
     boxed = df.where(F.col(geom).isNotNull()).select(
-        *by, geo.envelope(F.col(geom)).alias("box"))
+        *by, geo.envelope(geom).alias("box"))
     edges = [F.min("box.xmin").alias("xmin"), F.min("box.ymin").alias("ymin"),
              F.max("box.xmax").alias("xmax"), F.max("box.ymax").alias("ymax")]
     return boxed.groupBy(*by).agg(*edges) if by else boxed.agg(*edges)
@@ -152,7 +152,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str], n: int | None = 30)
 
 
 def geometry_types(df: DataFrame, geom: str, kind: str = "line") -> DataFrame:
-    return df.groupBy(geo.geometry_type(F.col(geom), kind).alias("geometry_type")).agg(
+    return df.groupBy(geo.geometry_type(geom, kind).alias("geometry_type")).agg(
         F.count(F.lit(1)).alias("rows"))
 
 
@@ -185,7 +185,7 @@ def bin_health(bins: DataFrame, min_ratio: float = 0.5,
     """Multi-part, empty and thin bins (drawn length below a share of the nominal one)."""
     parts, nominal = F.col("geom_parts"), F.col("length_m")
     thin = parts.isNull() | (nominal <= 0) | (
-        geo.parts_length(parts) < min_ratio * nominal)
+        geo.parts_length("geom_parts") < min_ratio * nominal)
     return bins.groupBy(*by).agg(
         F.count(F.lit(1)).alias("bins"),
         F.count_if(F.size(parts) > 1).alias("multi_part"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from roadlines.config import BIN_SIZES_KM
 from roadlines.functions import geometry as geo
-from roadlines.functions.projection import rd_to_wgs84
 from roadlines.operators import bins as bn
 from roadlines.operators.chain import chain_total
 from roadlines.operators.merge import merge_lines
@@ -29,7 +28,7 @@ def chain_clips(chain: DataFrame, grid: DataFrame) -> DataFrame:
 
 def longest_part(parts: DataFrame) -> DataFrame:
     """Longest merged part of each bin (ties: lower vertices)."""
-    size = (-geo.length(F.col("geom"))).alias("size")
+    size = (-geo.length("geom")).alias("size")
     return parts.groupBy(*KEYS).agg(F.min(F.struct(size, "geom")).alias("p")).select(
         *KEYS, F.col("p.geom").alias("geom_rd"))
 
@@ -48,9 +47,8 @@ def chain_bins(chain: DataFrame, sizes: Sequence[int] = BIN_SIZES_KM) -> DataFra
         bn.bin_id().alias("bin_id"), *KEYS, F.col("bin_start").alias("bin_start_m"),
         F.col("bin_end").alias("bin_end_m"),
         (F.col("bin_end") - F.col("bin_start")).alias("length_m"))
-    wgs = rd_to_wgs84(F.col("geom_rd"))
-    drawn = (defs.join(lines, list(KEYS), "inner").withColumn("geom_wgs84", wgs)
-             .withColumn("geojson", geo.as_geojson(F.col("geom_wgs84")))
+    drawn = (defs.join(lines, list(KEYS), "inner").withColumn("geom_wgs84", geo.rd_to_wgs84("geom_rd"))
+             .withColumn("geojson", geo.as_geojson("geom_wgs84"))
              .withColumn("geometry_quality", F.lit("linesubstring")))
     empty = defs.join(clips.select(*KEYS), list(KEYS), "left_anti").withColumn(
         "geometry_quality", F.lit("empty"))

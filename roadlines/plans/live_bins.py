@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from roadlines.config import GEOMETRY_DIRECTION, clean_direction
 from roadlines.functions import geometry as geo
-from roadlines.functions.projection import parts_to_wgs84
 from roadlines.operators import bins as bn
 from roadlines.operators import filters as flt
 from roadlines.operators.accidents import (
@@ -117,7 +116,8 @@ def quality(parts: Column, label: str) -> Column:
 def with_drawing(bins: DataFrame, label: str = "hectometer_km") -> DataFrame:
     parts = F.col("geom_parts")
     return bins.withColumn("geometry_quality", quality(parts, label)).withColumn(
-        "geojson", geo.as_geojson(parts_to_wgs84(parts), "parts"))
+        "geojson", geo.parts_to_wgs84("geom_parts")).withColumn(
+        "geojson", geo.as_geojson("geojson", "parts"))
 
 
 def scored_accidents(accidents: DataFrame, roads: DataFrame, intervals: DataFrame,

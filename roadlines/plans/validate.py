@@ -54,7 +54,7 @@ def require_segments(roads: DataFrame) -> None:
 
 
 def invalid_geometry(bins: DataFrame, geom: str = "geom_rd") -> DataFrame:
-    bad = ~F.coalesce(geo.is_valid(F.col(geom)), F.lit(False))
+    bad = ~F.coalesce(geo.is_valid(geom), F.lit(False))
     sums = bins.agg(F.count_if(F.col("bin_size_km") == 1).alias("n"), F.count_if(bad).alias("bad"))
     return _rows(sums, [_row("bins_1km", F.col("n"), F.lit(True)),
                         _row("invalid_bin_geometries", F.col("bad"), F.lit(True))])
