@@ -25,6 +25,7 @@ from roadlines.plans import export as ex
 from roadlines.plans import live_bins as lb
 from roadlines.plans import profile as pf
 from roadlines.plans import validate as va
+from roadlines.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = AppConfig()
@@ -73,13 +74,19 @@ class Network:
     def intervals(self) -> DataFrame:
         return ac.intervals_of(self.raw.hectointervallen, self.cmap)
 
+    @cached_property
+    def stored_roads(self) -> DataFrame:
+        """Roads as a written table: the chain steps read them several times."""
+        return cut(self.roads)
+
     @cached_property
     def chain(self) -> DataFrame:
-        return ch.build_chain(self.roads)
+        return cut(ch.build_chain(self.stored_roads))
 
     @cached_property
     def chainage(self) -> DataFrame:
-        return ch.accident_chainage(self.accidents, self.roads, self.chain)
+        accidents = cut(ac.locate_accidents(self.staging, self.stored_roads, self.points, True))
+        return ch.accident_chainage(accidents, self.stored_roads, self.chain)
 
     @cached_property
     def chain_grid(self) -> DataFrame:
@@ -93,6 +100,11 @@ class Network:
     def sized_bins(self) -> DataFrame:
         return self.bins(sizes=CFG.bin_sizes_km)
 
+    @cached_property
+    def stored_bins(self) -> DataFrame:
+        """Bins of all sizes as a written table, for measures that read them several times."""
+        return cut(self.sized_bins)
+
     @cached_property
     def drawn_bins(self) -> DataFrame:
         return self.bins(sizes=[5], geometry=True)
@@ -499,7 +511,7 @@ def chain_total(n: Network) -> DataFrame:
 
 @query
 def wegvak_canonical(n: Network) -> DataFrame:
-    return ch.canonical_segments(n.roads, n.chain)
+    return ch.canonical_segments(n.stored_roads, n.chain)
 
 
 @query
@@ -509,7 +521,7 @@ def successor_gaps(n: Network) -> DataFrame:
 
 @query
 def nearest_segment(n: Network) -> DataFrame:
-    hr = flt.main_road(n.roads).select("road_number_norm", "wegvak_id")
+    hr = flt.main_road(n.stored_roads).select("road_number_norm", "wegvak_id")
     spots = jn.semi(flt.has_geometry(n.accidents), hr, ["road_number_norm", "wegvak_id"]).select(
         F.col("road_number_norm").alias("road_number"), F.col("geom_rd.x").alias("x"),
         F.col("geom_rd.y").alias("y"))
@@ -568,24 +580,24 @@ def bin_kpis(n: Network) -> DataFrame:
 
 @query
 def density_breaks(n: Network) -> DataFrame:
-    return cl.density_breaks(n.sized_bins)
+    return cl.density_breaks(n.stored_bins)
 
 
 @query
 def density_classes(n: Network) -> DataFrame:
-    return cl.classify(n.sized_bins, cl.density_breaks(n.sized_bins)).select(
+    return cl.classify(n.stored_bins, cl.density_breaks(n.stored_bins)).select(
         "bin_id", "density_class")
 
 
 @query
 def class_table(n: Network) -> DataFrame:
-    return cl.class_table(cl.density_breaks(n.sized_bins)).select(
+    return cl.class_table(cl.density_breaks(n.stored_bins)).select(
         "road_number", "bin_size_km", "class", "label", "colour")
 
 
 @query
 def bar_heights(n: Network) -> DataFrame:
-    by_density = cl.bar_height(n.sized_bins).withColumnRenamed("height_pct", "height_density")
+    by_density = cl.bar_height(n.stored_bins).withColumnRenamed("height_pct", "height_density")
     both = cl.bar_height(by_density, "accidents").withColumnRenamed("height_pct", "height_count")
     return both.select("bin_id", r("height_density").alias("height_density"),
                        r("height_count").alias("height_count"))

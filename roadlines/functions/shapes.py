@@ -73,21 +73,25 @@ def closest(g: str, p: str) -> str:
 
     A line of one vertex has no edges; its distance is that to the vertex.
     """
-    # per edge: foot parameter, then offset from the point, then distance
-    foot = ("CASE WHEN _e.len > 0 THEN least(greatest("
-            "((_s.px - _e.x1) * (_e.x2 - _e.x1) + (_s.py - _e.y1) * (_e.y2 - _e.y1))"
-            " / ((_e.x2 - _e.x1) * (_e.x2 - _e.x1) + (_e.y2 - _e.y1) * (_e.y2 - _e.y1)), 0D), 1D) ELSE 0D END")
-    dx = f"CASE WHEN {foot} >= 1 THEN _e.x2 ELSE _e.x1 + {foot} * (_e.x2 - _e.x1) END - _s.px"
-    dy = f"CASE WHEN {foot} >= 1 THEN _e.y2 ELSE _e.y1 + {foot} * (_e.y2 - _e.y1) END - _s.py"
-    away = hypotenuse(dx, dy)
+    # foot parameter per edge, then its distance, then the fold over the edges
+    dot = f"(({p}).x - _e.x1) * (_e.x2 - _e.x1) + (({p}).y - _e.y1) * (_e.y2 - _e.y1)"
+    square = "(_e.x2 - _e.x1) * (_e.x2 - _e.x1) + (_e.y2 - _e.y1) * (_e.y2 - _e.y1)"
+    feet = (
+        f"transform({edges(g)}, _e -> named_struct('e', _e, 't', CASE WHEN _e.len > 0 "
+        f"THEN least(greatest(({dot}) / ({square}), 0D), 1D) ELSE 0D END))")
+    dx = f"CASE WHEN _f.t >= 1 THEN _f.e.x2 ELSE _f.e.x1 + _f.t * (_f.e.x2 - _f.e.x1) END - ({p}).x"
+    dy = f"CASE WHEN _f.t >= 1 THEN _f.e.y2 ELSE _f.e.y1 + _f.t * (_f.e.y2 - _f.e.y1) END - ({p}).y"
+    away = (
+        f"transform({feet}, _f -> named_struct('dx', {dx}, 'dy', {dy}, 'on', _f.t * _f.e.len, "
+        "'len', _f.e.len))")
+    legs = (
+        f"transform({away}, _o -> named_struct('d', {hypotenuse('_o.dx', '_o.dy')}, 'on', _o.on, "
+        "'len', _o.len))")
     fold = (
-        f"aggregate({edges(g)}, named_struct('px', ({p}).x, 'py', ({p}).y, "
-        "'dist', double('infinity'), 'along', 0D, 'total', 0D), (_s, _e) -> named_struct("
-        "'px', _s.px, 'py', _s.py, "
-        f"'dist', least(_s.dist, {away}), "
-        f"'along', CASE WHEN {away} < _s.dist THEN _s.total + {foot} * _e.len ELSE _s.along END, "
-        "'total', _s.total + _e.len), "
-        "_s -> named_struct('dist', _s.dist, 'along', _s.along, 'total', _s.total))")
+        f"aggregate({legs}, named_struct('dist', double('infinity'), 'along', 0D, 'total', 0D), "
+        "(_s, _l) -> named_struct('dist', least(_s.dist, _l.d), "
+        "'along', CASE WHEN _l.d < _s.dist THEN _s.total + _l.on ELSE _s.along END, "
+        "'total', _s.total + _l.len))")
     lone = f"named_struct('dist', {gap(start(g), p)}, 'along', 0D, 'total', 0D)"
     return (f"CASE WHEN {g} IS NULL OR {p} IS NULL THEN NULL WHEN size({g}) = 1 THEN {lone} "
             f"ELSE {fold} END")
