@@ -81,15 +81,19 @@ def _level_size(cell: float, level: Column) -> Column:
     return F.lit(cell) * F.pow(F.lit(float(FACTOR)), level)
 
 
-def _levels(points: DataFrame, lines: DataFrame, cell: float) -> int:
-    """Coarsening steps after which one cell is wider than everything there is."""
-    box = F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"),
-                   F.min("y").alias("y0"), F.max("y").alias("y1"))
+def _extent(points: DataFrame, lines: DataFrame) -> tuple[float, float, float]:
+    """Lowest x and y, and the diagonal, of everything there is (one aggregated row)."""
     vertices = lines.select(F.explode("geom").alias("v")).select("v.x", "v.y")
-    b = points.select("x", "y").unionByName(vertices).agg(box.alias("b")).first()["b"]
-    if b is None or b["x0"] is None:
-        return 0
-    diagonal = ((b["x1"] - b["x0"]) ** 2 + (b["y1"] - b["y0"]) ** 2) ** 0.5
+    b = points.select("x", "y").unionByName(vertices).agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"),
+        F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if b["x0"] is None:
+        return 0.0, 0.0, 0.0
+    return b["x0"], b["y0"], ((b["x1"] - b["x0"]) ** 2 + (b["y1"] - b["y0"]) ** 2) ** 0.5
+
+
+def _levels(diagonal: float, cell: float) -> int:
+    """Coarsening steps after which one cell, counted from the lowest corner, holds everything."""
     level, size = 0, cell
     while size < diagonal * 1.01 + 1.0:
         level, size = level + 1, size * FACTOR
@@ -116,22 +120,24 @@ def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: f
         lines.where(F.size("geom") >= 1)
         .groupBy(*by, "geom").agg(F.min(F.struct(tie, *carry)).alias("p"))
         .select(*by, "geom", f"p.{tie}", *[f"p.{c}" for c in carry]))
-    top = _levels(where, unique, cell)
+    x0, y0, diagonal = _extent(where, unique)
+    top = _levels(diagonal, cell)
     ladder = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    size = _level_size(cell, F.col("level"))
 
-    def cell_of(c: Column) -> Column:
-        return F.floor(c / _level_size(cell, F.col("level"))).cast("long")
+    def cell_of(c: Column, origin: float) -> Column:
+        return F.floor((c - origin) / size).cast("long")
 
     salt_of_level = F.when(F.col("level") == 0, F.lit(1)).otherwise(SALTS)
     vertices = (
         unique.select(*by, F.explode("geom").alias("v"))
         .withColumn("level", ladder)
-        .withColumns({"cx": cell_of(F.col("v.x")), "cy": cell_of(F.col("v.y"))})
+        .withColumns({"cx": cell_of(F.col("v.x"), x0), "cy": cell_of(F.col("v.y"), y0)})
         .groupBy(*by, "level", "cx", "cy").agg(F.min("v").alias("v"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), salt_of_level - 1))))
     probes = (
         where.withColumn("level", ladder)
-        .withColumns({"cx": cell_of(F.col("x")), "cy": cell_of(F.col("y"))})
+        .withColumns({"cx": cell_of(F.col("x"), x0), "cy": cell_of(F.col("y"), y0)})
         .withColumn("salt", F.pmod(F.xxhash64("x", "y"), salt_of_level).cast("int")))
     bound = (
         probes.join(vertices, [*by, "level", "cx", "cy", "salt"])
@@ -141,22 +147,21 @@ def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: f
     sizes = [cell * FACTOR ** k for k in range(top + 1)]
     level = F.size(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s < F.col("bound")))
     asked = (bound.withColumn("level", F.least(level, F.lit(top)))
-             .withColumns({"cx": cell_of(F.col("x")), "cy": cell_of(F.col("y"))}))
+             .withColumns({"cx": cell_of(F.col("x"), x0), "cy": cell_of(F.col("y"), y0)}))
 
     # a line of one vertex is listed by an edge from the vertex to itself
     segments = F.when(F.size("geom") == 1, geo.edges("concat(geom, geom)")).otherwise(
         geo.edges("geom"))
-    size = _level_size(cell, F.col("level"))
 
-    def reach(a: str, b: str) -> Column:
-        lo = F.floor(F.least(F.col(f"e.{a}"), F.col(f"e.{b}")) / size).cast("long") - 1
-        hi = F.floor(F.greatest(F.col(f"e.{a}"), F.col(f"e.{b}")) / size).cast("long") + 1
+    def reach(a: str, b: str, origin: float) -> Column:
+        lo = cell_of(F.least(f"e.{a}", f"e.{b}"), origin) - 1
+        hi = cell_of(F.greatest(f"e.{a}", f"e.{b}"), origin) + 1
         return F.explode(F.sequence(lo, hi))
 
     listed = (
         unique.select(*by, tie, F.explode(segments).alias("e"))
         .withColumn("level", ladder)
-        .withColumn("cx", reach("x1", "x2")).withColumn("cy", reach("y1", "y2"))
+        .withColumn("cx", reach("x1", "x2", x0)).withColumn("cy", reach("y1", "y2", y0))
         .select(*by, tie, "level", "cx", "cy").distinct())
     shapes = unique.withColumn("box", geo.envelope("geom"))
     candidates = asked.join(listed, [*by, "level", "cx", "cy"]).join(shapes, [*by, tie])
