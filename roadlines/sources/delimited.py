@@ -37,10 +37,8 @@ def sniff_format(spark: SparkSession, path: str) -> TextFormat:
     lines = spark.read.text(path)
     valid = lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).first()["ok"]
     encoding = LATIN1 if valid is False else UTF8
-    first = lines.where(F.trim("value") != "").select(F.encode("value", "UTF-8").alias("b")).first() \
-        if valid is not False else \
-        lines.where(F.length(F.trim(F.col("value").cast("binary").cast("string"))) > 0).select(
-            F.col("value").cast("binary").alias("b")).first()
+    # text is read as raw bytes, so the cast restores them whatever the encoding
+    first = lines.where(F.trim("value") != "").select(F.col("value").cast("binary").alias("b")).first()
     if first is None:
         return TextFormat(encoding)
     text = bytes(first["b"]).decode("utf-8" if encoding == UTF8 else "latin-1").lstrip("﻿")
