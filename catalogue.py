@@ -83,10 +83,15 @@ class Network:
     def chain(self) -> DataFrame:
         return cut(ch.build_chain(self.stored_roads))
 
+    @cached_property
+    def stored_accidents(self) -> DataFrame:
+        """Located accidents as a written table, for the steps that read them twice."""
+        points = rd.build_points(self.raw.puntlocaties, self.raw.hectopunten, self.stored_roads, self.cmap)
+        return cut(ac.locate_accidents(self.staging, self.stored_roads, points, True))
+
     @cached_property
     def chainage(self) -> DataFrame:
-        accidents = cut(ac.locate_accidents(self.staging, self.stored_roads, self.points, True))
-        return ch.accident_chainage(accidents, self.stored_roads, self.chain)
+        return ch.accident_chainage(self.stored_accidents, self.stored_roads, self.chain)
 
     @cached_property
     def chain_grid(self) -> DataFrame:
@@ -522,7 +527,7 @@ def successor_gaps(n: Network) -> DataFrame:
 @query
 def nearest_segment(n: Network) -> DataFrame:
     hr = flt.main_road(n.stored_roads).select("road_number_norm", "wegvak_id")
-    spots = jn.semi(flt.has_geometry(n.accidents), hr, ["road_number_norm", "wegvak_id"]).select(
+    spots = jn.semi(flt.has_geometry(n.stored_accidents), hr, ["road_number_norm", "wegvak_id"]).select(
         F.col("road_number_norm").alias("road_number"), F.col("geom_rd.x").alias("x"),
         F.col("geom_rd.y").alias("y"))
     lines = n.chain.select("road_number", F.col("geom_rd").alias("geom"), "seg_ord")

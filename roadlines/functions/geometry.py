@@ -48,6 +48,14 @@ def interpolate(g: str, fraction: str) -> Column:
     return F.expr(sh.interpolate(g, fraction))
 
 
+def measured(g: str) -> Column:
+    return F.expr(sh.measured(g))
+
+
+def on_measured(m: str, total: str, fraction: str) -> Column:
+    return F.expr(sh.on_measured(m, total, fraction))
+
+
 def closest(g: str, p: str) -> Column:
     return F.expr(sh.closest(g, p))
 

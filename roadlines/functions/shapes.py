@@ -68,6 +68,29 @@ def interpolate(g: str, fraction: str) -> str:
             f"WHEN {fraction} >= 1 THEN {end(g)} ELSE {walk} END")
 
 
+def measured(g: str) -> str:
+    """Edges with the length walked before them (`at`); worth keeping where many points are
+    interpolated on one line."""
+    return (
+        f"aggregate({edges(g)}, named_struct('at', 0D, 'm', cast(array() AS array<struct<x1:double,"
+        "y1:double,x2:double,y2:double,len:double,at:double>>)), (_s, _e) -> named_struct("
+        "'at', _s.at + _e.len, 'm', array_append(_s.m, named_struct('x1', _e.x1, 'y1', _e.y1, "
+        "'x2', _e.x2, 'y2', _e.y2, 'len', _e.len, 'at', _s.at))), _s -> _s.m)")
+
+
+def on_measured(m: str, total: str, fraction: str) -> str:
+    """Point at a fraction of a measured line, from the last edge that starts before it."""
+    goal = f"{total} * {fraction}"
+    t = f"CASE WHEN _e.len > 0 THEN least(({goal} - _e.at) / _e.len, 1D) ELSE 0D END"
+    first, last = f"get({m}, 0)", f"get({m}, size({m}) - 1)"
+    # the chosen edge is bound to a lambda variable, so that it is looked up once
+    spot = point(f"_e.x1 + {t} * (_e.x2 - _e.x1)", f"_e.y1 + {t} * (_e.y2 - _e.y1)")
+    between = f"get(transform(slice(filter({m}, _e -> _e.at <= {goal}), -1, 1), _e -> {spot}), 0)"
+    return (f"CASE WHEN size({m}) > 0 AND {fraction} <= 0 THEN {point(f'({first}).x1', f'({first}).y1')} "
+            f"WHEN size({m}) > 0 AND {fraction} >= 1 THEN {point(f'({last}).x2', f'({last}).y2')} "
+            f"WHEN size({m}) > 0 AND {fraction} IS NOT NULL THEN {between} END")
+
+
 def closest(g: str, p: str) -> str:
     """struct(dist, along, total): distance to the line, measure of the foot point, line length.
 

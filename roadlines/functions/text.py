@@ -22,7 +22,7 @@ def filled(c: Column) -> Column:
 def safe_double(c: Column) -> Column:
     """Number or NULL; Java literals such as '1d' are not numbers."""
     text = F.trim(c.cast("string"))
-    return F.when(~text.rlike(r"[0-9.][dDfF]$"), text).try_cast("double")
+    return F.when(~F.right(text, F.lit(1)).isin("d", "D", "f", "F"), text).try_cast("double")
 
 
 def safe_int(c: Column) -> Column:
@@ -31,9 +31,10 @@ def safe_int(c: Column) -> Column:
 
 
 def safe_date(c: Column) -> Column:
-    """Date or NULL from y-m-d or y/m/d text."""
-    text = F.regexp_replace(F.trim(c.cast("string")), "/", "-")
-    return F.when(text.rlike(r"^\d+-\d+-\d+"), text).try_cast("date")
+    """Date or NULL from y-m-d or y/m/d text; a bare year or month is not a date."""
+    text = F.translate(F.trim(c.cast("string")), "/", "-")
+    complete = F.length(text) - F.length(F.translate(text, "-", "")) >= 2
+    return F.when(complete, text).try_cast("date")
 
 
 def safe_cast(c: Column, kind: str) -> Column:

@@ -12,6 +12,7 @@ from roadlines.functions import geometry as geo
 from roadlines.functions.text import filled, safe_date, safe_double, safe_int
 from roadlines.operators import filters as flt
 from roadlines.operators.filters import role
+from roadlines.operators.joins import lookup_join
 from roadlines.operators.roads import best_point
 
 
@@ -40,14 +41,16 @@ def stage_accidents(raw: DataFrame, cmap: ColumnMap) -> DataFrame:
 
 def attach_location(staging: DataFrame, roads: DataFrame, points: DataFrame) -> DataFrame:
     """Left joins to the segment and to the best point; accidents are neither lost nor repeated
-    as long as segment ids are unique. Adaptive execution splits a hot segment or point id."""
+    as long as segment ids are unique.
+    Lines are measured on the segment side, once per segment and not once per accident."""
     segment = roads.select(
         "wegvak_id", F.col("road_number_raw").alias("seg_road_raw"),
         F.col("road_number_norm").alias("seg_road_norm"), "is_target_a2",
-        "start_hm", "end_hm", "length_m", F.col("geom_rd").alias("seg_geom"))
+        "start_hm", "end_hm", "length_m", geo.measured("geom_rd").alias("seg_line"))
     spot = best_point(points.select("point_id", "wegvak_id", "hm", "geom_rd")).select(
         "point_id", F.col("geom_rd").alias("point_geom"))
-    return staging.join(segment, "wegvak_id", "left").join(spot, "point_id", "left")
+    placed = lookup_join(staging, segment, "wegvak_id", "accident_id")
+    return lookup_join(placed, spot, "point_id", "accident_id")
 
 
 def locate_accidents(staging: DataFrame, roads: DataFrame, points: DataFrame,
@@ -59,7 +62,7 @@ def locate_accidents(staging: DataFrame, roads: DataFrame, points: DataFrame,
     """
     joined = attach_location(staging, roads, points)
     begin, finish = F.col("start_hm"), F.col("end_hm")
-    has_line = F.col("wegvak_id").isNotNull() & F.col("seg_geom").isNotNull()
+    has_line = F.col("wegvak_id").isNotNull() & F.col("seg_line").isNotNull()
     by_measure = (F.col("hm") - F.least(begin, finish)) / F.abs(finish - begin)
     # without a usable measure range the hm is related to the segment length instead
     by_length = F.col("hm") / F.nullif(F.col("length_m"), F.lit(0.0)) * 1000.0
@@ -70,7 +73,7 @@ def locate_accidents(staging: DataFrame, roads: DataFrame, points: DataFrame,
     joined = joined.withColumn("_share", F.when(F.col("hm").isNotNull(), clamped).otherwise(0.5))
     spot = F.coalesce(
         F.col("geom_direct"), F.col("point_geom"),
-        F.when(has_line, geo.interpolate("seg_geom", "_share")))
+        F.when(has_line, geo.on_measured("seg_line", "length_m", "_share")))
     quality = (
         F.when(F.col("geom_direct").isNotNull(), "direct_xy")
         .when(F.col("point_geom").isNotNull(), "puntlocatie")
@@ -95,7 +98,8 @@ def accident_roads(staging: DataFrame, roads: DataFrame) -> DataFrame:
     Counts along the official km need no geometry, so neither lines nor points are joined.
     """
     segment = roads.select("wegvak_id", "road_number_norm", "is_target_a2")
-    return staging.drop("road_number_norm", "geom_direct").join(segment, "wegvak_id", "left")
+    bare = staging.drop("road_number_norm", "geom_direct")
+    return lookup_join(bare, segment, "wegvak_id", "accident_id")
 
 
 def attach_casualties(accidents: DataFrame, staging: DataFrame | None) -> DataFrame:

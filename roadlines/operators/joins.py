@@ -15,6 +15,22 @@ FACTOR = 4
 SALTS = 16
 
 
+NULL_SALTS = 1024
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join to a table with unique keys, with the rows that have no key spread out.
+
+    A shuffle would send all NULL keys to one task. They match nothing, so a second key, salted
+    on the rows without a key and constant otherwise, scatters them without a change in result.
+    Hot keys that do match are split by adaptive execution, which a left join allows.
+    """
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SALTS)) + 1
+                  ).otherwise(0).cast("int")
+    salted = lookup.withColumn("_salt", F.lit(0))
+    return df.withColumn("_salt", salt).join(salted, [key, "_salt"], "left").drop("_salt")
+
+
 def using(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return a.join(b, key, "inner")
 

@@ -11,6 +11,7 @@ from roadlines.functions.text import (
     general_road_number, safe_double, target_flag, target_road_number,
 )
 from roadlines.operators.filters import role
+from roadlines.operators.joins import lookup_join
 
 
 def with_road_number(df: DataFrame, rules: TargetRules) -> DataFrame:
@@ -119,8 +120,8 @@ def dedupe_points(points: DataFrame) -> DataFrame:
 def attach_road(points: DataFrame, roads: DataFrame) -> DataFrame:
     """Left join to the segments; adds road names and a point in RD."""
     lookup = roads.select("wegvak_id", "road_number_raw", "road_number_norm", "is_target_a2",
-                          "start_hm", "end_hm", F.col("geom_rd").alias("_line"))
-    joined = points.join(lookup, "wegvak_id", "left")
+                          "start_hm", "end_hm", "length_m", geo.measured("geom_rd").alias("_line"))
+    joined = lookup_join(points, lookup, "wegvak_id", "point_id")
     begin, finish = F.coalesce("start_hm", F.lit(0.0)), F.coalesce("end_hm", F.lit(0.0))
     # a measure range of zero gives NULL, and greatest() skips it: the start of the line
     share = (F.col("hm") - begin) / F.nullif(F.abs(finish - begin), F.lit(0.0))
@@ -129,8 +130,8 @@ def attach_road(points: DataFrame, roads: DataFrame) -> DataFrame:
         "geom_rd",
         F.when(F.col("x_rd").isNotNull() & F.col("y_rd").isNotNull(), geo.point("x_rd", "y_rd"))
         .when(F.col("wegvak_id").isNotNull() & F.col("hm").isNotNull()
-              & F.col("_line").isNotNull(), geo.interpolate("_line", "_share"))
-    ).drop("_line", "_share")
+              & F.col("_line").isNotNull(), geo.on_measured("_line", "length_m", "_share"))
+    ).drop("_line", "_share", "length_m")
 
 
 def build_points(puntlocaties: DataFrame, hectopunten: DataFrame, roads: DataFrame,
