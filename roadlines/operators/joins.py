@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlines.functions import geometry as geo
@@ -93,27 +93,37 @@ def covered_km(intervals: DataFrame) -> DataFrame:
             .distinct())
 
 
-def _level_size(cell: float, level: Column) -> Column:
-    return F.lit(cell) * F.pow(F.lit(float(FACTOR)), level)
+def _box_distance(box: str) -> Column:
+    """Distance from (x, y) to a box; zero inside."""
+    dx = f"greatest({box}.xmin - x, x - {box}.xmax, 0D)"
+    dy = f"greatest({box}.ymin - y, y - {box}.ymax, 0D)"
+    return F.expr(sh.hypotenuse(dx, dy))
 
 
-def _extent(points: DataFrame, lines: DataFrame) -> tuple[float, float, float]:
-    """Lowest x and y, and the diagonal, of everything there is (one aggregated row)."""
-    vertices = lines.select(F.explode("geom").alias("v")).select("v.x", "v.y")
-    b = points.select("x", "y").unionByName(vertices).agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"),
-        F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+def _corner(lines: DataFrame) -> tuple[float, float, float]:
+    """Lowest first vertex and the larger side of the box of all first vertices (one row)."""
+    b = lines.agg(F.min("home.x").alias("x0"), F.max("home.x").alias("x1"),
+                  F.min("home.y").alias("y0"), F.max("home.y").alias("y1")).first()
     if b["x0"] is None:
         return 0.0, 0.0, 0.0
-    return b["x0"], b["y0"], ((b["x1"] - b["x0"]) ** 2 + (b["y1"] - b["y0"]) ** 2) ** 0.5
-
-
-def _levels(diagonal: float, cell: float) -> int:
-    """Coarsening steps after which one cell, counted from the lowest corner, holds everything."""
-    level, size = 0, cell
-    while size < diagonal * 1.01 + 1.0:
-        level, size = level + 1, size * FACTOR
-    return level
+    return b["x0"], b["y0"], max(b["x1"] - b["x0"], b["y1"] - b["y0"])
+
+
+def _tree(lines: DataFrame, by: Sequence[str], top: int) -> DataFrame:
+    """Nodes of all levels over the lines' home cells: box of their lines and one of their
+    vertices. A node of level k covers FACTOR x FACTOR nodes of level k - 1."""
+    leaves = lines.groupBy(*by, "cx", "cy").agg(
+        F.min("box.xmin").alias("xmin"), F.min("box.ymin").alias("ymin"),
+        F.max("box.xmax").alias("xmax"), F.max("box.ymax").alias("ymax"), F.min("home").alias("v"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(max(top - 1, 0))))
+    width = F.pow(F.lit(FACTOR), F.col("level"))
+    return (
+        leaves.withColumn("level", level)
+        .withColumns({c: F.floor(F.col(c) / width).cast("long") for c in ("cx", "cy")})
+        .groupBy(*by, "level", "cx", "cy").agg(
+            F.struct(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"),
+                     F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")).alias("box"),
+            F.min("v").alias("v")))
 
 
 def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: float = 250.0,
@@ -123,68 +133,54 @@ def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: f
     points: `by`, x, y. lines: `by`, geom, `tie` (unique per group, lower wins), `carry`.
     Result: `by`, x, y, dist, along, total, `tie`, `carry`.
 
-    1. Equal points are handled once; of equal lines only the one that wins ties is kept.
-    2. Any vertex in the point's own cell, over ever coarser cells, bounds the distance.
-    3. At the level whose cell is wider than that bound, lines are listed in all cells within
-       one cell of their edges, so the point's own cell lists every possible winner.
-    Coarse cells hold many points and few vertices, so step 2 salts them.
+    Equal points are handled once; of equal lines only the one that wins ties is kept. Lines
+    have a home cell (that of their first vertex), cells form a tree. All points walk down the
+    tree together, one equi-join per level: a vertex of every child bounds a point's distance
+    from above, the child's box from below, and children beyond the bound are dropped. A far
+    point therefore keeps a few cells per level, as a near one does. The number of levels
+    depends on the extent only. Coarse levels have few nodes, asked for by many points, so
+    those joins are salted.
     """
     by = list(by)
-    where = cut(points.select(*by, "x", "y").where(
-        F.col("x").isNotNull() & F.col("y").isNotNull()).distinct())
     unique = cut(
         lines.where(F.size("geom") >= 1)
         .groupBy(*by, "geom").agg(F.min(F.struct(tie, *carry)).alias("p"))
-        .select(*by, "geom", f"p.{tie}", *[f"p.{c}" for c in carry]))
-    x0, y0, diagonal = _extent(where, unique)
-    top = _levels(diagonal, cell)
-    ladder = F.explode(F.sequence(F.lit(0), F.lit(top)))
-    size = _level_size(cell, F.col("level"))
-
-    def cell_of(c: Column, origin: float) -> Column:
-        return F.floor((c - origin) / size).cast("long")
-
-    salt_of_level = F.when(F.col("level") == 0, F.lit(1)).otherwise(SALTS)
-    vertices = (
-        unique.select(*by, F.explode("geom").alias("v"))
-        .withColumn("level", ladder)
-        .withColumns({"cx": cell_of(F.col("v.x"), x0), "cy": cell_of(F.col("v.y"), y0)})
-        .groupBy(*by, "level", "cx", "cy").agg(F.min("v").alias("v"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), salt_of_level - 1))))
-    probes = (
-        where.withColumn("level", ladder)
-        .withColumns({"cx": cell_of(F.col("x"), x0), "cy": cell_of(F.col("y"), y0)})
-        .withColumn("salt", F.pmod(F.xxhash64("x", "y"), salt_of_level).cast("int")))
-    bound = (
-        probes.join(vertices, [*by, "level", "cx", "cy", "salt"])
-        .groupBy(*by, "x", "y").agg(F.min(geo.gap(sh.point("x", "y"), "v")).alias("bound"))
-        # a little slack, so that rounding cannot exclude the line the bound comes from
-        .withColumn("bound", F.col("bound") * (1 + 1e-9) + 1e-6))
-    sizes = [cell * FACTOR ** k for k in range(top + 1)]
-    level = F.size(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s < F.col("bound")))
-    asked = (bound.withColumn("level", F.least(level, F.lit(top)))
-             .withColumns({"cx": cell_of(F.col("x"), x0), "cy": cell_of(F.col("y"), y0)}))
-
-    # a line of one vertex is listed by an edge from the vertex to itself
-    segments = F.when(F.size("geom") == 1, geo.edges("concat(geom, geom)")).otherwise(
-        geo.edges("geom"))
-
-    def reach(a: str, b: str, origin: float) -> Column:
-        lo = cell_of(F.least(f"e.{a}", f"e.{b}"), origin) - 1
-        hi = cell_of(F.greatest(f"e.{a}", f"e.{b}"), origin) + 1
-        return F.explode(F.sequence(lo, hi))
-
-    listed = (
-        unique.select(*by, tie, F.explode(segments).alias("e"))
-        .withColumn("level", ladder)
-        .withColumn("cx", reach("x1", "x2", x0)).withColumn("cy", reach("y1", "y2", y0))
-        .select(*by, tie, "level", "cx", "cy").distinct())
-    shapes = unique.withColumn("box", geo.envelope("geom"))
-    candidates = asked.join(listed, [*by, "level", "cx", "cy"]).join(shapes, [*by, tie])
-    out_x = F.greatest(F.col("box.xmin") - F.col("x"), F.col("x") - F.col("box.xmax"), F.lit(0.0))
-    out_y = F.greatest(F.col("box.ymin") - F.col("y"), F.col("y") - F.col("box.ymax"), F.lit(0.0))
-    near_box = candidates.where(F.sqrt(out_x * out_x + out_y * out_y) <= F.col("bound"))
-    return _winner(near_box, by, tie, carry)
+        .select(*by, "geom", f"p.{tie}", *[f"p.{c}" for c in carry],
+                geo.start("geom").alias("home"), geo.envelope("geom").alias("box")))
+    x0, y0, side = _corner(unique)
+    top = 0
+    while cell * FACTOR ** top <= side:
+        top += 1
+    homed = unique.withColumns({
+        "cx": F.floor((F.col("home.x") - x0) / cell).cast("long"),
+        "cy": F.floor((F.col("home.y") - y0) / cell).cast("long")})
+    nodes = cut(_tree(homed, by, top))
+
+    zero = F.lit(0).cast("long")
+    near = (
+        points.select(*by, "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
+        .withColumns({"cx": zero, "cy": zero, "bound": F.lit(float("inf"))}))
+    mine = Window.partitionBy(*by, "x", "y")
+    for level in range(top - 1, -1, -1):
+        salts = SALTS if level else 1
+        children = nodes.where(F.col("level") == level).select(
+            *by, F.floor(F.col("cx") / FACTOR).cast("long").alias("px"),
+            F.floor(F.col("cy") / FACTOR).cast("long").alias("py"),
+            F.col("cx").alias("kx"), F.col("cy").alias("ky"), "box", "v",
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        asked = near.select(
+            *by, "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"), "bound",
+            F.pmod(F.xxhash64("x", "y"), F.lit(salts)).cast("int").alias("salt"))
+        met = asked.join(children, [*by, "px", "py", "salt"]).select(
+            *by, "x", "y", "kx", "ky", "bound", _box_distance("box").alias("away"),
+            geo.gap(sh.point("x", "y"), "v").alias("reach"))
+        # a little slack, so that rounding cannot drop the line the bound comes from
+        known = met.withColumn("bound", F.least(
+            "bound", F.min(F.col("reach") * (1 + 1e-9) + 1e-6).over(mine)))
+        near = known.where(F.col("away") <= F.col("bound")).select(
+            *by, "x", "y", F.col("kx").alias("cx"), F.col("ky").alias("cy"), "bound")
+    pairs = near.join(homed, [*by, "cx", "cy"]).where(_box_distance("box") <= F.col("bound"))
+    return _winner(pairs, by, tie, carry)
 
 
 def _winner(pairs: DataFrame, by: Sequence[str], tie: str, carry: Sequence[str]) -> DataFrame:

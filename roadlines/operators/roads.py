@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlines.config import ColumnMap, TargetRules
@@ -12,6 +12,7 @@ from roadlines.functions.text import (
 )
 from roadlines.operators.filters import role
 from roadlines.operators.joins import lookup_join
+from roadlines.operators.scan import prefix_scan
 
 
 def with_road_number(df: DataFrame, rules: TargetRules) -> DataFrame:
@@ -156,10 +157,7 @@ def best_point(points: DataFrame) -> DataFrame:
 
 
 def hm_chain(roads: DataFrame, bucket: int = 100, min_jump: float = 100.0) -> DataFrame:
-    """Segments kept one per hm bucket (the longest), chained by hm, with the jump to the next.
-
-    `bucket` bounds the rows of a road's chain by its hm range, so the per-road window is small.
-    """
+    """Segments kept one per hm bucket (the longest), chained by hm, with the jump to the next."""
     hr = roads.where((F.coalesce("carriageway", F.lit("")) == "HR") & F.col("geom_rd").isNotNull())
     measured = hr.select(
         F.col("road_number_norm").alias("road_number"), "wegvak_id", "geom_rd",
@@ -173,13 +171,13 @@ def hm_chain(roads: DataFrame, bucket: int = 100, min_jump: float = 100.0) -> Da
                             geo.end("geom_rd").alias("last"))).alias("s"))
         .select("road_number", "hm_bucket", "s.wegvak_id", "s.hm_mid", "s.first", "s.last",
                 (-F.col("s.neg")).alias("seg_len_m")))
-    along = Window.partitionBy("road_number").orderBy("hm_mid", "wegvak_id")
+    chained = prefix_scan(longest, ["road_number"], ["hm_mid", "wegvak_id"], rank="seg_ord",
+                          sums={"chain_end_m": "seg_len_m"})
+    following = chained.select("road_number", (F.col("seg_ord") - 1).alias("seg_ord"),
+                               F.col("first").alias("next"))
     return (
-        longest.withColumn("seg_ord", F.row_number().over(along).cast("long"))
-        .withColumn("chain_end_m", F.sum("seg_len_m").over(
-            along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        chained.join(following, ["road_number", "seg_ord"], "left")
         .withColumn("chain_start_m", F.col("chain_end_m") - F.col("seg_len_m"))
-        .withColumn("next", F.lead("first").over(along))
         .withColumn("jump_m", geo.gap("last", "next"))
         .withColumn("is_gap", F.coalesce(F.col("jump_m") > min_jump, F.lit(False)))
         .drop("first", "last", "next"))
