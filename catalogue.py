@@ -509,6 +509,12 @@ def segment_chain(n: Network) -> DataFrame:
         r(c, 4).alias(c) for c in ("seg_len_m", "chain_start_m", "chain_end_m")])
 
 
+@query
+def ordered_segments(n: Network) -> DataFrame:
+    return ch.chain_measures(ch.order_segments(n.stored_roads)).select(
+        "road_number", "wegvak_id", "seg_ord", r("chain_start_m", 4).alias("chain_start_m"))
+
+
 @query
 def chain_total(n: Network) -> DataFrame:
     return ch.chain_total(n.chain).select("road_number", r("total_length_m", 4).alias("total_length_m"))

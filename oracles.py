@@ -500,6 +500,7 @@ SELECT road AS road_number, {rnd('mx', 4)} AS min_x, {rnd('my', 4)} AS min_y, {r
     "segment_chain": f"""
 SELECT road AS road_number, wegvak_id, seg_ord, {rnd('length_m', 4)} AS seg_len_m, {rnd('cs', 4)} AS chain_start_m,
  {rnd('ce', 4)} AS chain_end_m FROM chain""",
+    "ordered_segments": f"SELECT road AS road_number, wegvak_id, seg_ord, {rnd('cs', 4)} AS chain_start_m FROM chain",
     "chain_total": f"SELECT road AS road_number, {rnd('total', 4)} AS total_length_m FROM total",
     "wegvak_canonical": "SELECT road AS road_number, wegvak_id, canonical AS canonical_wegvak_id FROM canon",
     "successor_gaps": f"""

@@ -51,21 +51,45 @@ def on_axis(segments: DataFrame, axis: DataFrame) -> DataFrame:
             .drop("centroid", "min_x", "min_y", "ux", "uy"))
 
 
+SEGMENT = ("road_number", "wegvak_id", "geom_rd", "start_hm", "end_hm", "seg_len_m")
+
+
+def projected_segments(roads: DataFrame, direction: str = GEOMETRY_DIRECTION,
+                       road: str | None = None) -> DataFrame:
+    """Drawn segments with their axis position."""
+    segments = drawn_segments(roads, direction, road)
+    return on_axis(segments, road_axis(segments)).withColumnRenamed(
+        "length_m", "seg_len_m").select(*SEGMENT, "proj")
+
+
+def chain_order(projected: DataFrame) -> DataFrame:
+    """Rank of each segment along its road (ties by id), without a per-road window."""
+    return prefix_scan(projected, ["road_number"], ["proj", "wegvak_id"], rank="seg_ord")
+
+
+def order_segments(roads: DataFrame, direction: str = GEOMETRY_DIRECTION,
+                   road: str | None = None) -> DataFrame:
+    """Segments of each road in order of their axis position."""
+    return chain_order(projected_segments(roads, direction, road)).drop("proj")
+
+
+def chain_measures(ordered: DataFrame) -> DataFrame:
+    """Start and end metres of ranked segments."""
+    summed = prefix_scan(ordered, ["road_number"], ["seg_ord"], sums={"chain_end_m": "seg_len_m"})
+    return summed.withColumn("chain_start_m", F.col("chain_end_m") - F.col("seg_len_m"))
+
+
 def build_chain(roads: DataFrame, direction: str = GEOMETRY_DIRECTION,
                 road: str | None = None) -> DataFrame:
     """Chain of each road: segments by axis position, with rank and start and end metres.
 
-    Rank and running length need no per-road window; see `prefix_scan`.
+    The same as chain_measures(order_segments(...)), with one scan for rank and sum.
     """
-    segments = drawn_segments(roads, direction, road)
-    slim = on_axis(segments, road_axis(segments)).select(
-        "road_number", "wegvak_id", "start_hm", "end_hm", F.col("length_m").alias("seg_len_m"),
-        "geom_rd", "proj")
-    scanned = prefix_scan(slim, ["road_number"], ["proj", "wegvak_id"], rank="seg_ord",
-                          sums={"chain_end_m": "seg_len_m"})
+    scanned = prefix_scan(projected_segments(roads, direction, road), ["road_number"],
+                          ["proj", "wegvak_id"], rank="seg_ord", sums={"chain_end_m": "seg_len_m"})
     return scanned.select(
-        "road_number", "wegvak_id", "geom_rd", "start_hm", "end_hm", "seg_len_m", "seg_ord",
-        (F.col("chain_end_m") - F.col("seg_len_m")).alias("chain_start_m"), "chain_end_m")
+        *SEGMENT, "seg_ord", (F.col("chain_end_m") - F.col("seg_len_m")).alias("chain_start_m"),
+        "chain_end_m")
 
 
 def chain_total(chain: DataFrame) -> DataFrame:
@@ -74,6 +98,11 @@ def chain_total(chain: DataFrame) -> DataFrame:
         F.coalesce(F.max("chain_end_m"), F.lit(0.0)).alias("total_length_m"))
 
 
+def canonical_min(bucketed: DataFrame) -> DataFrame:
+    """Lowest segment id, as text, per road and axis bucket."""
+    return bucketed.groupBy("road_number", "bucket").agg(F.min("wegvak_id").alias("_lowest"))
+
+
 def canonical_segments(roads: DataFrame, chain: DataFrame, bucket_m: int = AXIS_BUCKET_M,
                        road: str | None = None) -> DataFrame:
     """Main-carriageway segment -> lowest chain segment id in its axis bucket, else itself.
@@ -85,9 +114,7 @@ def canonical_segments(roads: DataFrame, chain: DataFrame, bucket_m: int = AXIS_
         "road_number", "wegvak_id", F.floor(F.col("proj") / bucket_m).alias("bucket"))
     in_chain = bucketed.join(chain.select("road_number", "wegvak_id"),
                              ["road_number", "wegvak_id"], "inner")
-    lowest = in_chain.groupBy("road_number", "bucket").agg(
-        F.min("wegvak_id").alias("_lowest"))
-    return bucketed.join(lowest, ["road_number", "bucket"], "left").select(
+    return bucketed.join(canonical_min(in_chain), ["road_number", "bucket"], "left").select(
         "road_number", "wegvak_id",
         F.coalesce("_lowest", "wegvak_id").alias("canonical_wegvak_id"))
 

@@ -180,10 +180,10 @@ def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: f
         near = known.where(F.col("away") <= F.col("bound")).select(
             *by, "x", "y", F.col("kx").alias("cx"), F.col("ky").alias("cy"), "bound")
     pairs = near.join(homed, [*by, "cx", "cy"]).where(_box_distance("box") <= F.col("bound"))
-    return _winner(pairs, by, tie, carry)
+    return nearest_pick(pairs, by, tie, carry)
 
 
-def _winner(pairs: DataFrame, by: Sequence[str], tie: str, carry: Sequence[str]) -> DataFrame:
+def nearest_pick(pairs: DataFrame, by: Sequence[str], tie: str, carry: Sequence[str]) -> DataFrame:
     """Lowest (distance, tie) per point; partly aggregated before its shuffle."""
     measured = pairs.select(
         *by, "x", "y", tie, *carry,
@@ -199,4 +199,4 @@ def nearest_brute(points: DataFrame, lines: DataFrame, by: Sequence[str], tie: s
                   carry: Sequence[str] = ()) -> DataFrame:
     """All pairs of a group; a test twin of nearest_join for small fixtures."""
     pairs = points.select(*by, "x", "y").distinct().join(lines, list(by))
-    return _winner(pairs, list(by), tie, carry)
+    return nearest_pick(pairs, list(by), tie, carry)

@@ -128,6 +128,6 @@ def merge_lines(df: DataFrame, keys: Sequence[str], geom: str = "geom") -> DataF
     return alone.unionByName(merged)
 
 
-def collect_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def collect_lines(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Parts of a key group in one row (`geom_parts`), as a drawn feature needs them."""
     return parts.groupBy(*keys).agg(F.array_sort(F.collect_list("geom")).alias("geom_parts"))

@@ -15,7 +15,7 @@ from roadlines.operators.accidents import (
     attach_casualties, attach_intervals, km_weights, on_segments, road_km, select_accidents,
 )
 from roadlines.operators.joins import segment_intervals
-from roadlines.operators.merge import collect_parts, merge_lines
+from roadlines.operators.merge import collect_lines, merge_lines
 
 KEYS = ("road_number", "bin_size_km", "bin_idx")
 
@@ -105,7 +105,7 @@ def road_bins(roads: DataFrame, accidents: DataFrame, intervals: DataFrame,
         F.col("accident_count"), F.col("length_m"), F.col("year_span")))
     if not geometry:
         return dense.drop("bin_idx")
-    drawn = collect_parts(bin_parts(segments, grid), KEYS)
+    drawn = collect_lines(bin_parts(segments, grid), KEYS)
     return with_drawing(dense.join(drawn, list(KEYS), "left")).drop("bin_idx")
 
 
