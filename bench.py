@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-import __spark_entry__ as entry
+import catalogue
 
 HEADLINE = ["road_bins_flagship", "road_bins_all", "road_bins_sizes", "bins_geometry", "accidents_norm",
             "accidents_per_km", "road_accidents", "roads_summary", "stats_by_year", "segment_chain",
@@ -27,14 +27,21 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    queries = entry.queries()
     # one untimed query loads classes and starts the executors' threads
-    queries["roads_norm"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    catalogue.queries()["roads_norm"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
+    # the tables are built once, then queried, as in production; the build is timed as well
+    t0 = time.perf_counter()
+    network = catalogue.StoredNetwork(spark, sf_dir).build()
+    times["build_tables"] = round(time.perf_counter() - t0, 3)
     for name in HEADLINE:
         t0 = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        catalogue.functions()[name](network).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+    # and one query from the raw tables to the result
+    t0 = time.perf_counter()
+    catalogue.queries()["road_bins_flagship"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    times["road_bins_from_raw"] = round(time.perf_counter() - t0, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()

@@ -30,7 +30,7 @@ from roadlines.session import cut
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = AppConfig()
 ROAD_TEXT = ("wegnr_hmp", "wegbehsrt", "wegnummer", "routeltr", "routenr")
-_QUERIES: dict[str, Query] = {}
+_FUNCTIONS: dict[str, Callable[[Network], DataFrame]] = {}
 
 
 class Network:
@@ -126,12 +126,63 @@ class Network:
 
 
 def query(fn: Callable[[Network], DataFrame]) -> Callable[[Network], DataFrame]:
-    _QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Network(spark, sf_dir))
+    _FUNCTIONS[fn.__name__] = fn
     return fn
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    """Queries that start from the driver's tables."""
+    return {name: (lambda spark, sf_dir, fn=fn: fn(Network(spark, sf_dir)))
+            for name, fn in _FUNCTIONS.items()}
+
+
+def functions() -> dict[str, Callable[[Network], DataFrame]]:
+    """The same queries on a network, which may hold written tables."""
+    return dict(_FUNCTIONS)
+
+
+class StoredNetwork(Network):
+    """A network whose tables are written once, as the batch job does, and then queried."""
+
+    def build(self) -> StoredNetwork:
+        """Write roads, accidents, chain, chainage and bin cube."""
+        for table in (self.roads, self.accidents, self.chain, self.chainage):
+            assert table.columns
+        return self
+
+    @cached_property
+    def roads(self) -> DataFrame:
+        built = rd.build_roads(self.raw.wegvakken, self.raw.wegvakgeografie, self.cmap)
+        return clustered(built, "road_number_norm", "wegvak_id")
+
+    @cached_property
+    def stored_roads(self) -> DataFrame:
+        return self.roads
+
+    @cached_property
+    def accidents(self) -> DataFrame:
+        built = ac.locate_accidents(self.staging, self.roads, self.points, casualties=True)
+        return clustered(built, "road_number_norm", "accident_id")
+
+    @cached_property
+    def stored_accidents(self) -> DataFrame:
+        return self.accidents
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        return self.accidents
+
+    @cached_property
+    def intervals(self) -> DataFrame:
+        return cut(ac.intervals_of(self.raw.hectointervallen, self.cmap))
+
+    @cached_property
+    def chainage(self) -> DataFrame:
+        return cut(ch.accident_chainage(self.accidents, self.roads, self.chain))
+
+
+def clustered(df: DataFrame, *order: str) -> DataFrame:
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
