@@ -177,15 +177,15 @@ def km_weights(accidents: DataFrame, roads: DataFrame, intervals: DataFrame,
     spots = intervals.groupBy("wegvak_id", middle.alias("middle")).agg(
         F.count(F.lit(1)).alias("spots"))
     repeats = spots.groupBy("wegvak_id").agg(F.sum("spots").alias("spots"))
-    marked = (on_road.where(F.col("hm").isNotNull()).join(repeats, "wegvak_id", "left")
-              .withColumn("road_km", F.col("hm") / HM_PER_KM))
-    unmarked = (on_road.where(F.col("hm").isNull()).join(spots, "wegvak_id", "left")
-                .withColumnRenamed("middle", "road_km"))
+    # one lookup for both kinds of accidents, so that they are read and grouped once
+    places = spots.withColumn("marked", F.lit(False)).unionByName(
+        repeats.withColumns({"marked": F.lit(True), "middle": F.lit(None).cast("double")}))
+    placed = on_road.withColumn("marked", F.col("hm").isNotNull()).join(
+        places, ["wegvak_id", "marked"], "left")
     weight = F.col("copies") * F.coalesce("spots", F.lit(1))
-    columns = [F.col("road_number_norm").alias("road_number"), "road_km",
-               *[(F.col(c) * weight).alias(c) for c in totals]]
-    both = marked.select(*columns).unionByName(unmarked.select(*columns))
-    return both.groupBy("road_number", "road_km").agg(*[F.sum(c).alias(c) for c in totals])
+    km = F.coalesce(F.col("hm") / HM_PER_KM, F.col("middle"))
+    return placed.groupBy(F.col("road_number_norm").alias("road_number"), km.alias("road_km")).agg(
+        *[F.sum(F.col(c) * weight).alias(c) for c in totals])
 
 
 def limit_points(df: DataFrame, n: int = MAX_ACCIDENT_POINTS) -> DataFrame:

@@ -81,7 +81,7 @@ def density_breaks(bins: DataFrame, by: Sequence[str] = ("road_number", "bin_siz
     value = F.coalesce(F.col("density_per_km_year"), F.lit(0.0))
     counted = bins.groupBy(*by, value.alias("d")).agg(F.count(F.lit(1)).alias("n"))
     ranked = prefix_scan(counted, by, ["d"], sums={"upto": "n"})
-    size = bins.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    size = ranked.groupBy(*by).agg(F.max("upto").alias("size"))
     placed = ranked.join(size, by)
     picks = []
     for p in PERCENTILES:

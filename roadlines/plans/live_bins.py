@@ -27,9 +27,14 @@ def suffix(main_road_only: bool, direction: str | None) -> str:
 
 def drawn_intervals(roads: DataFrame, intervals: DataFrame, road: str | None = None,
                     main_road_only: bool = True, direction: str | None = None) -> DataFrame:
-    """Km intervals of the segments that are drawn, with their lines."""
+    """Km intervals of the segments that are drawn, with their lines.
+
+    A segment has a length exactly if it has a line; testing the length spares reading the
+    lines where only the intervals are used.
+    """
     segments = flt.geometry_direction(
-        flt.main_road(flt.has_geometry(flt.on_road(roads, road)), main_road_only), direction)
+        flt.main_road(flt.has_geometry(flt.on_road(roads, road), "length_m"), main_road_only),
+        direction)
     return segment_intervals(
         segments.select("wegvak_id", F.col("road_number_norm").alias("road_number"), "geom_rd"),
         intervals)

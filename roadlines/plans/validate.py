@@ -78,30 +78,35 @@ def bbox_inside(roads: DataFrame) -> DataFrame:
 
 
 def unresolved_share(accidents: DataFrame) -> DataFrame:
-    n = F.count(F.lit(1))
-    lost = F.count_if(F.col("location_quality") == stats.UNRESOLVED)
-    sums = accidents.agg(n.alias("n"), lost.alias("lost"))
+    """Accidents, unresolved ones and their share; rows may carry a count `n`."""
+    weight = F.col("n") if "n" in accidents.columns else F.lit(1).cast("long")
+    lost = F.when(F.col("location_quality") == stats.UNRESOLVED, weight)
+    zero = F.lit(0).cast("long")
+    sums = accidents.agg(F.coalesce(F.sum(weight), zero).alias("n"),
+                         F.coalesce(F.sum(lost), zero).alias("lost"))
     share = 100.0 * F.col("lost") / F.greatest(F.col("n"), F.lit(1))
     return _rows(sums, [_row("accidents", F.col("n"), F.lit(True)),
                         _row("unresolved", F.col("lost"), F.lit(True)),
                         _row("unresolved_pct", share, F.lit(True))])
 
 
-def _distribution(accidents: DataFrame, key: str, prefix: str) -> DataFrame:
+def _distribution(cube: DataFrame, key: str, prefix: str) -> DataFrame:
     named = F.concat(F.lit(prefix), F.coalesce(F.col(key).cast("string"), F.lit("(null)")))
-    return accidents.groupBy(named.alias("name")).agg(
-        F.count(F.lit(1)).cast("double").alias("value")).withColumn("ok", F.lit(True))
+    return cube.groupBy(named.alias("name")).agg(
+        F.sum("n").cast("double").alias("value")).withColumn("ok", F.lit(True))
 
 
 def validate(raw: DataFrame, accidents: DataFrame, roads: DataFrame,
              road: str, bins: DataFrame | None = None, top: DataFrame | None = None) -> DataFrame:
     """The full report of one road: counts, boxes, distributions, busiest bins."""
-    on = flt.on_road(accidents, road)
+    # one small cube serves the share and all distributions; its exchange is planned once
+    cube = flt.on_road(accidents, road).groupBy(
+        "accident_year", "severity", "location_quality").agg(F.count(F.lit(1)).alias("n"))
     segments = flt.on_road(roads, road)
-    parts = [same_count(raw, accidents), unresolved_share(on), has_segments(segments),
-             bbox_inside(segments), _distribution(on, "accident_year", "year_"),
-             _distribution(on, "severity", "severity_"),
-             _distribution(on, "location_quality", "quality_")]
+    parts = [same_count(raw, accidents), unresolved_share(cube), has_segments(segments),
+             bbox_inside(segments), _distribution(cube, "accident_year", "year_"),
+             _distribution(cube, "severity", "severity_"),
+             _distribution(cube, "location_quality", "quality_")]
     if bins is not None:
         parts.append(invalid_geometry(bins.where(F.col("road_number") == road)))
     if top is not None:
