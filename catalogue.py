@@ -25,7 +25,8 @@ from roadlines.plans import export as ex
 from roadlines.plans import live_bins as lb
 from roadlines.plans import profile as pf
 from roadlines.plans import validate as va
-from roadlines.session import cut
+from roadlines.session import cut, shared_path
+from roadlines.sources.delimited import read_delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = AppConfig()
@@ -706,6 +707,19 @@ def bin_enrich(n: Network) -> DataFrame:
         "bin_id", r("density_per_km_year").alias("density_per_km_year"), "year_span")
 
 
+# ---- sources -----------------------------------------------------------------------------
+
+@query
+def delimited_scan(n: Network) -> DataFrame:
+    """The accident table written as delimited text, its format sniffed, read back as text."""
+    path = shared_path(n.spark, "text")
+    n.raw.accidents.write.csv(path, header=True, sep=";", quoteAll=True, emptyValue="",
+                              ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_delimited(n.spark, path)
+    names = [c for c in back.columns if not c.startswith("_")]
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names])
+
+
 # ---- profile, validation, export ---------------------------------------------------------
 
 @query

@@ -93,7 +93,7 @@ _DUCK_TWICE = "CROSS JOIN (VALUES (0), (1)) t(k)"
 # read with a given schema, so that planning opens no file
 SCHEMAS = {
     "part": "p_partkey bigint, p_size int",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp, "
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, "
               "o_orderpriority string",
     "supplier": "s_suppkey bigint, s_nationkey int",
     "customer": "c_custkey bigint, c_nationkey int",

@@ -565,6 +565,9 @@ SELECT bin_id, {rnd('CASE i % 4 WHEN 0 THEN density_per_km_year WHEN 1 THEN dens
     "bin_enrich": f"""
 SELECT bin_id, {rnd('accident_count / CASE WHEN i % 3 = 0 AND length_m > 0 THEN length_m / 1000.0 WHEN i % 3 <= 1 AND bin_end_m > bin_start_m THEN (bin_end_m - bin_start_m) / 1000.0 ELSE bin_size_km END / CASE WHEN i % 2 = 0 THEN year_span ELSE 10 END')} AS density_per_km_year,
  CASE WHEN i % 2 = 0 THEN year_span ELSE 10 END * 1e0 AS year_span FROM ls_out""",
+    "delimited_scan": "SELECT " + ", ".join(f"coalesce({c}, '') AS {c}" for c in (
+        "vkl_nummer jaar_vkl datum_vkl uur ap3_code aol_id wvk_id fk_veld5 hectometer antl_dod antl_gzh "
+        "x_direct y_direct").split()) + " FROM fx_accidents",
     # ---- profile and validation
     "value_frequencies": """
 SELECT col AS "column", v AS value, n AS rows FROM frequency QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, v) <= 5""",

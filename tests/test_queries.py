@@ -10,10 +10,9 @@ from conftest import SF
 import __spark_entry__ as entry
 from check import TABLES, norm
 
-SAMPLE = ["roads_norm", "road_points_norm", "accidents_norm", "accidents_direct_xy", "line_locate",
-          "road_bins_flagship", "road_bins_direction", "bins_geometry", "tail_km", "road_meta", "road_search",
-          "segment_chain", "accident_chainage", "chain_bins", "top_bins", "density_classes", "road_candidates",
-          "validation_checks", "uncovered_km", "hm_chain_gaps"]
+SAMPLE = ["roads_norm", "accidents_direct_xy", "line_locate", "road_bins_flagship", "bins_geometry", "tail_km",
+          "road_search", "accident_chainage", "chain_bins", "density_classes", "validation_checks", "hm_chain_gaps"]
+EQUI_JOINED = ["road_bins_all", "accidents_norm", "bins_clip", "road_meta"]
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +42,15 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "geojson" in df.columns
+
+
+@pytest.mark.parametrize("name", EQUI_JOINED)
+def test_no_nested_loops(spark, name):
+    """Even with automatic broadcasts off, every join has an equality to shuffle on."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
