@@ -63,10 +63,9 @@ def reattach_accidents(binned: DataFrame, accidents: DataFrame,
 
 
 def cross_one(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a frame with exactly one row; the aggregate proves the bound."""
+    """Attach the columns of a frame with exactly one row, as scalar subqueries (no join)."""
     single = one_row.agg(*[F.first(c).alias(c) for c in one_row.columns])
-    return df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(single.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return df.select("*", *[single.select(c).scalar().alias(c) for c in single.columns])
 
 
 def successor_gaps(chain: DataFrame, min_jump: float = 100.0) -> DataFrame:

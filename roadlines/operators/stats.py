@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadlines.config import AppConfig
 from roadlines.functions import geometry as geo
 from roadlines.operators import filters as flt
+from roadlines.operators.joins import cross_one
 
 UNRESOLVED = "unresolved"
 
@@ -103,7 +104,7 @@ def road_meta(accidents: DataFrame, roads: DataFrame, road: str | None = None,
     """Per road: accidents, unresolved ones, segments, main segments, years, severities, total.
 
     The total counts the raw accidents, or the normalised ones when there are no raw ones. It
-    is summed per partition and joined as a single proven row.
+    is summed per partition and attached as a scalar.
     """
     a = flt.on_road(accidents, road).groupBy("road_number_norm").agg(
         F.count(F.lit(1)).alias("road_accident_count"),
@@ -116,7 +117,6 @@ def road_meta(accidents: DataFrame, roads: DataFrame, road: str | None = None,
         .alias("road_mainroad_segment_count"))
     total = (accidents if raw is None else raw).agg(
         F.count(F.lit(1)).alias("total_accident_count"))
-    from roadlines.operators.joins import cross_one
     merged = a.join(r, "road_number_norm", "full").fillna(0, [
         "road_accident_count", "road_unresolved_count", "road_segment_count",
         "road_mainroad_segment_count"])
