@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; make one up only on a local master."""
+    """Use the shared folder the session names; unset, one in the warehouse, which is shared too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="roadlines-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_cuts")
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system drop `path` when this application ends."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
@@ -37,6 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "cut")
     df.write.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
