@@ -21,3 +21,10 @@ def key_of(col: str) -> Column:
 
 def sha256(col: Column) -> Column:
     return F.sha2(col, 256)
+
+
+def vocabulary(name: str) -> tuple[str, str]:
+    """Path of a public tokenizer file on the driver, and the pattern that splits text for it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN

@@ -7,6 +7,8 @@ number of distinct shingles. Native: no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,22 +23,26 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sketch(words: Column, k: int = K, size: int = WORDS) -> Column:
-    """Bottom-k sketch of a word array: fewer than `size` words are one shingle, none give [].
+    """Bottom-k sketch of a word array: fewer than `size` words are one shingle, none give []."""
+    def shingles(w: Column) -> Column:
+        n = F.size(w)
+        return F.when(n >= size, F.transform(
+            F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
+        ).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
-    The words have to be a plain column, so that they are split once and not once per shingle.
-    """
-    n = F.size(words)
-    shingles = F.when(n >= size, F.transform(
-        F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))),
-        lambda i: F.xxhash64(*[F.element_at(words, (i + j).cast("int")) for j in range(size)]))
-    ).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-    return F.slice(F.array_sort(F.array_distinct(shingles)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(bind(words, shingles))), 1, k)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
     """The sketch of the union of two parts."""
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -94,29 +100,30 @@ def fingerprint_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     of their texts as the one that a predecessor sees; every row stays. Texts move once by their
     own id and, cut to the half that is needed, once to the row before them.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), key_of(doc_id).alias("_key"),
-                        text_or_empty(text).alias("_text"))
+    own = docs.select(key_of(doc_id).alias("_key"), text_or_empty(text).alias("_text")).withColumn(
+        "_sketch", sketch(words_of(F.col("_text")), k))
     follow = next_documents(docs, doc_id)
-    sizes = plain.groupBy("_key").agg(F.max(F.char_length("_text")).alias("_n"))
+    sizes = docs.groupBy(key_of(doc_id).alias("_key")).agg(
+        F.max(F.char_length(text_or_empty(text))).alias("_n"))
     # for each document, which one stands before it and how much that one takes at most
     before = follow.join(sizes, "_key").select(
         F.col("next_key").alias("_key"), F.col("_key").alias("_taker"),
         F.floor(F.col("_n") / 2).cast("int").alias("_takes"))
-    words = plain.withColumn("_words", words_of(F.col("_text")))
     given = (
-        words.withColumn("_sketch", sketch(F.col("_words"), k)).join(before, "_key")
+        own.join(before, "_key")
         .select(F.col("_taker").alias("_key"), F.struct(
             F.expr("substring(_text, 1, _takes)").alias("t"),
             F.col("_sketch").alias("s")).alias("_given"))
         .groupBy("_key").agg(F.min("_given").alias("_given")))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
+    # both uses of `own` have the same columns, so that its texts are sketched and moved once
     edited = (
-        plain.withColumn("n_chars", F.char_length("_text").cast("long")).join(given, "_key")
-        .withColumn("_half", half)
+        own.join(given, "_key").withColumn("n_chars", F.char_length("_text").cast("long"))
+        .withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
         .withColumn("edited", F.concat(
             F.expr("substring(_text, 1, cast(n_chars - _half AS int))"),
-            F.expr("substring(_given.t, 1, _half)")))
-        .withColumns({"_words": words_of(F.col("_text")), "_edited_words": words_of(F.col("edited"))}))
+            F.expr("substring(_given.t, 1, _half)"))))
+    kind = docs.schema[doc_id].dataType
     return edited.select(
-        "doc_id", "n_chars", "edited", sketch(F.col("_words"), k).alias("sketch"),
-        sketch(F.col("_edited_words"), k).alias("edited_sketch"), F.col("_given.s").alias("next_sketch"))
+        F.nullif("_key", F.lit("-")).cast(kind).alias("doc_id"), "n_chars", "edited",
+        F.col("_sketch").alias("sketch"), sketch(words_of(F.col("edited")), k).alias("edited_sketch"),
+        F.col("_given.s").alias("next_sketch"))

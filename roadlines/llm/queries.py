@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlines.llm import byte_bpe, html_text, secrets
 from roadlines.llm import fingerprints as fp
 from roadlines.llm import url_filter
-from roadlines.llm.common import sha256, table
+from roadlines.llm.common import sha256, table, vocabulary
 
 #: The rules that the query applies, as host, path, verdict.
 URL_RULES = [
@@ -21,6 +22,48 @@ URL_RULES = [
 ]
 
 
+def span_text(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
+def base_digest(spans: Column, kinds: tuple[str, ...]) -> Column:
+    return sha256(span_text(F.filter(spans, lambda x: x["kind"].isin(*kinds))))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: a document stands for a repository, its source for the owner."""
+    spans = F.col("spans")
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count_of(spans, k).alias(f"n_{k}") for k in secrets.BASE],
+        base_digest(spans, secrets.BASE).alias("base_sha256"), span_text(spans).alias("spans"),
+        F.size(F.filter(spans, lambda x: x["live"])).cast("long").alias("n_live"),
+        F.size(F.filter(spans, lambda x: ~x["live"])).cast("long").alias("n_example"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    path, pattern = vocabulary("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(spark, path)
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    both = byte_bpe.decode(ids.select("doc_id", "ids"), ranks, pattern)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document, of its edited text, and their likeness."""
     found = fp.fingerprint_with_next(table(spark, sf_dir, "documents"))
@@ -40,7 +83,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_fingerprints, op9_url_filter)}
+    return {f.__name__: f for f in (op2_secrets, op3_byte_bpe, op5_html_text, op8_fingerprints, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
