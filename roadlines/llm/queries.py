@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlines.llm import byte_bpe, html_text, secrets
+from roadlines.llm import byte_bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, personal_data, secrets
 from roadlines.llm import fingerprints as fp
 from roadlines.llm import url_filter
 from roadlines.llm.common import sha256, table, vocabulary
@@ -36,6 +36,11 @@ def base_digest(spans: Column, kinds: tuple[str, ...]) -> Column:
     return sha256(span_text(F.filter(spans, lambda x: x["kind"].isin(*kinds))))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds within the error budget."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: a document stands for a repository, its source for the owner."""
     spans = F.col("spans")
@@ -58,12 +63,35 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, vocabulary("piece_bpe_32k.model")[0])
+    rows = language_id.labelled(docs, "doc_id").select("doc_id", "held_out", "text")
+    return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_text(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = table(spark, sf_dir, "documents")
+    spans, base = F.col("spans"), F.filter("spans", lambda x: x["base"])
+    found = personal_data.find(docs.select("doc_id", "text"), personal_data.fit(docs)).select("doc_id", "spans")
+    return found.select(
+        "doc_id", *[count_of(base, k).alias(f"n_{k}") for k in personal_data.KINDS],
+        base_digest(base, personal_data.KINDS).alias("base_sha256"), span_text(spans).alias("spans"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document, of its edited text, and their likeness."""
     found = fp.fingerprint_with_next(table(spark, sf_dir, "documents"))
@@ -82,8 +110,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand earlier, in it or in another one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_byte_bpe, op5_html_text, op8_fingerprints, op9_url_filter)}
+    return {f.__name__: f for f in (
+        op1_decontaminate, op2_secrets, op3_byte_bpe, op4_language_id, op5_html_text, op6_personal_data,
+        op7_near_dedup, op8_fingerprints, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
