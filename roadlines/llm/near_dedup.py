@@ -185,7 +185,7 @@ def may_reach(n: Column, m: Column, percent: int = PERCENT) -> Column:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of `docs`.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for each row of `docs`.
 
     Documents with equal shingle sets are one class, of which only one member goes on. Within a
     bucket of a band, each member is compared with the bucket's first, which is linear. Then only
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     id join a component but cannot name it, and are kept only in a component without any id.
     """
     signs = cut(signed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
-                .select("doc_id", "sig.*"))
+                .select("doc_id", F.xxhash64("_text").alias("text_hash"), "sig.*"))
     of_class = ["n", "a", "b"]
     classes = cut(
         signs.where(F.col("n") > 0).groupBy(*of_class).agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
@@ -242,5 +242,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     linked = signs.drop("bands").join(named, of_class, "left")
     return linked.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"), "text_hash")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of each component: the one of the least id, repeated rows only once.
+
+    Of rows without an id in a component without any id, each different text stays.
+    """
+    kept = near_duplicates(docs, doc_id, text).where("kept").select(
+        key_of("doc_id").alias("__key"), F.col("text_hash").alias("__th")).distinct()
+    keyed = docs.withColumns({"__key": key_of(doc_id), "__th": F.xxhash64(text)})
+    return keyed.join(kept, ["__key", "__th"], "left_semi").dropDuplicates(["__key", "__th"]).drop("__key", "__th")
