@@ -13,11 +13,12 @@ characters, and only inside blocks whose rest another line shares are single cha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlines.llm.common import key_of, text_or_empty
 from roadlines.llm.fingerprints import bind
+from roadlines.session import cut
 
 MIN_CHARS = 20
 BLOCK = 32
@@ -44,43 +45,43 @@ def _halves(line: Column, n: Column) -> Column:
                      for t in (n, n + 1) for b in (0, 1)])
 
 
-def _shared(rows: DataFrame, key: str, line: tuple[str, str]) -> DataFrame:
+def _shared(rows: DataFrame, key: str, line: str) -> DataFrame:
     """The rows whose `key` other lines have too; counted with partial sums, looked up salted."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(
         key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*line), F.lit(SALTS)).cast("int")).join(
+    return rows.withColumn("_salt", F.pmod(F.col(line), F.lit(SALTS)).cast("int")).join(
         counts, [key, "_salt"], "left_semi").drop("_salt")
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(key, th, at, h1, h2, halves) of every line that is long enough; `at` orders all lines."""
-    base = docs.select(F.col(doc_id).alias("_id"), key_of(doc_id).alias("key"),
-                       text_or_empty(text).alias("_text"))
-    lines = base.select("_id", "key", F.xxhash64("_text").alias("th"),
+    """(at, h1, h2, halves) of every line that is long enough; `at` orders all lines."""
+    base = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("_text"))
+    lines = base.select("_id", F.xxhash64("_text").alias("th"),
                         F.posexplode(lines_of(F.col("_text"))).alias("pos", "line"))
     n = F.char_length("line")
     return lines.where(n >= min_chars).select(
-        "key", "th", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"),
+        F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"),
                               F.col("th"), F.col("pos")).alias("at"),
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
         _halves(F.col("line"), n).alias("halves"))
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _place(at: str) -> list[Column]:
+    """The keys of the text that `at` points into."""
+    return [F.coalesce(F.col(f"{at}.id").cast("string"), F.lit("-")).alias("key"), F.col(f"{at}.th").alias("th")]
+
+
+def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2, near): the earliest other line within one edit, for the lines that have one."""
-    halves = distinct.select("h1", "h2", "at", F.explode("halves").alias("half"))
-    close = _shared(halves, "half", ("h1", "h2")).select("h1", "h2", "at").distinct()
+    halves = distinct.select("h1", F.explode("halves").alias("half"))
+    close = distinct.select("h1", "h2", "at").join(_shared(halves, "half", "h1").select("h1").distinct(), "h1")
     # texts of the lines left are read where they stand first
-    wanted = close.groupBy(
-        F.coalesce(F.col("at.id").cast("string"), F.lit("-")).alias("key"), F.col("at.th").alias("th"),
-    ).agg(F.collect_list(F.struct("at", "h1", "h2")).alias("_wanted"))
-    texts = docs.select(key_of(doc_id).alias("key"), text_or_empty(text).alias("_text")).withColumn(
-        "th", F.xxhash64("_text"))
+    wanted = close.groupBy(*_place("at")).agg(F.collect_list(F.struct("at", "h1", "h2")).alias("_wanted"))
     found = texts.join(wanted, ["key", "th"]).select(bind(
         lines_of(F.col("_text")), lambda ls: F.transform("_wanted", lambda w: F.struct(
             w["at"].alias("at"), w["h1"].alias("h1"), w["h2"].alias("h2"),
             F.get(ls, w["at"]["pos"]).alias("line")))).alias("_found"))
-    rows = found.select(F.explode("_found").alias("x")).select("x.*").distinct()
+    rows = found.select(F.explode("_found").alias("x")).select("x.*")
 
     n = F.char_length("line")
     size = F.lit(BLOCK)
@@ -91,7 +92,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) ->
         _rest_key(F.col("line"), F.col("n"), F.col("t"), size, F.col("block")).alias("rest"),
         _cut(F.col("line"), F.col("block") * BLOCK,
              F.least(size, F.col("t") - F.col("block") * BLOCK) - (F.col("t") - F.col("n"))).alias("mid"))
-    meeting = _shared(blocks, "rest", ("h1", "h2"))
+    meeting = _shared(blocks, "rest", "h1")
     m = F.char_length("mid")
     variants = F.when(F.col("longer"), F.transform(
         F.sequence(F.lit(0), m - 1), lambda j: F.struct(j.alias("j"), F.xxhash64(
@@ -102,14 +103,13 @@ def near_lines(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) ->
         F.struct("at", "mid", "h1", "h2").alias("me"))
     # A variant left at the same place joins replaced characters; a variant equal to a whole
     # shorter line joins inserted ones. Distinct lines bound both groups by alphabet and block.
-    same = keyed.groupBy("rest", "v", "j").agg(F.min("me").alias("first"), F.count(F.lit(1)).alias("c"))
-    replaced = keyed.where(F.col("j") >= 0).join(
-        same.where((F.col("c") > 1) & (F.col("j") >= 0)).drop("c"), ["rest", "v", "j"])
-    shorter = same.where(F.col("j") < 0).select("rest", "v", "first")
-    longer = same.where(F.col("j") >= 0).groupBy("rest", "v").agg(F.min("first").alias("first"))
-    inserted = keyed.where(F.col("j") >= 0).join(shorter, ["rest", "v"])
-    deleted = keyed.where(F.col("j") < 0).join(longer, ["rest", "v"])
-    pairs = replaced.drop("j").unionByName(inserted.drop("j")).unionByName(deleted.drop("j"))
+    variant, place = Window.partitionBy("rest", "v"), Window.partitionBy("rest", "v", "j")
+    left_out = F.col("j") >= 0
+    met = keyed.withColumns({
+        "_same": F.min("me").over(place), "_whole": F.min(F.when(~left_out, F.col("me"))).over(variant),
+        "_cut": F.min(F.when(left_out, F.col("me"))).over(variant)})
+    pairs = met.select("h1", "h2", "mid", F.explode(F.when(
+        left_out, F.array("_same", "_whole")).otherwise(F.array("_cut"))).alias("first"))
     return (
         pairs.where((F.levenshtein("mid", F.col("first.mid"), 1) >= 0)
                     & ~((F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))))
@@ -127,29 +127,37 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     of the text. Null texts stay null. Every row stays, with all its other columns.
     """
     seen = occurrences(docs, doc_id, text, min_chars)
-    distinct = seen.groupBy("h1", "h2").agg(
-        F.min("at").alias("at"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n"))
-    near = near_lines(docs, distinct, doc_id, text)
-    repeated = distinct.join(near, ["h1", "h2"], "left").where(
-        (F.col("n") > 1) | (F.col("near") < F.col("at"))).select(
-        "h1", "h2", F.least("at", "near").alias("earliest"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    distinct = cut(seen.groupBy("h1", "h2").agg(
+        F.min("at").alias("at"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")))
+    # Both uses of the texts have these columns, so that texts are moved once; other columns of
+    # the documents come back at the end.
+    texts = docs.select(key_of(doc_id).alias("key"), text_or_empty(text).alias("_text")).withColumn(
+        "th", F.xxhash64("_text"))
+    repeated = (
+        distinct.where(F.col("n") > 1).select("h1", "h2", F.col("at").alias("earliest"))
+        .unionByName(near_lines(texts, distinct).withColumnRenamed("near", "earliest"))
+        .groupBy("h1", "h2").agg(F.min("earliest").alias("earliest"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     gone = (
-        seen.select("key", "th", "at", "h1", "h2", F.pmod(F.xxhash64("th", "key"), F.lit(SALTS)).cast("int").alias("_salt"))
+        seen.select("at", "h1", "h2", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int").alias("_salt"))
         .join(repeated, ["h1", "h2", "_salt"]).where(F.col("earliest") < F.col("at"))
-        .groupBy("key", "th").agg(F.collect_set("at.pos").alias("_gone")))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*kept, key_of(doc_id).alias("__key"), F.xxhash64(text_or_empty(text)).alias("__th"))
-    joined = keyed.join(gone.select(F.col("key").alias("__key"), F.col("th").alias("__th"),
-                                    F.col("_gone").alias("__gone")), ["__key", "__th"], "left")
+        .groupBy(*_place("at")).agg(F.collect_set("at.pos").alias("_gone")))
 
     def rest(ls: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "__gone")
+        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "_gone")
         return F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n")
 
-    shorter = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(bind(lines_of(F.col(text)), rest))
-    breaks = F.char_length(text_or_empty(text)) - F.char_length(F.replace(text_or_empty(text), F.lit("\n"), F.lit("")))
-    return joined.select(
-        *[shorter.alias(text) if c == text else F.col(c) for c in kept],
+    breaks = F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"), F.lit("")))
+    shortened = texts.join(gone, ["key", "th"], "left").select(
+        F.col("key").alias("__key"), F.col("th").alias("__th"),
+        F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(bind(lines_of(F.col("_text")), rest)).alias("__text"),
         (breaks + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+    ).dropDuplicates(["__key", "__th"])
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    others = docs.select(
+        *[c for c in kept if c != text], F.col(text).isNull().alias("__null"),
+        key_of(doc_id).alias("__key"), F.xxhash64(text_or_empty(text)).alias("__th"))
+    return others.join(shortened, ["__key", "__th"]).select(
+        *[F.when(~F.col("__null"), F.col("__text")).alias(text) if c == text else F.col(c) for c in kept],
+        "n_lines", "n_removed")
