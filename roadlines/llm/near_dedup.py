@@ -211,8 +211,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     member = signs.join(classes.join(needed, "id").select(*of_class, "id", "least"), of_class)
     texts = docs.select(key_of(doc_id).alias("_key"), F.col(text).alias("_text"))
     owners = member.groupBy("id", "n").agg(F.min(key_of("doc_id")).alias("_key"))
+    # the shingled text depends on both sides of the join, so that only texts that are needed are
+    # shingled, and texts and not sets are moved
+    wanted = texts.join(owners, "_key").withColumn("_text", F.when(F.col("n") > 0, F.col("_text")))
     sets = cut(
-        shingled(texts.join(owners, "_key"), "_text").where(F.size("s") == F.col("n"))
+        shingled(wanted, "_text").where(F.size("s") == F.col("n"))
         .groupBy("id").agg(F.min("s").alias("s")))
     stars = shared.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v"))
     links = cut(confirmed(stars.distinct(), sets))
