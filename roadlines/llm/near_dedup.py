@@ -179,9 +179,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
-def may_reach(n: Column, m: Column, percent: int = PERCENT) -> Column:
-    """Sets of n and m elements can be this similar at all."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def may_reach(n: Column, c: Column, m: Column, d: Column, percent: int = PERCENT) -> Column:
+    """Sets of n and m elements, of which c and d can be in common, can be this similar at all."""
+    most = F.least(c, d)
+    return 100 * most >= percent * (n + m - most)
+
+
+def with_common(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """`rows` (id, n) with c: how many shingles another class of `rows` has too.
+
+    Shingles that one class alone holds are in no intersection, so c bounds every overlap. Classes
+    that no overlap of this size could link go. Work is linear in the shingles, whatever the groups.
+    """
+    ids = rows.select("id").distinct()
+    lone = (
+        sets.join(ids, "id", "left_semi").select("id", F.explode("s").alias("h"))
+        .groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id")).where(F.col("_n") == 1)
+        .groupBy("id").agg(F.count(F.lit(1)).alias("_lone")))
+    return rows.join(lone, "id", "left").withColumn("c", F.col("n") - F.coalesce("_lone", F.lit(0))).where(
+        100 * F.col("c") >= percent * F.col("n")).drop("_lone")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,11 +242,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     mixed = counts.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("top")).where(
         F.col("roots") > 1).select("band", "key", F.col("top.root").alias("top"))
-    rest = cut(rooted.join(mixed, ["band", "key"]))
+    rest = cut(with_common(cut(rooted.join(mixed, ["band", "key"])), sets))
     minor = rest.where(F.col("root") != F.col("top")).select(
-        "band", "key", F.col("id").alias("mid"), F.col("n").alias("mn"), F.col("root").alias("mroot"))
-    others = rest.join(minor, ["band", "key"]).where(
-        (F.col("root") != F.col("mroot")) & may_reach(F.col("n"), F.col("mn")))
+        "band", "key", F.col("id").alias("mid"), F.col("n").alias("mn"), F.col("c").alias("mc"),
+        F.col("root").alias("mroot"))
+    others = rest.join(minor, ["band", "key"]).where((F.col("root") != F.col("mroot")) & may_reach(
+        F.col("n"), F.col("c"), F.col("mn"), F.col("mc")))
     across = others.select(F.least("id", "mid").alias("u"), F.greatest("id", "mid").alias("v")).distinct()
     more = confirmed(across, sets).join(roots.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(
         roots.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v")
