@@ -22,6 +22,7 @@ from roadlines.session import cut
 WORDS = 5
 BANDS, ROWS = 60, 6
 PERCENT = 75
+PARTS = 64  # parts of the hashes that overlaps are bounded by
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK = 1 << 14  # shingles that are ranked at a time, so that they stay in the processor's cache
@@ -179,25 +180,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
-def may_reach(n: Column, c: Column, m: Column, d: Column, percent: int = PERCENT) -> Column:
-    """Sets of n and m elements, of which c and d can be in common, can be this similar at all."""
-    most = F.least(c, d)
-    return 100 * most >= percent * (n + m - most)
+def may_reach(n: Column, c: Column, p: Column, m: Column, d: Column, q: Column, percent: int = PERCENT) -> Column:
+    """Sets of n and m elements can be this similar at all.
+
+    Of these c and d can be in common, p and q by part of the hashes. An overlap is no larger than
+    the sum of the lesser counts of each part.
+    """
+    def reaches(most: Column) -> Column:
+        return 100 * most >= percent * (n + m - most)
+
+    by_part = F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda t, x: t + x)
+    return F.when(reaches(F.least(c, d)), reaches(by_part)).otherwise(F.lit(False))
 
 
 def with_common(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`rows` (id, n) with c: how many shingles another class of `rows` has too.
+    """`rows` (id, n) with c and parts: how many shingles another class of `rows` has too, by part.
 
-    Shingles that one class alone holds are in no intersection, so c bounds every overlap. Classes
-    that no overlap of this size could link go. Work is linear in the shingles, whatever the groups.
+    Shingles that one class alone holds are in no intersection, so these counts bound every
+    overlap. Classes that no overlap of this size could link go. Work is linear in the shingles,
+    whatever the groups.
     """
     ids = rows.select("id").distinct()
+    own = sets.join(ids, "id", "left_semi")
     lone = (
-        sets.join(ids, "id", "left_semi").select("id", F.explode("s").alias("h"))
+        own.select("id", F.explode("s").alias("h"))
         .groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id")).where(F.col("_n") == 1)
-        .groupBy("id").agg(F.count(F.lit(1)).alias("_lone")))
-    return rows.join(lone, "id", "left").withColumn("c", F.col("n") - F.coalesce("_lone", F.lit(0))).where(
-        100 * F.col("c") >= percent * F.col("n")).drop("_lone")
+        .groupBy("id").agg(F.collect_list("h").alias("_lone")))
+    left = own.join(lone, "id", "left").select("id", F.explode(
+        F.when(F.col("_lone").isNull(), F.col("s")).otherwise(F.array_except("s", "_lone"))).alias("h"))
+    counts = (
+        left.groupBy("id", F.pmod("h", F.lit(PARTS)).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("k"))
+        .groupBy("id").agg(F.sum("k").alias("c"), F.map_from_entries(F.collect_list(F.struct("p", "k"))).alias("_k"))
+        .select("id", "c", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(
+            F.try_element_at("_k", i), F.lit(0).cast("bigint"))).alias("parts")))
+    return rows.join(counts, "id").where(100 * F.col("c") >= percent * F.col("n"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,10 +260,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.col("roots") > 1).select("band", "key", F.col("top.root").alias("top"))
     rest = cut(with_common(cut(rooted.join(mixed, ["band", "key"])), sets))
     minor = rest.where(F.col("root") != F.col("top")).select(
-        "band", "key", F.col("id").alias("mid"), F.col("n").alias("mn"), F.col("c").alias("mc"),
+        "band", "key", F.col("id").alias("mid"), F.col("n").alias("mn"), F.col("c").alias("mc"), F.col("parts").alias("mparts"),
         F.col("root").alias("mroot"))
     others = rest.join(minor, ["band", "key"]).where((F.col("root") != F.col("mroot")) & may_reach(
-        F.col("n"), F.col("c"), F.col("mn"), F.col("mc")))
+        F.col("n"), F.col("c"), F.col("parts"), F.col("mn"), F.col("mc"), F.col("mparts")))
     across = others.select(F.least("id", "mid").alias("u"), F.greatest("id", "mid").alias("v")).distinct()
     more = confirmed(across, sets).join(roots.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(
         roots.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v")
