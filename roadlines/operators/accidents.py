@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlines.config import HM_PER_KM, MAX_ACCIDENT_POINTS, ColumnMap
+from roadlines.config import HM_PER_KM, ColumnMap
 from roadlines.functions import geometry as geo
 from roadlines.functions.text import filled, safe_date, safe_double, safe_int
 from roadlines.operators import filters as flt
@@ -188,16 +188,16 @@ def km_weights(accidents: DataFrame, roads: DataFrame, intervals: DataFrame,
         *[F.sum(F.col(c) * weight).alias(c) for c in totals])
 
 
-def limit_points(df: DataFrame, n: int = MAX_ACCIDENT_POINTS) -> DataFrame:
-    """First n accidents by id (a top-k, not a sort of the whole table)."""
-    return df.orderBy("accident_id").limit(n)
+def limit_points(df: DataFrame, n: int | None = None) -> DataFrame:
+    """First n accidents by id (a top-k, not a sort of the whole table); all of them for None."""
+    return df if n is None else df.orderBy("accident_id").limit(n)
 
 
 def road_accidents(accidents: DataFrame, roads: DataFrame, road: str,
                    year_from: int | None = None, year_to: int | None = None,
                    severities: Sequence[str] | None = None, main_road_only: bool = True,
-                   direction: str | None = None, limit: int = MAX_ACCIDENT_POINTS) -> DataFrame:
-    """Located accidents of a road as a point listing."""
+                   direction: str | None = None, limit: int | None = None) -> DataFrame:
+    """Located accidents of a road as a point listing: all of them unless a `limit` is given."""
     chosen = flt.has_geometry(
         select_accidents(accidents, road, year_from, year_to, severities), "geom_wgs84")
     listed = on_segments(chosen, roads, main_road_only, direction)
