@@ -20,7 +20,8 @@ from roadlines.llm.common import key_of, text_or_empty
 from roadlines.llm.fingerprints import bind
 from roadlines.session import cut
 
-MIN_CHARS = 20
+MIN_CHARS = 20  # of lines that may go for an alike line
+EXACT_CHARS = 1  # of lines that may go for the same line
 BLOCK = 32
 SALTS = 16
 
@@ -53,17 +54,20 @@ def _shared(rows: DataFrame, key: str, line: str) -> DataFrame:
         counts, [key, "_salt"], "left_semi").drop("_salt")
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(at, h1, h2, halves) of every line that is long enough; `at` orders all lines."""
+def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int, exact_chars: int) -> DataFrame:
+    """(at, h1, h2, halves) of every line of `exact_chars` or more; `at` orders all lines.
+
+    Lines under `min_chars` have no halves and so meet no alike lines.
+    """
     base = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("_text"))
     lines = base.select("_id", F.xxhash64("_text").alias("th"),
                         F.posexplode(lines_of(F.col("_text"))).alias("pos", "line"))
     n = F.char_length("line")
-    return lines.where(n >= min_chars).select(
+    return lines.where(n >= F.least(F.lit(min_chars), F.lit(exact_chars))).select(
         F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"),
                               F.col("th"), F.col("pos")).alias("at"),
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        _halves(F.col("line"), n).alias("halves"))
+        F.when(n >= min_chars, _halves(F.col("line"), n)).alias("halves"))
 
 
 def _place(at: str) -> list[Column]:
@@ -117,16 +121,17 @@ def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                        min_chars: int = MIN_CHARS) -> DataFrame:
+                        min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """`docs` with repeated lines taken out of `text`, and n_lines and n_removed added.
 
     Lines end at \\n. A line of `min_chars` characters or more goes if the same line, or one within
     one edit of it, stands earlier: at a smaller id (null ids last), or further up in the same
-    text. Whether that earlier line goes itself doesn't matter. Shorter lines stay. Rows equal in
+    text. Whether that earlier line goes itself doesn't matter. A line of `exact_chars` or more
+    (`min_chars` if not given) goes if the same line stands earlier. Shorter lines stay. Rows equal in
     id and text count as one row and all stay; rows that share only the id are ordered by a hash
     of the text. Null texts stay null. Every row stays, with all its other columns.
     """
-    seen = occurrences(docs, doc_id, text, min_chars)
+    seen = occurrences(docs, doc_id, text, min_chars, min_chars if exact_chars is None else exact_chars)
     distinct = cut(seen.groupBy("h1", "h2").agg(
         F.min("at").alias("at"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")))
     # Both uses of the texts have these columns, so that texts are moved once; other columns of

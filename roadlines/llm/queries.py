@@ -113,7 +113,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that stand earlier, in it or in another one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.drop_repeated_lines(docs, exact_chars=line_dedup.EXACT_CHARS).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
