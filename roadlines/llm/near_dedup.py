@@ -241,11 +241,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     needed = shared.select("id").distinct()
     # the sets of the classes with a neighbour, from the text of one member
     member = signs.join(classes.join(needed, "id").select(*of_class, "id", "least"), of_class)
-    texts = docs.select(key_of(doc_id).alias("_key"), F.col(text).alias("_text"))
-    owners = member.groupBy("id", "n").agg(F.min(key_of("doc_id")).alias("_key"))
+    texts = docs.select(key_of(doc_id).alias("_key"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
+    owners = member.groupBy("id", "n").agg(F.min(F.struct(key_of("doc_id").alias("_key"), F.col("text_hash").alias("_th")))
+                                           .alias("_one")).select("id", "n", "_one.*")
     # the shingled text depends on both sides of the join, so that only texts that are needed are
     # shingled, and texts and not sets are moved
-    wanted = texts.join(owners, "_key").withColumn("_text", F.when(F.col("n") > 0, F.col("_text")))
+    wanted = texts.join(owners, ["_key", "_th"]).withColumn("_text", F.when(F.col("n") > 0, F.col("_text")))
     sets = cut(
         shingled(wanted, "_text").where(F.size("s") == F.col("n"))
         .groupBy("id").agg(F.min("s").alias("s")))
