@@ -1,8 +1,8 @@
 """Op 2. Secrets, with corpus-wide ownership frequency.
 
 Every candidate value is hashed and counted over the whole corpus by distinct owners and
-repositories. Values that several owners share are examples that were copied around; a value of
-one owner looks live. Base matches are always reported, as live or as example; wider, opaque
+repositories. Values that several owners share, or that stand in many repositories, are examples
+that were copied around; a value of one owner in few repositories looks live. Base matches are always reported, as live or as example; wider, opaque
 candidates are reported only if they look live. Native: no Python runs on the executors.
 """
 
@@ -24,6 +24,8 @@ OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "opaque")
 BASE = KINDS[:3]
 SALTS = 16
+#: A value in more repositories than this is an example, even if one owner has them all.
+MAX_REPOSITORIES = 20
 
 
 def looks_opaque(value: Column, distinct: int = 12) -> Column:
@@ -81,11 +83,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id",
-         owner: str = "source", max_owners: int = 1) -> DataFrame:
+         owner: str = "source", max_owners: int = 1, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(doc_id, spans): spans is an array of (start, end, kind, owners, repositories, live).
 
-    `live` means that at most `max_owners` owners have the value. Spans are ordered by start,
-    then by kind as listed. Null texts are empty; null owners and repositories count as one
+    `live` means that at most `max_owners` owners have the value, in at most `max_repositories`
+    repositories. Spans are ordered by start, then by kind as listed. Null texts are empty; null owners and repositories count as one
     each; every row stays, repeated ones too. The found spans are written once and read for the
     counts and for the result; texts are read once and never shuffled. Counting pre-aggregates
     by (value, owner); the lookup of a value is salted, so a value that a third of all rows
@@ -104,7 +106,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
     judged = (
         spans.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
         .join(counted, ["h1", "h2", "_salt"])
-        .withColumn("live", F.col("owners") <= max_owners)
+        .withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
         .where((F.col("k") < len(BASE)) | F.col("live"))
         .groupBy("_row").agg(F.sort_array(F.collect_list(
             F.struct("s", "k", "e", "owners", "repositories", "live"))).alias("_found")))
