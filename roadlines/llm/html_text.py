@@ -37,11 +37,15 @@ script style noscript template svg math head title iframe object canvas audio vi
 RAW_TAGS = frozenset("script style textarea title noscript iframe template".split())
 OUTER_TAGS = frozenset("nav footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
-OUTER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|comments?|comment\w*|consent|cookies?|disqus|"
-    r"footer|gdpr|header|login|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|"
-    r"related|replies|respond|search|share|sharing|sidebar|side|signup|social|sponsor\w*|subscribe|tags|toolbar|"
-    r"widget)(?=$|[\s_-])", re.I)
+_OUTER = (r"(?:ads?|advert[^\W_]*|adbox|banner|breadcrumbs?|comment[^\W_]*|consent|cookies?|disqus|footer|gdpr|header|login|"
+          r"masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo[^\W_]*|related|replies|respond|search|"
+          r"share|sharing|sidebar|side|signup|social|sponsor[^\W_]*|subscribe|tags|toolbar|widgets?)")
+#: Words that only say where or in what form such a part stands.
+_PLACE = (r"(?:site|page|post|entry|top|bottom|left|right|primary|secondary|main|global|mobile|area|bar|block|body|box|"
+          r"buttons?|container|form|icons?|inner|items?|links?|list|posts?|articles|section|slot|text|title|trail|unit|"
+          r"wrap|wrapper|\d+(?:x\d+)?)")
+#: A whole class, id or role each of whose parts is such a name or place: not has-sidebar or x-widget-container.
+OUTER_NAMES = re.compile(rf"(?:^|\s)(?:{_PLACE}[_-]+)*{_OUTER}(?:[_-]+(?:{_OUTER}|{_PLACE}))*(?=$|\s)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
                    r"|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -65,16 +69,16 @@ class Block:
 def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, link density, in main container, in outer container) of each block with text."""
     out: list[tuple[str, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, main, outer, dropped
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, main, outer by tag, outer by name, dropped
     links, pieces, at, n = 0, [], 0, len(page)
     linked = 0
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, bool, bool, bool]:
+        return stack[-1][1:] if stack else (False, False, False, False)
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw and not state()[2]:
+        if raw and not state()[3]:
             raw = references.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if links:
@@ -86,8 +90,8 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
             joined = SPACE.sub(" ", "".join(pieces)).strip()
             if joined:
                 size = len(joined.replace(" ", ""))
-                main, outer, _ = state()
-                out.append((joined, linked / size, main, outer))
+                main, outer, named, _ = state()
+                out.append((joined, linked / size, main, outer or named))
             pieces.clear()
         linked = 0
 
@@ -126,12 +130,16 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             stack.pop()  # its end tag may be left out
-        main, outer, dropped = state()
+        main, outer, named, dropped = state()
         names = " ".join(x for found in NAMES.findall(attrs) for x in found if x) if attrs else ""
-        outer = outer or tag in OUTER_TAGS or (tag == "header" and not main) or bool(
-            names and tag not in ("body", "html") and tag not in MAIN_TAGS and OUTER_NAMES.search(names))
+        outer = outer or tag in OUTER_TAGS or (tag == "header" and not main)
+        by_name = bool(names and tag not in ("body", "html") and OUTER_NAMES.search(names))
+        if tag not in MAIN_TAGS:
+            named = named or by_name
+        elif not main:  # the name of a wrapper does not count in the page's own article, but in an article of a comment
+            named = named and by_name
         dropped = dropped or tag in DROPPED_TAGS or bool(attrs and HIDDEN.search(attrs))
-        stack.append((tag, main or tag in MAIN_TAGS, outer, dropped))
+        stack.append((tag, main or tag in MAIN_TAGS, outer, named, dropped))
     close_block()
     return out
 
