@@ -26,6 +26,12 @@ def chain_clips(chain: DataFrame, grid: DataFrame) -> DataFrame:
     return bn.clip_segments(usable, grid, "chain_start_m", "chain_end_m", span="seg_len_m")
 
 
+def without_line(defs: DataFrame, clips: DataFrame) -> DataFrame:
+    """The bins for which no clip has a line to draw, as `merge_lines` leaves such clips out."""
+    drawable = clips.where(geo.is_valid("geom_clip")).select(*KEYS)
+    return defs.join(drawable, list(KEYS), "left_anti")
+
+
 def longest_part(parts: DataFrame) -> DataFrame:
     """Longest merged part of each bin (ties: lower vertices)."""
     size = (-geo.length("geom")).alias("size")
@@ -50,15 +56,14 @@ def chain_bins(chain: DataFrame, sizes: Sequence[int] = BIN_SIZES_KM) -> DataFra
     drawn = (defs.join(lines, list(KEYS), "inner").withColumn("geom_wgs84", geo.rd_to_wgs84("geom_rd"))
              .withColumn("geojson", geo.as_geojson("geom_wgs84"))
              .withColumn("geometry_quality", F.lit("linesubstring")))
-    empty = defs.join(clips.select(*KEYS), list(KEYS), "left_anti").withColumn(
-        "geometry_quality", F.lit("empty"))
+    empty = without_line(defs, clips).withColumn("geometry_quality", F.lit("empty"))
     return union_empty(drawn, empty)
 
 
 def empty_bins(chain: DataFrame, sizes: Sequence[int] = BIN_SIZES_KM) -> DataFrame:
-    """Bins that no piece of the chain reaches."""
+    """Bins that no piece of the chain with a line reaches."""
     grid = grid_of(chain, sizes)
-    return bn.bin_defs(grid).join(chain_clips(chain, grid).select(*KEYS), list(KEYS), "left_anti")
+    return without_line(bn.bin_defs(grid), chain_clips(chain, grid))
 
 
 def chain_bin_cube(chainage: DataFrame, grid: DataFrame) -> DataFrame:

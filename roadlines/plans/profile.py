@@ -28,7 +28,6 @@ KEY_COLUMN = "WEGNR_HMP"
 
 SAMPLE_ROWS = 3
 FREQUENT_VALUES = 15
-FREQUENT_COLUMNS = 8
 
 
 def classify_columns(columns: Sequence[str]) -> dict[str, list[str]]:
@@ -125,7 +124,7 @@ def profile(spark: SparkSession, paths: Sequence[str], rules: TargetRules) -> di
             entry.update(type="text", format=fmt)
             text = df.drop("_source_file", "_ingested_at")
         hints = classify_columns(text.columns)
-        likely = hints["likely_road_number"][:FREQUENT_COLUMNS]
+        likely = hints["likely_road_number"]
         entry.update(
             hints=hints, columns=profile_columns(text), samples=sample_rows(df),
             road_values=value_frequencies(text, likely, FREQUENT_VALUES) if likely else None)
