@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlines.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,3 +30,19 @@ def vocabulary(name: str) -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def join_skewed(rows: DataFrame, looked_up: DataFrame, key: str, n: str = "n", share: int = 1000) -> DataFrame:
+    """`rows` joined with `looked_up`, which has one row for each `key` and the number `n` of its rows.
+
+    Keys with at least one in `share` of all rows, of which there are at most `share`, are
+    broadcast; only the others are shuffled, so that no key fills a task. Keys are never null.
+    """
+    looked_up = cut(looked_up)
+    total = looked_up.agg(F.sum(n)).first()[0] or 0
+    hot = looked_up.where(F.col(n) * share >= total).drop(n)
+    rest = looked_up.where(F.col(n) * share < total).drop(n)
+    # a key of the other kind finds no partner in its join
+    at_once = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return at_once.unionByName(others)

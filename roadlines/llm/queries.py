@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlines.llm import byte_bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, personal_data, secrets
+from roadlines.llm import byte_bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, personal_data, secrets, simhash
 from roadlines.llm import fingerprints as fp
 from roadlines.llm import url_filter
 from roadlines.llm.common import sha256, table, vocabulary
@@ -116,10 +116,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs, exact_chars=line_dedup.EXACT_CHARS).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document and the component it links into."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.render(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontaminate, op2_secrets, op3_byte_bpe, op4_language_id, op5_html_text, op6_personal_data,
-        op7_near_dedup, op8_fingerprints, op9_url_filter, op10_line_dedup)}
+        op7_near_dedup, op8_fingerprints, op9_url_filter, op10_line_dedup, op11_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
