@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlines.llm import byte_bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, personal_data, secrets, simhash
+from roadlines.llm import byte_bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, periodic_runs, personal_data, secrets, simhash
 from roadlines.llm import fingerprints as fp
 from roadlines.llm import url_filter
 from roadlines.llm.common import sha256, table, vocabulary
@@ -122,10 +122,35 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.render(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def with_repeats(text: Column, doc_id: Column) -> Column:
+    """The text in which, for a tenth of the ids, the words from a hashed place on repeat with a hashed period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    changed = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(changed, " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made to repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_repeats(F.col("text"), F.col("doc_id")).alias("text"))
+    runs, best = F.col("periodic.runs"), F.col("best")
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", *[
+        r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))), "")
+    found = periodic_runs.find(docs).withColumn("best", periodic_runs.strongest(runs))
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        sha256(lines).alias("runs_sha256"), sha256(F.col("periodic.collapsed")).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontaminate, op2_secrets, op3_byte_bpe, op4_language_id, op5_html_text, op6_personal_data,
-        op7_near_dedup, op8_fingerprints, op9_url_filter, op10_line_dedup, op11_simhash)}
+        op7_near_dedup, op8_fingerprints, op9_url_filter, op10_line_dedup, op11_simhash,
+        op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
