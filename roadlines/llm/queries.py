@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlines.llm import byte_bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, periodic_runs, personal_data, secrets, simhash
+from roadlines.llm import byte_bpe, decontaminate, hard_negatives, html_text, language_id, line_dedup, near_dedup, periodic_runs, personal_data, secrets, simhash
 from roadlines.llm import fingerprints as fp
 from roadlines.llm import url_filter
 from roadlines.llm.common import sha256, table, vocabulary
@@ -122,20 +122,29 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.render(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def with_repeats(text: Column, doc_id: Column) -> Column:
-    """The text in which, for a tenth of the ids, the words from a hashed place on repeat with a hashed period."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    n, g = F.size(words).cast("long"), F.floor(h / 10)
-    a = g % F.greatest(n, F.lit(1))
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    changed = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(changed, " ")).otherwise(text)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its nearest rows of the same label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows, lambda i: i % 100 == 0)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which for a tenth of the ids the words from a hashed place on repeat with a hashed period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    n, g = F.size("words").cast("long"), F.floor(h / 10)
+    # each step names the one before more than once, so that words are split once a row
+    placed = docs.select("doc_id", "text", words.alias("words")).withColumn("a", g % F.greatest(n, F.lit(1))).withColumn(
+        "p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    a, p = F.col("a"), F.col("p")
+    changed = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", (a + (i - a) % p).cast("int"))))
+    return placed.select("doc_id", F.when(F.size("words") > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, a tenth of which are made to repeat."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", with_repeats(F.col("text"), F.col("doc_id")).alias("text"))
+    docs = with_repeats(table(spark, sf_dir, "documents"))
     runs, best = F.col("periodic.runs"), F.col("best")
     lines = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", *[
         r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))), "")
@@ -150,11 +159,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontaminate, op2_secrets, op3_byte_bpe, op4_language_id, op5_html_text, op6_personal_data,
         op7_near_dedup, op8_fingerprints, op9_url_filter, op10_line_dedup, op11_simhash,
-        op13_periodic_runs)}
+        op12_hard_negatives, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": ORACLE_URL}
+    return {"op9_url_filter": ORACLE_URL, "op12_hard_negatives": ORACLE_NEGATIVES}
+
+
+ORACLE_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
 
 
 ORACLE_URL = """
