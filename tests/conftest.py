@@ -1,5 +1,6 @@
 import os
 import sys
+import uuid
 
 import pytest
 from pyspark.sql import SparkSession
@@ -7,8 +8,6 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -26,3 +25,14 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def own_database(spark):
+    """A database of the test's own, in use until its end, so that tests pass in any order."""
+    name = f"t_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    spark.catalog.setCurrentDatabase(name)
+    yield name
+    spark.catalog.setCurrentDatabase("default")
+    spark.sql(f"DROP DATABASE {name} CASCADE")

@@ -3,12 +3,10 @@
 import json
 
 import pytest
-from conftest import SF
 from pyspark.sql import functions as F
 
 import catalogue
 from roadlines.config import AppConfig, ColumnMap, NotImplementedRoad, check_args, check_map, clean_direction
-from roadlines.functions.shapes import LINE_TYPE
 from roadlines.operators import chain as ch
 from roadlines.operators import classes as cl
 from roadlines.operators import filters as flt
@@ -18,16 +16,7 @@ from roadlines.operators.joins import cross_one
 from roadlines.plans import build, export as ex, live_bins as lb, validate as va
 from roadlines.plans.chain_bins import chain_bins
 from roadlines.sources.ingest import tables_ready
-
-ROAD_SCHEMA = ("wegvak_id string, road_number_raw string, road_number_norm string, direction string, carriageway string, "
-               "start_hm double, end_hm double, length_m double, is_target_a2 boolean, geom_rd " + LINE_TYPE)
-ACC_SCHEMA = ("accident_id string, accident_year int, severity string, wegvak_id string, point_id string, hm double, "
-              "fatal_count int, injury_count int, road_number_norm string, geom_rd struct<x:double,y:double>")
-
-
-def road(i, x, hm=(None, None), direction="H", lane="HR", geom=True, name="A2"):
-    line = [(float(x), 0.0), (float(x) + 1000.0, 0.0)] if geom else None
-    return (i, name, name, direction, lane, *hm, 1000.0 if geom else None, name == "A2", line)
+from roadsupport import ACC_SCHEMA, ROAD_SCHEMA, SF, road
 
 
 def test_config_checks():
@@ -174,7 +163,7 @@ def test_road_search_and_archive_errors(spark):
         ex.serving_tables({"roads_norm": summary}, ["A2"])
 
 
-def test_tables_are_built_and_exported(spark, tmp_path):
+def test_tables_are_built_and_exported(spark, own_database, tmp_path):
     n = catalogue.Network(spark, SF)
     for name, df in {"raw_nwb_wegvakken": n.raw.wegvakken, "raw_nwb_wegvakgeografie": n.raw.wegvakgeografie,
                      "raw_nwb_puntlocaties": n.raw.puntlocaties, "raw_nwb_hectopunten": n.raw.hectopunten,

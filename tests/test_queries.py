@@ -5,10 +5,10 @@
 
 import duckdb
 import pytest
-from conftest import SF
 
 import __spark_entry__ as entry
 from check import TABLES, norm
+from roadsupport import SF
 
 SAMPLE = ["roads_norm", "accidents_direct_xy", "line_locate", "road_bins_flagship", "bins_geometry", "tail_km",
           "road_search", "accident_chainage", "chain_bins", "density_classes", "validation_checks", "hm_chain_gaps"]

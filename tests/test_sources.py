@@ -100,7 +100,7 @@ def test_shapefile_splits_into_record_ranges(spark, tmp_path):
     assert crs_of(path) == "EPSG:28992 (RD New)"
 
 
-def test_ingest_and_profile(spark, tmp_path):
+def test_ingest_and_profile(spark, own_database, tmp_path):
     seg = write(tmp_path / "wegvakken.txt", "WVK_ID;FK_VELD1;WEGNR_HMP\n1;500000;A2\n2;500001;A 2\n3;;N1\n")
     acc = write(tmp_path / "ongevallen.txt", "VKL_NUMMER;JAAR_VKL;WVK_ID\nx;2020;1\ny;2021;2\n")
     geo = write_shapes(tmp_path / "wegvakgeografie", LINES)
@@ -122,5 +122,3 @@ def test_ingest_and_profile(spark, tmp_path):
         "WVK_ID": 3, "FK_VELD1": 2, "WEGNR_HMP": 3}
     assert report[geo]["geometry_types"].where(F.col("geometry_type") == "LineString").first()["rows"] == 25
     assert report[geo]["crs"].startswith("EPSG:28992")
-    for table in ("raw_nwb_wegvakken", "raw_nwb_wegvakgeografie", "raw_bron_accidents"):
-        spark.sql(f"DROP TABLE {table}")

@@ -4,7 +4,7 @@ from roadlines.config import ColumnMap
 from roadlines.operators import chain as ch
 from roadlines.plans import profile as pf
 from roadlines.plans.chain_bins import chain_bins, empty_bins
-from test_plans import ROAD_SCHEMA, road
+from roadsupport import ROAD_SCHEMA, road
 
 
 def test_bins_of_invalid_clips_are_empty(spark):
