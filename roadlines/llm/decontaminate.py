@@ -7,17 +7,19 @@ Myers' bit-parallel distance verifies the surroundings of each hit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadlines.llm.common import unused
+
 ERROR_RATE = 0.06
-MIN_CHARS = 40
-BLOCK_CHARS = 20_000_000  # of item text in one automaton
+MIN_CHARS = 40  # of items that may be changed; shorter ones have to stand as they are, between word borders
+BLOCK_CHARS = 1_000_000  # of item text in one automaton, which takes about 70 bytes a character
 
 
 def normal(text: str | None) -> str:
@@ -59,12 +61,15 @@ def myers(masks: dict[str, int], m: int, text: str, start: int, end: int, k: int
     return (best, at) if best <= k else None
 
 
-@lru_cache(maxsize=2)
-def matcher(items: tuple[tuple[int, str], ...], rate: float):
-    """The automaton of all pieces, and each item's text, budget and bit masks."""
+def matcher(items: tuple[tuple[int, str], ...], rate: float, min_chars: int):
+    """The automaton of all pieces, and each item's text, budget (None: short) and bit masks."""
     found: dict[str, list] = {}
     parts = []
     for i, (_, text) in enumerate(items):
+        if len(text) < min_chars:
+            parts.append((text, None, {}))
+            found.setdefault(text, []).append((i, 0))
+            continue
         k = budget(len(text), rate)
         masks: dict[str, int] = {}
         for j, c in enumerate(text):
@@ -79,6 +84,23 @@ def matcher(items: tuple[tuple[int, str], ...], rate: float):
     return automaton, parts
 
 
+_kept: dict = {}
+
+
+def kept_matcher(key, items, rate: float, min_chars: int):
+    """The matcher of a broadcast block, kept for the worker's next task; that of another block goes first."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = matcher(items, rate, min_chars)
+    return _kept[key]
+
+
+def alone(text: str, start: int, end: int) -> bool:
+    """text[start:end] is not part of a longer word."""
+    return not (start > 0 and text[start - 1].isalnum() and text[start].isalnum()) and not (
+        end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
 def find(text: str, automaton, parts) -> list[tuple[int, int, int]]:
     """(item number, distance, end in the normalised text) of each item's best match.
 
@@ -94,6 +116,11 @@ def find(text: str, automaton, parts) -> list[tuple[int, int, int]]:
         item, k, masks = parts[i]
         best, m = None, len(item)
         found.sort()
+        if k is None:
+            at = next((at for at in found if alone(text, at, at + m)), None)
+            if at is not None:
+                out.append((i, 0, at + m))
+            continue
         lo = hi = None
         stretches = []
         for at in found:
@@ -115,9 +142,9 @@ def find(text: str, automaton, parts) -> list[tuple[int, int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, min_chars: int,
+def item_blocks(benchmark: DataFrame, item_id: str, text: str,
                 block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, in a stable order; too short ones are left out.
+    """Items in blocks of bounded size, in a stable order; empty ones are left out.
 
     The benchmark is the stated query set. It streams to the driver partition by partition, and
     one block at a time is held.
@@ -125,7 +152,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, min_chars: int,
     block, size = [], 0
     for r in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator():
         item = normal(r.t)
-        if len(item) < min_chars:
+        if not item:
             continue
         block.append((r.i, item))
         size += len(item)
@@ -142,21 +169,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, item_id, distance, n_chars): each item that a document holds within its budget.
 
     Both sides are compared in lower case with white space run together. An item of n characters
-    may differ by `rate` * n edits. Items below `min_chars` characters, empty and null ones match
-    nothing, nor do null or empty texts. A document and item give one row, that of the best
-    match; repeated rows of either table repeat it. Documents are scanned once per block of
-    items and never shuffled.
+    may differ by `rate` * n edits. One below `min_chars` characters has to stand as it is, not
+    as part of longer words. Empty and null items match nothing, nor do null or empty texts. A
+    document and item give one row, that of the least distance, and among these of the earliest
+    end; repeated rows of either table repeat it. Documents are scanned once per block of items
+    and never shuffled.
     """
     out = None
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {benchmark.schema[item_id].dataType.simpleString()}, distance int, n_chars int"
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    for block in item_blocks(benchmark, item_id, item_text, min_chars):
-        held = docs.sparkSession.sparkContext.broadcast(tuple(block))
+    for block in item_blocks(benchmark, item_id, item_text):
+        held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, tuple(block)))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items = held.value
-            automaton, parts = matcher(items, rate)
+            key, items = held.value
+            automaton, parts = kept_matcher(key, items, rate, min_chars)
             for batch in batches:
                 rows = [(d, *hit) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True)
                         for hit in find(normal(t.as_py()), automaton, parts)]
@@ -177,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` without those that hold an item. Rows without an id are told apart by their text."""
-    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"))
-    keyed = docs.withColumn("_leak", F.to_json(key))
-    bad = matches(keyed, benchmark, "_leak", text, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return keyed.join(bad, "_leak", "left_anti").drop("_leak")
+    key, leak = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th")), unused(docs, "_leak")
+    keyed = docs.withColumn(leak, F.to_json(key))
+    bad = matches(keyed, benchmark, leak, text, **options).select(F.col("doc_id").alias(leak)).distinct()
+    return keyed.join(bad, leak, "left_anti").drop(leak)

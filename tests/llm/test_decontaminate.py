@@ -1,4 +1,5 @@
 import random
+import re
 
 from roadlines.llm import decontaminate as dc
 
@@ -30,7 +31,7 @@ def tables(spark):
         n = rng.choice([0, 0, 1, 2, 4, 7, 9, 14])
         body = edited(rng, item, n).replace(" ", rng.choice([" ", "\n ", "  "]))
         docs.append((i, f"{say(20)} {body.upper() if i % 3 == 0 else body} {say(5)}" if i % 4 else say(60)))
-    docs += [(200, None), (201, ""), (202, items[0][1] * 3), (202, items[0][1] * 3), (None, items[1][1]), (203, "a" * 100_000)]
+    docs += [(204, "Quite  SHORT."), (205, "shorter and ashort"), (206, "shorter, short"), (200, None), (201, ""), (202, items[0][1] * 3), (202, items[0][1] * 3), (None, items[1][1]), (203, "a" * 100_000)]
     return docs, items
 
 
@@ -42,7 +43,10 @@ def test_against_brute_force(spark, docs_of):
     for d, t in docs:
         for i, item in items:
             n = dc.normal(item)
-            if len(n) >= dc.MIN_CHARS and t and len(t) < 50_000:
+            if 0 < len(n) < dc.MIN_CHARS:
+                if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", dc.normal(t)):
+                    want.append((d, i, 0))
+            elif n and t and len(t) < 50_000:
                 k = best_distance(n, dc.normal(t))
                 if k <= dc.budget(len(n)):
                     want.append((d, i, k))
@@ -62,3 +66,13 @@ def test_blocks_and_empty_tables(spark, docs_of, monkeypatch):
     assert dc.matches(docs_of(docs), bench.limit(0)).count() == 0
     assert dc.matches(docs_of(docs).limit(0), bench).count() == 0
     assert dc.clean(docs_of(docs[:5]), bench.limit(0)).count() == 5
+
+
+def test_short_items_stand_alone(spark, docs_of):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "42"), (3, "?"), (4, "  ")], "item_id long, text string")
+    docs = docs_of([(1, "Quiz: what is  the CAPITAL of France? Paris."), (2, "142 and 421"), (3, "42"), (4, "(42)"),
+                    (5, "so what?")]).withColumn("_leak", dc.F.lit("mine"))
+    got = {(r.doc_id, r.item_id, r.distance) for r in dc.matches(docs, bench).collect()}
+    assert got == {(1, 1, 0), (1, 3, 0), (3, 2, 0), (4, 2, 0), (5, 3, 0)}
+    left = dc.clean(docs, bench).collect()
+    assert [(r.doc_id, r._leak) for r in left] == [(2, "mine")]
