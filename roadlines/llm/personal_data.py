@@ -9,7 +9,7 @@ the same types that the base patterns miss, and base spans always stay.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,14 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 MAX_TOKENS = 20
+WINDOW = 512  # tokens whose segments are held at a time
 SAMPLE_ISLANDS = 240
 EPOCHS = 12
 MARGIN = 2.0  # log-odds by which a typed span has to beat leaving it out
 
-ISLAND = re.compile(r"\S*[0-9@]\S*(?:\x20\S*[0-9]\S*)*")
+#: A run without spaces that holds a digit or an @, and the runs with a digit that follow it after one space. It
+#: starts at the start of a run and gives nothing back, so that a long run without any is read once.
+ISLAND = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9]*+[0-9]\S*+)*+")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|[^\s]")
 N_FEATURES = 15
 
@@ -86,27 +89,34 @@ def islands(text: str) -> Iterator[tuple[int, str]]:
             yield m.start(), part
 
 
-def segments(island: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Token spans, candidate segments (first token, end token), and the features of each."""
+def tokens_of(island: str) -> tuple[list[tuple[int, int]], list[str]]:
+    """Spans of the tokens, and the kind of each: digits, letters, space or the character itself."""
     tokens = [m.span() for m in TOKEN.finditer(island)]
-    kinds = ["d" if "0" <= island[s] <= "9" else "a" if island[s].isalpha() else " " if island[s].isspace() else island[s]
-             for s, _ in tokens]
+    return tokens, ["d" if "0" <= island[s] <= "9" else "a" if island[s].isalpha() else " " if island[s].isspace() else island[s]
+                    for s, _ in tokens]
+
+
+def segments(island: str, tokens: list[tuple[int, int]], kinds: list[str], lo: int = 0,
+             hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate segments (first token, end token) that start in tokens lo to hi, and the features of each."""
     spots, rows = [], []
-    for i, first in enumerate(kinds):
+    for i in range(lo, len(tokens) if hi is None else min(hi, len(tokens))):
+        first, n = kinds[i], 0
         if first not in "da+(":
             continue
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+            if kinds[j - 1] == "d":
+                n += tokens[j - 1][1] - tokens[j - 1][0]
             if kinds[j - 1] not in "da":
                 continue
             shape = kinds[i:j]
-            text = island[tokens[i][0]:tokens[j - 1][1]]
-            digits = _digits(text)
-            n = len(digits)
-            ats = shape.count("@")
-            if not (ats or n >= 10 or (n >= 4 and shape.count(".") >= 3)):
+            ats, dots = shape.count("@"), shape.count(".")
+            if not (ats or n >= 10 or (n >= 4 and dots >= 3)):
                 continue
-            local, _, domain = text.partition("@")
-            dotted = text.split(".")
+            # a long segment is only read where its text decides
+            text = island[tokens[i][0]:tokens[j - 1][1]] if ats == 1 or dots == 3 or 14 <= n <= 19 else ""
+            local, _, domain = text.partition("@") if ats == 1 else ("", "", "")
+            dotted = text.split(".") if dots == 3 else []
             quad = len(dotted) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in dotted)
             plain = all(c in "d -" for c in shape)
             spaced = " " in shape
@@ -118,7 +128,7 @@ def segments(island: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray
                 float(ats == 1 and domain.rpartition(".")[2].isalpha() and "." in domain),
                 float(quad),
                 float(plain and 14 <= n <= 19),
-                float(plain and 14 <= n <= 19 and luhn(digits)),
+                float(plain and 14 <= n <= 19 and luhn(_digits(text))),
                 float(first == "+"),
                 float(first in "+(" and 10 <= n <= 15 and all(c in "d +().-" for c in shape)),
                 float("(" in shape or "-" in shape),
@@ -129,7 +139,7 @@ def segments(island: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray
                 float(after in ("d", "a", "@", "-", "_") and after != ""),
                 (j - i) / MAX_TOKENS))
             spots.append((i, j))
-    return tokens, np.array(spots, int).reshape(-1, 2), np.array(rows, float).reshape(-1, N_FEATURES)
+    return np.array(spots, int).reshape(-1, 2), np.array(rows, float).reshape(-1, N_FEATURES)
 
 
 def marginals(n: int, spots: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, float]:
@@ -153,26 +163,36 @@ def marginals(n: int, spots: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray
     return np.exp(alpha[spots[:, 0]][:, None] + scores + beta[spots[:, 1]][:, None] - alpha[n]), alpha[n]
 
 
-def viterbi(n: int, spots: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best (first token, end token, kind) segments; leaving tokens out wins ties."""
-    exits = [[] for _ in range(n + 1)]
-    for k, (i, j) in enumerate(spots):
-        t = int(np.argmax(scores[k]))
-        exits[i].append((j, scores[k, t], t))
-    value, back = np.full(n + 1, -np.inf), [None] * (n + 1)
-    value[0] = 0.0
-    for i in range(n):
-        if value[i] >= value[i + 1]:
-            value[i + 1], back[i + 1] = value[i], (i, None)
-        for j, x, t in exits[i]:
-            if value[i] + x > value[j]:
-                value[j], back[j] = value[i] + x, (i, t)
+def viterbi(n: int, parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """The best (first token, end token, kind) segments; leaving tokens out wins ties.
+
+    `parts` has segments and their scores by kind, in order of the first token, a window of tokens
+    at a time.
+    """
+    value, start, kind = np.full(n + 1, -np.inf), np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int8)
+    value[0], at = 0.0, 0
+
+    def leave_out(to: int) -> None:
+        nonlocal at
+        while at < to:
+            if value[at] >= value[at + 1]:
+                value[at + 1], start[at + 1], kind[at + 1] = value[at], at, -1
+            at += 1
+
+    for spots, scores in parts:
+        best = scores.argmax(axis=1)
+        for (i, j), row, t in zip(spots.tolist(), scores, best.tolist(), strict=True):
+            leave_out(i)
+            if at == i and value[i] >= value[i + 1]:
+                value[i + 1], start[i + 1], kind[i + 1] = value[i], i, -1
+            if value[i] + row[t] > value[j]:
+                value[j], start[j], kind[j] = value[i] + row[t], i, t
+    leave_out(n)
     out, at = [], n
     while at:
-        i, t = back[at]
-        if t is not None:
-            out.append((i, at, t))
-        at = i
+        if kind[at] >= 0:
+            out.append((int(start[at]), at, int(kind[at])))
+        at = int(start[at])
     return out[::-1]
 
 
@@ -180,7 +200,8 @@ def train(examples: list[str], epochs: int = EPOCHS) -> np.ndarray:
     """Weights (features x kinds) by gradient ascent on the likelihood of the base matches."""
     prepared = []
     for text in examples:
-        tokens, spots, feats = segments(text)
+        tokens, kinds = tokens_of(text)
+        spots, feats = segments(text, tokens, kinds)
         gold = np.zeros((len(spots), len(KINDS)))
         starts, ends = {s: i for i, (s, _) in enumerate(tokens)}, {e: i + 1 for i, (_, e) in enumerate(tokens)}
         place = {tuple(x): k for k, x in enumerate(spots.tolist())}
@@ -215,21 +236,24 @@ def fit(docs: DataFrame, text: str = "text", sample_islands: int = SAMPLE_ISLAND
         for batch in batches:
             yield pa.array([[p for _, p in islands(x.as_py() or "") if len(p) <= 300] for x in batch], pa.list_(pa.string()))
 
-    parts = likely.where(F.pmod(F.xxhash64("t"), F.lit(8)) == 0).select(F.explode(stretches("t")).alias("p"))
+    parts = likely.select(F.explode(stretches("t")).alias("p"))
     rows = parts.distinct().orderBy(F.xxhash64("p"), "p").limit(sample_islands).collect()
     return train([r.p for r in rows])
 
 
 def added_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the model that no base span touches."""
-    out = []
+    out, b = [], 0
+    reach = np.maximum.accumulate([e for _, e, _ in base]).tolist() if base else []  # greatest end up to each base span
     for at, part in islands(text):
-        tokens, spots, feats = segments(part)
-        if not len(spots):
-            continue
-        for i, j, kind in viterbi(len(tokens), spots, feats @ weights - MARGIN):
+        tokens, kinds = tokens_of(part)
+        windows = (segments(part, tokens, kinds, lo, lo + WINDOW) for lo in range(0, len(tokens), WINDOW))
+        for i, j, kind in viterbi(len(tokens), ((spots, feats @ weights - MARGIN) for spots, feats in windows)):
             s, e = at + tokens[i][0], at + tokens[j - 1][1]
-            if not any(bs < e and s < be for bs, be, _ in base):
+            # both lists go by start: base spans before b start before e
+            while b < len(base) and base[b][0] < e:
+                b += 1
+            if not (b and reach[b - 1] > s):
                 out.append((s, e, kind))
     return out
 
