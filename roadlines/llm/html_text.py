@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,18 +37,24 @@ script style noscript template svg math head title iframe object canvas audio vi
 RAW_TAGS = frozenset("script style textarea title noscript iframe template".split())
 OUTER_TAGS = frozenset("nav footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
-_OUTER = (r"(?:ads?|advert[^\W_]*|adbox|banner|breadcrumbs?|comment[^\W_]*|consent|cookies?|disqus|footer|gdpr|header|login|"
-          r"masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo[^\W_]*|related|replies|respond|search|"
-          r"share|sharing|sidebar|side|signup|social|sponsor[^\W_]*|subscribe|tags|toolbar|widgets?)")
-#: Words that only say where or in what form such a part stands.
-_PLACE = (r"(?:site|page|post|entry|top|bottom|left|right|primary|secondary|main|global|mobile|area|bar|block|body|box|"
-          r"buttons?|container|form|icons?|inner|items?|links?|list|posts?|articles|section|slot|text|title|trail|unit|"
-          r"wrap|wrapper|\d+(?:x\d+)?)")
-#: A whole class, id or role each of whose parts is such a name or place: not has-sidebar or x-widget-container.
-OUTER_NAMES = re.compile(rf"(?:^|\s)(?:{_PLACE}[_-]+)*{_OUTER}(?:[_-]+(?:{_OUTER}|{_PLACE}))*(?=$|\s)", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+#: Parts of a class, id or role that name a part around the text, and the starts of further ones.
+OUTER_PARTS = frozenset("""
+ad ads adbox banner breadcrumb breadcrumbs consent cookie cookies disqus footer gdpr header login masthead menu nav navbar
+navigation newsletter notice pagination popup related replies respond search share sharing sidebar side signup social
+subscribe tags toolbar widget widgets
+""".split())
+OUTER_STARTS = ("advert", "comment", "promo", "sponsor")
+#: Parts that only say where or in what form such a part stands.
+PLACE_PARTS = frozenset("""
+site page post posts entry top bottom left right primary secondary main global mobile area bar block body box button buttons
+container form icon icons inner item items link links list article articles section slot text title trail unit wrap wrapper
+""".split())
+SIZE_PART = re.compile(r"\d+(?:x\d+)?")
+PART = re.compile(r"[^_-]+")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                    r"|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+OPEN_COMMENT = re.compile(r"<!--.*", re.S)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -58,51 +64,61 @@ STOP_LOW, STOP_HIGH = 0.20, 0.30
 LINKS_MOST = 0.5
 
 
-@dataclass
-class Block:
-    main: bool
-    outer: bool
-    text: list = field(default_factory=list)
-    linked: int = 0
+def outer_name(names: str) -> bool:
+    """Some whole class, id or role consists of such names and places only: not has-sidebar or x-widget-container."""
+    for name in names.lower().split():
+        outer = False
+        for part in PART.findall(name):
+            if part in OUTER_PARTS or (part.startswith(OUTER_STARTS) and part.isalnum()):
+                outer = True
+            elif not (part in PLACE_PARTS or SIZE_PART.fullmatch(part)):
+                break
+        else:
+            if outer:
+                return True
+    return False
 
 
 def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, link density, in main container, in outer container) of each block with text."""
+    """(text, link density, in main container, in outer container) of each block with text.
+
+    Each run of text has the containers it stands in itself. A block that also has text of its own
+    loses the runs in outer inline elements, like an advert within a paragraph.
+    """
     out: list[tuple[str, float, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, main, outer by tag, outer by name, dropped
-    links, pieces, at, n = 0, [], 0, len(page)
-    linked = 0
+    opened: Counter[str] = Counter()  # tags on the stack
+    links, at, n = 0, 0, len(page)
+    runs: list[tuple[str, bool, bool, bool]] = []  # text, linked, main, outer
+    last_end = page.rfind(">")
 
     def state() -> tuple[bool, bool, bool, bool]:
         return stack[-1][1:] if stack else (False, False, False, False)
 
     def text(raw: str) -> None:
-        nonlocal linked
-        if raw and not state()[3]:
-            raw = references.unescape(raw) if "&" in raw else raw
-            pieces.append(raw)
-            if links:
-                linked += len(SPACE.sub("", raw))
+        main, outer, named, dropped = state()
+        if raw and not dropped:
+            runs.append((references.unescape(raw) if "&" in raw else raw, bool(links), main, outer or named))
 
     def close_block() -> None:
-        nonlocal linked
-        if pieces:
-            joined = SPACE.sub(" ", "".join(pieces)).strip()
+        if runs:
+            inner = [r for r in runs if not r[3] and not r[0].isspace()]
+            kept = [r for r in runs if not r[3]] if inner else runs
+            joined = SPACE.sub(" ", "".join(r[0] for r in kept)).strip()
             if joined:
-                size = len(joined.replace(" ", ""))
-                main, outer, named, _ = state()
-                out.append((joined, linked / size, main, outer or named))
-            pieces.clear()
-        linked = 0
+                linked = sum(len(SPACE.sub("", r[0])) for r in kept if r[1])
+                out.append((joined, linked / len(joined.replace(" ", "")), any(r[2] for r in kept), not inner))
+            runs.clear()
 
     while at < n:
-        m = TOKEN.search(page, at)
+        # without a further end of a tag only a comment can still hide anything
+        m = TOKEN.search(page, at) if at <= last_end else OPEN_COMMENT.search(page, at)
         if m is None:
             text(page[at:])
             break
         text(page[at:m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or m[5] or "").lower() if m.re is TOKEN else ""
         if not tag:
             continue
         closing, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
@@ -115,9 +131,10 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
             links = 0 if closing else 1
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened[tag]:
+                gone = stack.pop()[0]
+                opened[gone] -= 1
+                if gone == tag:
                     break
             continue
         if tag in VOID_TAGS or attrs.rstrip().endswith("/"):
@@ -129,33 +146,49 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
         if tag not in BLOCK_TAGS and tag not in DROPPED_TAGS and not attrs:
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            stack.pop()  # its end tag may be left out
+            opened[stack.pop()[0]] -= 1  # its end tag may be left out
         main, outer, named, dropped = state()
         names = " ".join(x for found in NAMES.findall(attrs) for x in found if x) if attrs else ""
         outer = outer or tag in OUTER_TAGS or (tag == "header" and not main)
-        by_name = bool(names and tag not in ("body", "html") and OUTER_NAMES.search(names))
+        by_name = bool(names and tag not in ("body", "html") and outer_name(names))
         if tag not in MAIN_TAGS:
             named = named or by_name
         elif not main:  # the name of a wrapper does not count in the page's own article, but in an article of a comment
             named = named and by_name
         dropped = dropped or tag in DROPPED_TAGS or bool(attrs and HIDDEN.search(attrs))
         stack.append((tag, main or tag in MAIN_TAGS, outer, named, dropped))
+        opened[tag] += 1
     close_block()
     return out
 
 
-def first_pass(text: str, link_density: float, main: bool, outer: bool) -> bool | None:
-    """True: main text; False: boilerplate; None: open."""
+def stop_density(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def known_language(found: list[tuple[str, float, bool, bool]]) -> bool:
+    """Some block of the page that is no list of links reads like one of the languages of the stop words."""
+    return any(len(t) >= SHORT and links <= LINKS_MOST and stop_density(t) >= STOP_LOW for t, links, _, _ in found)
+
+
+def first_pass(text: str, link_density: float, main: bool, outer: bool, known: bool = True) -> bool | None:
+    """True: main text; False: boilerplate; None: open.
+
+    Stop words count on pages in a language that they are `known` of; on others length and links
+    decide alone.
+    """
     if outer:
         return False
     if link_density > LINKS_MOST and not (main and link_density < 1):
         return False
-    words = WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(text) >= SHORT and density >= STOP_LOW and (density >= STOP_HIGH or len(text) >= LONG or main):
+    if len(text) < SHORT:
+        return None
+    if not known:
+        return True if main or len(text) >= LONG else None
+    density = stop_density(text)
+    if density >= STOP_LOW and (density >= STOP_HIGH or len(text) >= LONG or main):
         return True
-    if len(text) >= LONG and density < STOP_LOW and not main:
-        return False
     return None
 
 
@@ -187,8 +220,12 @@ def second_pass(labels: list[bool | None], main: list[bool]) -> list[bool]:
 
 def extract(page: str) -> str:
     found = blocks_of(page)
+    known = known_language(found)
     main = [b[2] and not b[3] for b in found]
-    labels = second_pass([first_pass(*b) for b in found], main)
+    labels = second_pass([first_pass(*b, known) for b in found], main)
+    if not any(labels):  # no block speaks for itself: the longest that is neither links nor around the text
+        longest = max((len(t) for t, links, _, outer in found if not outer and links <= LINKS_MOST), default=0)
+        labels = [len(t) == longest and not outer and links <= LINKS_MOST for t, links, _, outer in found]
     return "\n".join(b[0] for b, good in zip(found, labels, strict=True) if good)
 
 
@@ -196,7 +233,8 @@ def main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
     """Add the main text of each page's whole html. Null or empty html gives an empty text.
 
     A closed `a` counts the characters it held as linked. White space inside a block, line breaks
-    included, becomes one space. Rows are neither dropped nor shuffled.
+    included, becomes one space. A page whose blocks all stay open keeps its longest ones that are
+    not mostly links. Rows are neither dropped nor shuffled; an existing column `text` is replaced.
     """
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
