@@ -21,6 +21,14 @@ def key_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit("-"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sha256(col: Column) -> Column:
     return F.sha2(col, 256)
 

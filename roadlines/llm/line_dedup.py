@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlines.llm.common import key_of, text_or_empty
+from roadlines.llm.common import key_of, text_or_empty, unused
 from roadlines.llm.fingerprints import bind
 from roadlines.session import cut
 
-MIN_CHARS = 20  # of lines that may go for an alike line
+MIN_CHARS = 1  # of lines that may go for an alike line
 EXACT_CHARS = 1  # of lines that may go for the same line
 BLOCK = 32
 SALTS = 16
@@ -55,9 +55,10 @@ def _shared(rows: DataFrame, key: str, line: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int, exact_chars: int) -> DataFrame:
-    """(at, h1, h2, halves) of every line of `exact_chars` or more; `at` orders all lines.
+    """(at, h1, h2, halves) of every line of the lesser length or more; `at` orders all lines.
 
-    Lines under `min_chars` have no halves and so meet no alike lines.
+    Lines under `min_chars` have no halves and so meet no alike lines. An empty line is one only
+    if its length, 0, is asked for.
     """
     base = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("_text"))
     lines = base.select("_id", F.xxhash64("_text").alias("th"),
@@ -121,17 +122,19 @@ def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                        min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+                        min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """`docs` with repeated lines taken out of `text`, and n_lines and n_removed added.
 
     Lines end at \\n. A line of `min_chars` characters or more goes if the same line, or one within
     one edit of it, stands earlier: at a smaller id (null ids last), or further up in the same
     text. Whether that earlier line goes itself doesn't matter. A line of `exact_chars` or more
-    (`min_chars` if not given) goes if the same line stands earlier. Shorter lines stay. Rows equal in
+    goes if the same line stands earlier. Both are at least 1: empty lines stay. Rows equal in
     id and text count as one row and all stay; rows that share only the id are ordered by a hash
     of the text. Null texts stay null. Every row stays, with all its other columns.
     """
-    seen = occurrences(docs, doc_id, text, min_chars, min_chars if exact_chars is None else exact_chars)
+    if min(min_chars, exact_chars) < 1:
+        raise ValueError("lines that may go have a character at least")
+    seen = occurrences(docs, doc_id, text, min_chars, exact_chars)
     distinct = cut(seen.groupBy("h1", "h2").agg(
         F.min("at").alias("at"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")))
     # Both uses of the texts have these columns, so that texts are moved once; other columns of
@@ -153,16 +156,17 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         return F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n")
 
     breaks = F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"), F.lit("")))
+    hidden, place, digest, left = (unused(docs, c) for c in ("_null", "_key", "_th", "_text"))
     shortened = texts.join(gone, ["key", "th"], "left").select(
-        F.col("key").alias("__key"), F.col("th").alias("__th"),
-        F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(bind(lines_of(F.col("_text")), rest)).alias("__text"),
+        F.col("key").alias(place), F.col("th").alias(digest),
+        F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(bind(lines_of(F.col("_text")), rest)).alias(left),
         (breaks + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-    ).dropDuplicates(["__key", "__th"])
+    ).dropDuplicates([place, digest])
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     others = docs.select(
-        *[c for c in kept if c != text], F.col(text).isNull().alias("__null"),
-        key_of(doc_id).alias("__key"), F.xxhash64(text_or_empty(text)).alias("__th"))
-    return others.join(shortened, ["__key", "__th"]).select(
-        *[F.when(~F.col("__null"), F.col("__text")).alias(text) if c == text else F.col(c) for c in kept],
+        *[c for c in kept if c != text], F.col(text).isNull().alias(hidden),
+        key_of(doc_id).alias(place), F.xxhash64(text_or_empty(text)).alias(digest))
+    return others.join(shortened, [place, digest]).select(
+        *[F.when(~F.col(hidden), F.col(left)).alias(text) if c == text else F.col(c) for c in kept],
         "n_lines", "n_removed")

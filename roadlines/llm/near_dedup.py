@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlines.llm.common import key_of
+from roadlines.llm.common import key_of, unused
 from roadlines.session import cut
 
 WORDS = 5
@@ -288,7 +288,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Of rows without an id in a component without any id, each different text stays.
     """
+    key, th = unused(docs, "_key"), unused(docs, "_th")
     kept = near_duplicates(docs, doc_id, text).where("kept").select(
-        key_of("doc_id").alias("__key"), F.col("text_hash").alias("__th")).distinct()
-    keyed = docs.withColumns({"__key": key_of(doc_id), "__th": F.xxhash64(text)})
-    return keyed.join(kept, ["__key", "__th"], "left_semi").dropDuplicates(["__key", "__th"]).drop("__key", "__th")
+        key_of("doc_id").alias(key), F.col("text_hash").alias(th)).distinct()
+    keyed = docs.withColumns({key: key_of(doc_id), th: F.xxhash64(text)})
+    return keyed.join(kept, [key, th], "left_semi").dropDuplicates([key, th]).drop(key, th)

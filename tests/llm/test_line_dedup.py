@@ -12,7 +12,7 @@ def alike(a, b):
     return a[p + 1:] == b[p + 1:] or a[p:] == b[p + 1:] or a[p + 1:] == b[p:]
 
 
-def brute(rows, least=line_dedup.MIN_CHARS):
+def brute(rows, least=20):
     """rows in order; each text's lines without those that have an alike line before them."""
     seen, out = [], []
     for i, t in rows:
@@ -48,7 +48,7 @@ def test_against_brute_force(docs_of):
         rows.append((i, "\n".join(lines)))
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, "x" * 60_000), (204, "y" + "x" * 59_999), (205, "z")]
     rows.append((None, pool[0] + "\nlast of all, and without any id"))
-    got = line_dedup.drop_repeated_lines(docs_of(rows)).collect()
+    got = line_dedup.drop_repeated_lines(docs_of(rows), min_chars=20, exact_chars=20).collect()
     assert {(r.doc_id, r.text) for r in got} == set(brute(rows))
     assert len(got) == len(rows) and got[0].asDict().keys() >= {"lang", "h1", "_row", "n_lines", "n_removed"}
     text = dict(rows)
