@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtures import Tables
+from fixtures import SplitTables, Tables
 from roadlines.config import AppConfig, ColumnMap
 from roadlines.functions import geometry as geo
 from roadlines.operators import accidents as ac
@@ -106,10 +106,15 @@ class Network:
     def sized_bins(self) -> DataFrame:
         return self.bins(sizes=CFG.bin_sizes_km)
 
+    @cached_property
+    def flagged_bins(self) -> DataFrame:
+        """Bins of all sizes with the flag that tells the drawn ones, as a written table."""
+        return cut(self.bins(sizes=CFG.bin_sizes_km, drawn=True))
+
     @cached_property
     def stored_bins(self) -> DataFrame:
-        """Bins of all sizes as a written table, for measures that read them several times."""
-        return cut(self.sized_bins)
+        """Drawn bins of all sizes: those that measures, classes and selections are about."""
+        return self.flagged_bins.where("is_drawn")
 
     @cached_property
     def drawn_bins(self) -> DataFrame:
@@ -636,7 +641,8 @@ def top_bins(n: Network) -> DataFrame:
 
 @query
 def bin_kpis(n: Network) -> DataFrame:
-    return st.bin_kpis(n.sized_bins, drawn="bin_id").select(
+    flagged = n.flagged_bins.withColumn("_drawn", F.when(F.col("is_drawn"), True))
+    return st.bin_kpis(flagged, drawn="_drawn").select(
         "road_number", "bin_size_km", "total_accidents", r("mean_density").alias("mean_density"),
         "bin_count", r("peak_density").alias("peak_density"), "peak_start_m")
 
@@ -668,14 +674,19 @@ def bar_heights(n: Network) -> DataFrame:
 
 @query
 def selection_overlap(n: Network) -> DataFrame:
-    return cl.select_bins(n.sized_bins, km=12).select("bin_id")
+    return cl.select_bins(n.stored_bins, km=12).select("bin_id")
 
 
 @query
 def selection_bbox(n: Network) -> DataFrame:
     box = cl.selection_bbox(cl.select_bins(n.drawn_bins, km=12), by=["road_number"])
     return box.where(F.col("xmin").isNotNull()).select(
-        "road_number", *[r(c, 4).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+        "road_number", *[r(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query
+def drawn_flags(n: Network) -> DataFrame:
+    return n.flagged_bins.select("bin_id", "is_drawn")
 
 
 def _numbered(n: Network) -> DataFrame:
@@ -707,6 +718,76 @@ def bin_enrich(n: Network) -> DataFrame:
         "bin_id", r("density_per_km_year").alias("density_per_km_year"), "year_span")
 
 
+# ---- lines of several parts --------------------------------------------------------------
+
+class SplitNetwork(Network):
+    """A network in which some road lines have two parts."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        super().__init__(spark, sf_dir)
+        self.raw = SplitTables(spark, sf_dir)
+
+
+def _split(n: Network) -> SplitNetwork:
+    return SplitNetwork(n.spark, n.raw.sf_dir)
+
+
+@query
+def multipart_roads(n: Network) -> DataFrame:
+    roads = _split(n).roads
+    parts = geo.parts_of(roads)
+    ends = roads.select("wegvak_id", "road_number_norm", r("length_m", 4).alias("length_m"), F.size(F.expr(parts)).alias("n_parts"),
+                        F.get_json_object("geojson", "$.type").alias("geojson_type"),
+                        geo.parts_start(parts).alias("a"), geo.parts_end(parts).alias("z"))
+    return ends.select("wegvak_id", "road_number_norm", "length_m", F.when(F.col("n_parts") > 0, F.col("n_parts")).alias("n_parts"),
+                       "geojson_type", *xy("a", 4, "x_start", "y_start"), *xy("z", 4, "x_end", "y_end"))
+
+
+@query
+def multipart_accidents(n: Network) -> DataFrame:
+    return accidents_norm(_split(n))
+
+
+@query
+def multipart_points(n: Network) -> DataFrame:
+    return best_point(_split(n))
+
+
+@query
+def multipart_clips(n: Network) -> DataFrame:
+    """Drawn length and number of pieces of each segment in each bin."""
+    m = _split(n)
+    segments = lb.drawn_intervals(m.roads, m.intervals)
+    clips = lb.bin_clips(segments, bn.km_grid(lb.km_extent(segments), [5]))
+    return clips.groupBy("road_number", "bin_idx", "wegvak_id", r("beg_km", 4).alias("beg_km")).agg(
+        r(F.sum(geo.length("geom_clip")), 4).alias("clip_m"), F.count(F.lit(1)).alias("pieces"))
+
+
+@query
+def multipart_chain(n: Network) -> DataFrame:
+    return segment_chain(_split(n))
+
+
+@query
+def multipart_chainage(n: Network) -> DataFrame:
+    return accident_chainage(_split(n))
+
+
+@query
+def multipart_gaps(n: Network) -> DataFrame:
+    return successor_gaps(_split(n))
+
+
+@query
+def multipart_types(n: Network) -> DataFrame:
+    return geometry_types(_split(n))
+
+
+@query
+def multipart_boxes(n: Network) -> DataFrame:
+    return roads_summary(_split(n))
+
+
 # ---- sources -----------------------------------------------------------------------------
 
 @query
@@ -744,7 +825,7 @@ def profile_columns(n: Network) -> DataFrame:
 
 @query
 def geometry_types(n: Network) -> DataFrame:
-    return st.geometry_types(n.roads, "geom_rd")
+    return st.geometry_types(n.roads, geo.parts_of(n.roads), "parts")
 
 
 @query

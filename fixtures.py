@@ -7,6 +7,8 @@ one in thirteen, a line), an order is an accident, customers and suppliers are r
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 WEGVAKKEN = """
@@ -77,6 +79,10 @@ SELECT CAST(p_partkey + 500000 AS VARCHAR(20)) AS fk_veld1,
 FROM {part}
 """
 
+# every fourth line of two edges and more in two parts: after its first edge it goes on beside itself
+IS_SPLIT = "({fk} - 500000) % 4 = 1 AND ({fk} - 500000) % 3 > 0"
+SPLIT_SHIFT = (60.0, -25.0)
+
 VERTICES_DUCK = """
 SELECT CAST(p_partkey + 500000 AS VARCHAR(20)) AS fk_veld1, v AS seq,
  20000.0e0 + (p_partkey % 200) * 500.0e0 + v * 500.0e0 / (1 + p_partkey % 3) AS x,
@@ -123,6 +129,30 @@ class Tables:
         return frame
 
 
+class SplitTables(Tables):
+    """The same tables, in which some road lines have two parts."""
+
+    @cached_property
+    def wegvakgeografie(self) -> DataFrame:
+        lines = Tables.__getattr__(self, "wegvakgeografie")
+        split = IS_SPLIT.format(fk="CAST(fk_veld1 AS BIGINT)")
+        dx, dy = SPLIT_SHIFT
+        rest = (f"transform(slice(geom, 2, size(geom) - 1), v -> named_struct('x', v.x + {dx}D, 'y', v.y + ({dy}D)))")
+        return lines.selectExpr(
+            "fk_veld1", f"CASE WHEN NOT ({split}) THEN geom END AS geom",
+            f"CASE WHEN {split} AND geom IS NOT NULL THEN array(slice(geom, 1, 2), {rest}) END AS geom_parts")
+
+
+def split_edges() -> str:
+    """The edges of the lines in two parts, as the body of the expression that lists edges."""
+    dx, dy = SPLIT_SHIFT
+    return f"""
+SELECT fk, seq, x1 + d * {dx}e0 AS x1, y1 + d * ({dy}e0) AS y1, x2 + d * {dx}e0 AS x2, y2 + d * ({dy}e0) AS y2 FROM (
+ SELECT fk_veld1 AS fk, seq, lag(x) OVER w AS x1, lag(y) OVER w AS y1, x AS x2, y AS y2,
+  CASE WHEN {IS_SPLIT.format(fk="CAST(fk_veld1 AS BIGINT)")} AND seq >= 2 THEN 1 ELSE 0 END AS d
+ FROM fx_vertices WINDOW w AS (PARTITION BY fk_veld1 ORDER BY seq))"""
+
+
 def duck_ctes() -> dict[str, str]:
     """The same tables as DuckDB CTE bodies."""
     def text(sql: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from fixtures import duck_ctes
+from fixtures import IS_SPLIT, duck_ctes, split_edges
 from roadlines.config import ROADS
 from roadlines.functions import projection as pr
 
@@ -243,21 +243,22 @@ for _tag, _args in {
     CTES.update(live_ctes(_tag, **_args))
 
 
-def with_ctes(sql: str) -> str:
-    """Prefix a query with every expression it needs, in dependency order."""
+def with_ctes(sql: str, **instead: str) -> str:
+    """Prefix a query with every expression it needs, in dependency order; `instead` replaces some."""
     needed: list[str] = []
+    bodies = CTES | instead
 
     def visit(text: str) -> None:
-        for name in CTES:
+        for name in bodies:
             if name not in needed and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
-                visit(CTES[name])
+                visit(bodies[name])
                 if name not in needed:
                     needed.append(name)
 
     visit(sql)
     if not needed:
         return sql.strip()
-    parts = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in needed)
+    parts = ",\n".join(f"{n} AS ({bodies[n].strip()})" for n in needed)
     return f"WITH {parts}\n{sql.strip()}"
 
 
@@ -332,7 +333,11 @@ LEFT JOIN (SELECT road, s, i, count(*) AS n FROM ring GROUP BY ALL) r ON r.road
 CTES["ranked"] = """
 SELECT road_number, bin_size_km, density_per_km_year AS d, count(*) OVER w AS n,
  row_number() OVER (PARTITION BY road_number, bin_size_km ORDER BY density_per_km_year) AS k
-FROM ls_out WINDOW w AS (PARTITION BY road_number, bin_size_km)"""
+FROM ls_drawn WINDOW w AS (PARTITION BY road_number, bin_size_km)"""
+CTES["ls_flag"] = """
+SELECT o.*, EXISTS (SELECT 1 FROM ls_clip c WHERE c.road = o.road_number AND c.s = o.bin_size_km AND c.i = o.i AND c.lo < c.hi) AS is_drawn
+FROM ls_out o"""
+CTES["ls_drawn"] = "SELECT * FROM ls_flag WHERE is_drawn"
 
 
 def _pick(p: int) -> str:
@@ -472,7 +477,7 @@ FROM acc_attr WHERE road IS NOT NULL GROUP BY road""",
 SELECT a.accident_id, a.accident_year, a.severity, a.location_quality, a.road AS road_number_norm,
  {rnd(lon('gx', 'gy'))} AS lon, {rnd(lat('gx', 'gy'))} AS lat
 FROM acc a JOIN road r ON r.wegvak_id = a.wegvak_id AND r.road = a.road
-WHERE a.road = 'A2' AND a.gx IS NOT NULL AND coalesce(r.carriageway, '') = 'HR' ORDER BY a.accident_id LIMIT 10000""",
+WHERE a.road = 'A2' AND a.gx IS NOT NULL AND coalesce(r.carriageway, '') = 'HR'""",
     "road_meta": """
 SELECT coalesce(a.road, r.road) AS road_number_norm, coalesce(a.n, 0) AS road_accident_count, coalesce(a.u, 0) AS road_unresolved_count,
  a.lo AS year_from, a.hi AS year_to, a.sv AS severities, coalesce(r.n, 0) AS road_segment_count,
@@ -533,14 +538,15 @@ SELECT road AS road_number, road || '_1km_' || lpad(CAST(i AS VARCHAR), 5, '0')
 QUALIFY row_number() OVER (PARTITION BY road ORDER BY n DESC NULLS LAST, bs) <= 10""",
     # ---- measures over bins
     "bin_kpis": f"""
-SELECT road_number, bin_size_km, CAST(sum(accident_count) AS BIGINT) AS total_accidents, {rnd('avg(density_per_km_year)')} AS mean_density,
- count(*) AS bin_count, {rnd('max(density_per_km_year)')} AS peak_density,
- min(bin_start_m) FILTER (density_per_km_year = top) AS peak_start_m
-FROM (SELECT *, max(density_per_km_year) OVER (PARTITION BY road_number, bin_size_km) AS top FROM ls_out) GROUP BY ALL""",
+SELECT road_number, bin_size_km, CAST(sum(accident_count) AS BIGINT) AS total_accidents,
+ {rnd('coalesce(avg(density_per_km_year) FILTER (is_drawn), 0)')} AS mean_density,
+ count(*) FILTER (is_drawn) AS bin_count, {rnd('max(density_per_km_year) FILTER (is_drawn)')} AS peak_density,
+ min(bin_start_m) FILTER (is_drawn AND density_per_km_year = top) AS peak_start_m
+FROM (SELECT *, max(CASE WHEN is_drawn THEN density_per_km_year END) OVER (PARTITION BY road_number, bin_size_km) AS top FROM ls_flag) GROUP BY ALL""",
     "density_breaks": "SELECT * FROM breaks",
     "density_classes": """
 SELECT o.bin_id, CASE WHEN d <= 0 THEN 0 WHEN d >= t4 THEN 5 WHEN d >= t3 THEN 4 WHEN d >= t2 THEN 3 WHEN d >= t1 THEN 2 ELSE 1 END AS density_class
-FROM (SELECT *, density_per_km_year AS d FROM ls_out) o JOIN breaks b ON b.road_number = o.road_number AND b.bin_size_km = o.bin_size_km""",
+FROM (SELECT *, density_per_km_year AS d FROM ls_drawn) o JOIN breaks b ON b.road_number = o.road_number AND b.bin_size_km = o.bin_size_km""",
     "class_table": """
 SELECT road_number, bin_size_km, c AS class, CASE c WHEN 0 THEN '0' WHEN 1 THEN '< ' || t1 WHEN 2 THEN t1 || '–' || t2
  WHEN 3 THEN t2 || '–' || t3 WHEN 4 THEN t3 || '–' || t4 ELSE t4 || '+' END AS label,
@@ -549,11 +555,13 @@ FROM breaks CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5]) AS c)""",
     "bar_heights": f"""
 SELECT bin_id, {rnd('greatest(d / greatest(max(d) OVER w, 1) * 100, CASE WHEN d > 0 THEN 4 ELSE 0 END)')} AS height_density,
  {rnd('greatest(n / greatest(max(n) OVER w, 1) * 100, CASE WHEN n > 0 THEN 4 ELSE 0 END)')} AS height_count
-FROM (SELECT *, density_per_km_year AS d, accident_count * 1e0 AS n FROM ls_out)
+FROM (SELECT *, density_per_km_year AS d, accident_count * 1e0 AS n FROM ls_drawn)
 WINDOW w AS (PARTITION BY road_number, bin_size_km)""",
-    "selection_overlap": "SELECT bin_id FROM ls_out WHERE bin_start_m < 13000 AND bin_end_m > 12000",
+    "drawn_flags": "SELECT bin_id, is_drawn FROM ls_flag",
+    "selection_overlap": "SELECT bin_id FROM ls_drawn WHERE bin_start_m < 13000 AND bin_end_m > 12000",
     "selection_bbox": f"""
-SELECT o.road_number, {rnd('min(x)', 4)} AS xmin, {rnd('min(y)', 4)} AS ymin, {rnd('max(x)', 4)} AS xmax, {rnd('max(y)', 4)} AS ymax
+SELECT o.road_number, {rnd('min(' + lon('x', 'y') + ')')} AS xmin, {rnd('min(' + lat('x', 'y') + ')')} AS ymin,
+ {rnd('max(' + lon('x', 'y') + ')')} AS xmax, {rnd('max(' + lat('x', 'y') + ')')} AS ymax
 FROM (SELECT * FROM la_out WHERE bin_start_m < 13000 AND bin_end_m > 12000) o JOIN (
  SELECT road, i, nx AS x, ny AS y FROM piece_nodes
  UNION ALL SELECT p.road, p.i, e.x1, e.y1 FROM piece_ends p JOIN edges e ON e.fk = p.fk
@@ -636,5 +644,36 @@ UNION ALL SELECT 'road_points_norm', count(*) FROM pt_one""",
 }
 
 
+#: Queries over lines of which some have two parts, by the query that they repeat or with an own text.
+MULTIPART = {
+    "multipart_roads": f"""
+SELECT wegvak_id, road AS road_number_norm, {rnd('length_m', 4)} AS length_m,
+ CAST(CASE WHEN length_m IS NULL THEN NULL WHEN {IS_SPLIT.format(fk='CAST(fk AS BIGINT)')} THEN 2 ELSE 1 END AS INTEGER) AS n_parts,
+ CASE WHEN length_m IS NULL THEN NULL WHEN {IS_SPLIT.format(fk='CAST(fk AS BIGINT)')} THEN 'MultiLineString' ELSE 'LineString' END AS geojson_type,
+ {rnd('xa', 4)} AS x_start, {rnd('ya', 4)} AS y_start, {rnd('xz', 4)} AS x_end, {rnd('yz', 4)} AS y_end FROM road""",
+    "multipart_accidents": "accidents_norm",
+    "multipart_points": "best_point",
+    "multipart_clips": f"""
+SELECT p.road AS road_number, p.i AS bin_idx, p.wegvak_id, {rnd('p.b', 4)} AS beg_km, {rnd('(p.hi - p.lo) * p.length_m', 4)} AS clip_m,
+ CAST(1 + count(e.seq) AS BIGINT) AS pieces
+FROM piece_ends p LEFT JOIN edges e ON e.fk = p.fk AND {IS_SPLIT.format(fk='CAST(p.fk AS BIGINT)')} AND e.seq = 2
+ AND p.lo * p.length_m < e.walked AND e.walked < p.hi * p.length_m
+GROUP BY p.road, p.i, p.wegvak_id, p.b, p.lo, p.hi, p.length_m""",
+    "multipart_chain": "segment_chain",
+    "multipart_chainage": "accident_chainage",
+    "multipart_gaps": "successor_gaps",
+    "multipart_types": f"""
+SELECT CASE WHEN length_m IS NULL THEN NULL WHEN {IS_SPLIT.format(fk='CAST(fk AS BIGINT)')} THEN 'MultiLineString' ELSE 'LineString' END AS geometry_type,
+ count(*) AS rows FROM road GROUP BY ALL""",
+    "multipart_boxes": "roads_summary",
+}
+_SPLIT_VERTICES = """
+SELECT fk AS fk_veld1, x1 AS x, y1 AS y FROM edges UNION ALL SELECT fk, x2, y2 FROM edges"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: with_ctes(sql) for name, sql in ORACLES.items()}
+    out = {name: with_ctes(sql) for name, sql in ORACLES.items()}
+    box = CTES["box"].replace("fx_vertices", "split_vertices")
+    for name, sql in MULTIPART.items():
+        out[name] = with_ctes(ORACLES.get(sql, sql), edges0=split_edges(), split_vertices=_SPLIT_VERTICES, box=box)
+    return out

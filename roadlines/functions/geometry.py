@@ -48,6 +48,43 @@ def interpolate(g: str, fraction: str) -> Column:
     return F.expr(sh.interpolate(g, fraction))
 
 
+def parts_of(df: DataFrame, line: str = "geom_rd", parts: str = "geom_parts") -> str:
+    """SQL text for the line parts of each row: of the line, or of the parts where there is no single line."""
+    return sh.parts_of(line, parts if parts in df.columns else None)
+
+
+def parts_start(parts: str) -> Column:
+    return F.expr(sh.parts_start(parts))
+
+
+def parts_end(parts: str) -> Column:
+    return F.expr(sh.parts_end(parts))
+
+
+def parts_measured(parts: str) -> Column:
+    return F.expr(sh.parts_measured(parts))
+
+
+def parts_interpolate(parts: str, fraction: str) -> Column:
+    return F.expr(sh.parts_interpolate(parts, fraction))
+
+
+def parts_closest(parts: str, p: str) -> Column:
+    return F.expr(sh.parts_closest(parts, p))
+
+
+def parts_substring(parts: str, lo: str, hi: str) -> Column:
+    return F.expr(sh.parts_substring(parts, lo, hi))
+
+
+def parts_centroid(parts: str) -> Column:
+    return F.expr(sh.parts_centroid(parts))
+
+
+def parts_envelope(parts: str) -> Column:
+    return F.expr(sh.envelope(f"flatten({parts})"))
+
+
 def measured(g: str) -> Column:
     return F.expr(sh.measured(g))
 

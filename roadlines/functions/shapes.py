@@ -5,6 +5,8 @@ name, or any expression) and returns expression text, so that a whole formula is
 by Spark instead of being put together call by call. `geometry` wraps these as Columns.
 
 Names that start with an underscore are lambda variables; arguments must not use such names.
+A line of several parts is array<line>; functions named `parts_...` measure along the parts in
+their order, and the gaps between them have no length. `parts_of` puts both kinds into one.
 Values needed in every step of a fold are carried in its state: a lambda that named an outer
 expression would evaluate it again for each vertex.
 """
@@ -46,6 +48,30 @@ def edges(g: str) -> str:
             f"'x1', _a.x, 'y1', _a.y, 'x2', _b.x, 'y2', _b.y, 'len', {gap('_a', '_b')}))")
 
 
+def let(value: str, name: str, body: str) -> str:
+    """`body` of a lambda variable `name` that is bound to a value computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def parts_of(line: str, parts: str | None = None) -> str:
+    """Parts of a geometry given as a line, or, where that is NULL, as parts."""
+    rest = f" ELSE {parts}" if parts else ""
+    return f"CASE WHEN {line} IS NOT NULL THEN array({line}){rest} END"
+
+
+def parts_edges(parts: str) -> str:
+    """Edges of all parts in order, none between one part and the next."""
+    return f"flatten(transform({parts}, _p -> {edges('_p')}))"
+
+
+def parts_start(parts: str) -> str:
+    return start(start(parts))
+
+
+def parts_end(parts: str) -> str:
+    return end(end(parts))
+
+
 def length(g: str) -> str:
     return f"aggregate({edges(g)}, 0D, (_t, _e) -> _t + _e.len)"
 
@@ -54,6 +80,18 @@ def parts_length(parts: str) -> str:
     return f"aggregate({parts}, 0D, (_sum, _g) -> _sum + {length('_g')})"
 
 
+def running(values: str) -> str:
+    """Inclusive running sums of an array of numbers.
+
+    Sums over 1, 2, 4, ... places are added up, log2(n) passes over the array: appending to an
+    array in a fold would copy it for each element.
+    """
+    shifted = "concat(array_repeat(0D, shiftleft(1, _k)), slice(_s, 1, greatest(size(_s) - shiftleft(1, _k), 0)))"
+    doubled = (f"aggregate(sequence(0, cast(ceil(log2(size(_x))) AS int) - 1), _x, (_s, _k) -> "
+               f"zip_with(_s, {shifted}, (_u, _w) -> _u + _w))")
+    return let(values, "_x", f"CASE WHEN size(_x) < 2 THEN _x ELSE {doubled} END")
+
+
 def interpolate(g: str, fraction: str) -> str:
     """Point at a fraction of the length; the caller clamps the fraction to 0..1."""
     share = "CASE WHEN _e.len > 0 THEN least((_s.goal - _s.at) / _e.len, 1D) ELSE 0D END"
@@ -68,14 +106,21 @@ def interpolate(g: str, fraction: str) -> str:
             f"WHEN {fraction} >= 1 THEN {end(g)} ELSE {walk} END")
 
 
+def _measured(edge_list: str) -> str:
+    before = f"slice(concat(array(0D), {running('transform(_m, _e -> _e.len)')}), 1, size(_m))"
+    kept = "named_struct('x1', _e.x1, 'y1', _e.y1, 'x2', _e.x2, 'y2', _e.y2, 'len', _e.len, 'at', _at)"
+    return let(edge_list, "_m", f"zip_with(_m, {before}, (_e, _at) -> {kept})")
+
+
 def measured(g: str) -> str:
     """Edges with the length walked before them (`at`); worth keeping where many points are
     interpolated on one line."""
-    return (
-        f"aggregate({edges(g)}, named_struct('at', 0D, 'm', cast(array() AS array<struct<x1:double,"
-        "y1:double,x2:double,y2:double,len:double,at:double>>)), (_s, _e) -> named_struct("
-        "'at', _s.at + _e.len, 'm', array_append(_s.m, named_struct('x1', _e.x1, 'y1', _e.y1, "
-        "'x2', _e.x2, 'y2', _e.y2, 'len', _e.len, 'at', _s.at))), _s -> _s.m)")
+    return _measured(edges(g))
+
+
+def parts_measured(parts: str) -> str:
+    """Edges of all parts with the length walked before them."""
+    return _measured(parts_edges(parts))
 
 
 def on_measured(m: str, total: str, fraction: str) -> str:
@@ -91,16 +136,31 @@ def on_measured(m: str, total: str, fraction: str) -> str:
             f"WHEN size({m}) > 0 AND {fraction} IS NOT NULL THEN {between} END")
 
 
+def parts_interpolate(parts: str, fraction: str) -> str:
+    """Point at a fraction of the length of all parts; where two parts meet, the start of the later one."""
+    total = "get(_m, size(_m) - 1).at + get(_m, size(_m) - 1).len"
+    return let(parts_measured(parts), "_m", on_measured("_m", f"({total})", fraction))
+
+
 def closest(g: str, p: str) -> str:
     """struct(dist, along, total): distance to the line, measure of the foot point, line length.
 
     A line of one vertex has no edges; its distance is that to the vertex.
     """
+    return _closest(edges(g), g, start(g), p)
+
+
+def parts_closest(parts: str, p: str) -> str:
+    """The same along all parts."""
+    return _closest(parts_edges(parts), f"flatten({parts})", parts_start(parts), p)
+
+
+def _closest(edge_list: str, vertices: str, first: str, p: str) -> str:
     # foot parameter per edge, then its distance, then the fold over the edges
     dot = f"(({p}).x - _e.x1) * (_e.x2 - _e.x1) + (({p}).y - _e.y1) * (_e.y2 - _e.y1)"
     square = "(_e.x2 - _e.x1) * (_e.x2 - _e.x1) + (_e.y2 - _e.y1) * (_e.y2 - _e.y1)"
     feet = (
-        f"transform({edges(g)}, _e -> named_struct('e', _e, 't', CASE WHEN _e.len > 0 "
+        f"transform({edge_list}, _e -> named_struct('e', _e, 't', CASE WHEN _e.len > 0 "
         f"THEN least(greatest(({dot}) / ({square}), 0D), 1D) ELSE 0D END))")
     dx = f"CASE WHEN _f.t >= 1 THEN _f.e.x2 ELSE _f.e.x1 + _f.t * (_f.e.x2 - _f.e.x1) END - ({p}).x"
     dy = f"CASE WHEN _f.t >= 1 THEN _f.e.y2 ELSE _f.e.y1 + _f.t * (_f.e.y2 - _f.e.y1) END - ({p}).y"
@@ -115,29 +175,52 @@ def closest(g: str, p: str) -> str:
         "(_s, _l) -> named_struct('dist', least(_s.dist, _l.d), "
         "'along', CASE WHEN _l.d < _s.dist THEN _s.total + _l.on ELSE _s.along END, "
         "'total', _s.total + _l.len))")
-    lone = f"named_struct('dist', {gap(start(g), p)}, 'along', 0D, 'total', 0D)"
-    return (f"CASE WHEN {g} IS NULL OR {p} IS NULL THEN NULL WHEN size({g}) = 1 THEN {lone} "
+    lone = f"named_struct('dist', {gap(first, p)}, 'along', 0D, 'total', 0D)"
+    return (f"CASE WHEN {vertices} IS NULL OR {p} IS NULL THEN NULL WHEN size({vertices}) = 1 THEN {lone} "
             f"ELSE {fold} END")
 
 
 def substring(g: str, lo: str, hi: str) -> str:
     """Line between two fractions of its length; NULL when the span is empty or reversed."""
-    kept = (
-        f"aggregate({edges(g)}, named_struct('lo', {length(g)} * {lo}, 'hi', {length(g)} * {hi}, "
-        f"'at', 0D, 'kept', cast(array() AS {LINE_TYPE})), (_s, _e) -> named_struct("
-        "'lo', _s.lo, 'hi', _s.hi, 'at', _s.at + _e.len, "
-        "'kept', CASE WHEN _s.at + _e.len > _s.lo AND _s.at + _e.len < _s.hi "
-        f"THEN array_append(_s.kept, {point('_e.x2', '_e.y2')}) ELSE _s.kept END), _s -> _s.kept)")
+    total = "get({m}, size({m}) - 1).at + get({m}, size({m}) - 1).len"
+    walked = let(measured(g), "_m", f"named_struct('m', _m, 'n', {total.format(m='_m')}, 'lo', {lo}, 'hi', {hi})")
+    inner = "_e.at + _e.len > _w.n * _w.lo AND _e.at + _e.len < _w.n * _w.hi"
+    kept = f"transform(filter(_w.m, _e -> {inner}), _e -> {point('_e.x2', '_e.y2')})"
+    ends = [f"array({on_measured('_w.m', '_w.n', f'_w.{k}')})" for k in ("lo", "hi")]
     return (
         f"CASE WHEN {g} IS NULL OR {lo} IS NULL OR {hi} IS NULL OR {lo} >= {hi} THEN NULL "
         f"WHEN {lo} <= 0 AND {hi} >= 1 THEN {g} "
-        f"ELSE concat(array({interpolate(g, lo)}), {kept}, array({interpolate(g, hi)})) END")
+        f"ELSE {let(walked, '_w', f'concat({ends[0]}, {kept}, {ends[1]})')} END")
+
+
+def parts_substring(parts: str, lo: str, hi: str) -> str:
+    """Parts between two fractions of the length of all parts; parts outside are left out, NULL when none is left."""
+    sized = f"transform({parts}, _g -> named_struct('g', _g, 'len', {length('_g')}))"
+    bound = let(
+        sized, "_o", f"named_struct('o', _o, 'at', {running('transform(_o, _e -> _e.len)')}, 'lo', {lo}, 'hi', {hi}, "
+        "'n', aggregate(_o, 0D, (_t, _e) -> _t + _e.len))")
+    local = (
+        "zip_with(_c.o, _c.at, (_e, _at) -> named_struct('g', _e.g, "
+        "'lo', greatest((_c.n * _c.lo - (_at - _e.len)) / nullif(_e.len, 0D), 0D), "
+        "'hi', least((_c.n * _c.hi - (_at - _e.len)) / nullif(_e.len, 0D), 1D)))")
+    pieces = f"filter(transform({local}, _q -> {substring('_q.g', '_q.lo', '_q.hi')}), _g -> _g IS NOT NULL)"
+    some = let(let(bound, "_c", pieces), "_z", "CASE WHEN size(_z) > 0 THEN _z END")
+    return (f"CASE WHEN {parts} IS NULL OR {lo} IS NULL OR {hi} IS NULL OR {lo} >= {hi} THEN NULL "
+            f"WHEN {lo} <= 0 AND {hi} >= 1 THEN {parts} ELSE {some} END")
 
 
 def centroid(g: str) -> str:
     """Edge midpoints weighted by edge length; the first vertex for a line without length."""
+    return _centroid(edges(g), start(g))
+
+
+def parts_centroid(parts: str) -> str:
+    return _centroid(parts_edges(parts), parts_start(parts))
+
+
+def _centroid(edge_list: str, first: str) -> str:
     return (
-        f"aggregate({edges(g)}, named_struct('x', 0D, 'y', 0D, 'len', 0D, 'x0', ({start(g)}).x, 'y0', ({start(g)}).y), "
+        f"aggregate({edge_list}, named_struct('x', 0D, 'y', 0D, 'len', 0D, 'x0', ({first}).x, 'y0', ({first}).y), "
         "(_s, _e) -> named_struct('x', _s.x + _e.len * (_e.x1 + _e.x2) / 2D, "
         "'y', _s.y + _e.len * (_e.y1 + _e.y2) / 2D, 'len', _s.len + _e.len, 'x0', _s.x0, 'y0', _s.y0), "
         "_s -> CASE WHEN _s.len > 0 THEN named_struct('x', _s.x / _s.len, 'y', _s.y / _s.len) "

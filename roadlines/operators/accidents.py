@@ -46,7 +46,7 @@ def attach_location(staging: DataFrame, roads: DataFrame, points: DataFrame) ->
     segment = roads.select(
         "wegvak_id", F.col("road_number_raw").alias("seg_road_raw"),
         F.col("road_number_norm").alias("seg_road_norm"), "is_target_a2",
-        "start_hm", "end_hm", "length_m", geo.measured("geom_rd").alias("seg_line"))
+        "start_hm", "end_hm", "length_m", geo.parts_measured(geo.parts_of(roads)).alias("seg_line"))
     spot = best_point(points.select("point_id", "wegvak_id", "hm", "geom_rd")).select(
         "point_id", F.col("geom_rd").alias("point_geom"))
     placed = lookup_join(staging, segment, "wegvak_id", "accident_id")

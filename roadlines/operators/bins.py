@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from roadlines.config import BIN_SIZES_KM
 from roadlines.functions import geometry as geo
+from roadlines.operators.joins import with_group_row
 
 GRID = ("bin_size_km", "origin", "limit", "step", "n_bins")
 
@@ -77,8 +78,11 @@ def bin_of(value: Column, scale: float | None = None) -> Column:
 
 def point_in_bin_join(points: DataFrame, grid: DataFrame, value: str,
                       scale: float | None = None) -> DataFrame:
-    """Points with the bin they fall into, for every size of the grid; others are dropped."""
-    sized = points.join(grid, "road_number", "inner")
+    """Points with the bin they fall into, for every size of the grid; others are dropped.
+
+    Points of a hot road are spread over many tasks.
+    """
+    sized = with_group_row(points, grid)
     return (sized.withColumn("bin_idx", bin_of(F.col(value), scale))
             .where(F.col("bin_idx").isNotNull())
             .drop("origin", "limit", "step", "n_bins"))
@@ -92,7 +96,7 @@ def overlap_join(segments: DataFrame, grid: DataFrame, lo: str, hi: str) -> Data
     high = F.least(last, F.col("n_bins") - 1)
     i = F.col("bin_idx")
     return (
-        segments.join(grid, "road_number", "inner")
+        with_group_row(segments, grid)
         .where(low <= high)
         .withColumn("bin_idx", F.explode(F.sequence(low, high)))
         .withColumn("bin_start", bin_start(i)).withColumn("bin_end", bin_end(i))
@@ -102,9 +106,10 @@ def overlap_join(segments: DataFrame, grid: DataFrame, lo: str, hi: str) -> Data
 
 def clip_segments(segments: DataFrame, grid: DataFrame, lo: str, hi: str, geom: str = "geom_rd",
                   span: str | None = None) -> DataFrame:
-    """Pieces of the segments inside each bin (geom_clip); empty pieces are dropped.
+    """Pieces of the segments inside each bin (geom_clip), one row for each line; empty pieces are dropped.
 
     Fractions relate the bin bounds to lo..hi; `span` names the divisor when it is not hi - lo.
+    Of a line of several parts (`geom_parts`) each part that reaches into the bin is a piece.
     """
     overlaps = overlap_join(segments, grid, lo, hi)
     size = F.col(span) if span else F.col(hi) - F.col(lo)
@@ -117,8 +122,14 @@ def clip_segments(segments: DataFrame, grid: DataFrame, lo: str, hi: str, geom:
         finish = (F.least("bin_end", hi) - F.col(lo)) / divisor
     fractions = overlaps.withColumns({
         "_from": F.greatest(F.lit(0.0), begin), "_to": F.least(F.lit(1.0), finish)})
-    return (fractions.withColumn("geom_clip", geo.substring(geom, "_from", "_to"))
-            .where(F.col("geom_clip").isNotNull()).drop("_from", "_to", geom))
+    if "geom_parts" not in segments.columns:
+        return (fractions.withColumn("geom_clip", geo.substring(geom, "_from", "_to"))
+                .where(F.col("geom_clip").isNotNull()).drop("_from", "_to", geom))
+    one = F.col(geom).isNotNull()
+    pieces = F.when(one, F.array(geo.substring(geom, "_from", "_to"))).otherwise(
+        geo.parts_substring("geom_parts", "_from", "_to"))
+    return (fractions.withColumn("geom_clip", F.explode(pieces))
+            .where(F.col("geom_clip").isNotNull()).drop("_from", "_to", geom, "geom_parts"))
 
 
 def bin_counts(placed: DataFrame) -> DataFrame:

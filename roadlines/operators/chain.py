@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlines.config import GEOMETRY_DIRECTION
 from roadlines.functions import geometry as geo
+from roadlines.functions import shapes as sh
 from roadlines.operators import filters as flt
 from roadlines.operators import joins
 from roadlines.operators.scan import prefix_scan
@@ -14,17 +15,23 @@ from roadlines.operators.scan import prefix_scan
 AXIS_BUCKET_M = 100
 
 
+def with_parts(roads: DataFrame) -> DataFrame:
+    """`roads` with a column for lines of several parts, NULL where the table has none."""
+    return roads if "geom_parts" in roads.columns else roads.withColumn(
+        "geom_parts", F.lit(None).cast(geo.MULTILINE_TYPE))
+
+
 def drawn_segments(roads: DataFrame, direction: str | None = GEOMETRY_DIRECTION,
                    road: str | None = None) -> DataFrame:
-    """Main-carriageway segments with a line; `direction` None keeps all directions."""
-    kept = flt.main_road(flt.has_geometry(flt.on_road(roads, road)))
+    """Main-carriageway segments with a line of one part or more; `direction` None keeps all directions."""
+    kept = flt.main_road(flt.on_road(with_parts(roads), road)).where("geom_rd IS NOT NULL OR geom_parts IS NOT NULL")
     if direction is not None:
         kept = flt.geometry_direction(kept, direction)
     return kept.withColumn("road_number", F.col("road_number_norm"))
 
 
 def with_centroid(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("centroid", geo.centroid("geom_rd"))
+    return segments.withColumn("centroid", geo.parts_centroid(geo.parts_of(segments)))
 
 
 def road_axis(segments: DataFrame) -> DataFrame:
@@ -46,12 +53,12 @@ def _along_axis() -> Column:
 
 def on_axis(segments: DataFrame, axis: DataFrame) -> DataFrame:
     """Segments with `proj`, the position of their centroid on the road's axis."""
-    return (with_centroid(segments).join(axis, "road_number")
+    return (joins.with_group_row(with_centroid(segments), axis)
             .withColumn("proj", _along_axis())
             .drop("centroid", "min_x", "min_y", "ux", "uy"))
 
 
-SEGMENT = ("road_number", "wegvak_id", "geom_rd", "start_hm", "end_hm", "seg_len_m")
+SEGMENT = ("road_number", "wegvak_id", "geom_rd", "geom_parts", "start_hm", "end_hm", "seg_len_m")
 
 
 def projected_segments(roads: DataFrame, direction: str = GEOMETRY_DIRECTION,
@@ -119,6 +126,19 @@ def canonical_segments(roads: DataFrame, chain: DataFrame, bucket_m: int = AXIS_
         F.coalesce("_lowest", "wegvak_id").alias("canonical_wegvak_id"))
 
 
+def line_parts(chain: DataFrame) -> DataFrame:
+    """Each part of each chain segment as a line of its own: its place in the order (seg_ord, part
+    number) and the length of the segment's parts before it (part_at)."""
+    parts = geo.parts_of(chain)
+    sizes = F.transform(F.expr(parts), lambda _g: F.lit(0.0)) if "geom_parts" not in chain.columns else F.expr(
+        f"transform({parts}, _g -> {sh.length('_g')})")
+    split = chain.select("road_number", "seg_ord", "chain_start_m", "seg_len_m", F.col("wegvak_id").alias("chain_wegvak_id"),
+                         sizes.alias("_sizes"), F.posexplode(F.expr(parts)).alias("_no", "geom"))
+    before = F.aggregate(F.slice("_sizes", F.lit(1), F.col("_no")), F.lit(0.0), lambda t, x: t + x)
+    return split.select("road_number", "geom", F.struct("seg_ord", "_no").alias("place"), before.alias("part_at"),
+                        "chain_start_m", "seg_len_m", "chain_wegvak_id")
+
+
 def snap_accidents(accidents: DataFrame, roads: DataFrame, chain: DataFrame,
                    cell: float = 250.0) -> DataFrame:
     """Accidents with geometry on main-carriageway segments -> place on the nearest chain segment."""
@@ -128,11 +148,9 @@ def snap_accidents(accidents: DataFrame, roads: DataFrame, chain: DataFrame,
         "accident_id", "accident_year", "severity", "wegvak_id", "fatal_count", "injury_count",
         F.col("road_number_norm").alias("road_number"),
         F.col("geom_rd.x").alias("x"), F.col("geom_rd.y").alias("y"))
-    lines = chain.select("road_number", F.col("geom_rd").alias("geom"), "seg_ord",
-                         "chain_start_m", "seg_len_m", F.col("wegvak_id").alias("chain_wegvak_id"))
-    near = joins.nearest_join(spots.select("road_number", "x", "y"), lines, ["road_number"], cell,
-                              carry=["chain_start_m", "seg_len_m", "chain_wegvak_id"])
-    share = F.when(F.col("total") > 0, F.col("along") / F.col("total")).otherwise(0.0)
+    near = joins.nearest_join(spots.select("road_number", "x", "y"), line_parts(chain), ["road_number"], cell,
+                              tie="place", carry=["part_at", "chain_start_m", "seg_len_m", "chain_wegvak_id"])
+    share = F.when(F.col("seg_len_m") > 0, (F.col("part_at") + F.col("along")) / F.col("seg_len_m")).otherwise(0.0)
     return spots.join(near, ["road_number", "x", "y"], "inner").withColumn(
         "chain_m", F.col("chain_start_m") + share * F.col("seg_len_m"))
 

@@ -156,10 +156,10 @@ def select_bins(bins: DataFrame, bin_id: str | None = None, km: int | None = Non
 
 
 def selection_bbox(bins: DataFrame, parts: str = "geom_parts", by: Sequence[str] = ()) -> DataFrame:
-    """Box of the finite coordinates of the chosen bins' line parts; NULLs when there are none."""
+    """Box in degrees of the finite coordinates of the chosen bins' line parts (RD); NULLs when there are none."""
     flat = F.flatten(F.col(parts))
     finite = F.filter(flat, lambda v: _finite(v["x"]) & _finite(v["y"]))
-    boxed = bins.select(*by, finite.alias("v")).select(*by, geo.envelope("v").alias("b"))
+    boxed = bins.select(*by, finite.alias("v")).withColumn("v", geo.rd_to_wgs84("v")).select(*by, geo.envelope("v").alias("b"))
     edges = [F.min("b.xmin").alias("xmin"), F.min("b.ymin").alias("ymin"),
              F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax")]
     return boxed.groupBy(*by).agg(*edges) if by else boxed.agg(*edges)

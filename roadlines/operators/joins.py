@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from roadlines.functions import geometry as geo
 from roadlines.functions import shapes as sh
@@ -27,10 +28,27 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, spread_by: str) -> D
     """
     salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SALTS)) + 1
                   ).otherwise(0).cast("int")
-    salted = lookup.withColumn("_salt", F.lit(0))
+    # always zero, but nothing that the optimizer could fold: of a constant it would make a filter and
+    # join by the key alone, all rows without one in one task
+    salted = lookup.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(1)).cast("int"))
     return df.withColumn("_salt", salt).join(salted, [key, "_salt"], "left").drop("_salt")
 
 
+def with_group_row(df: DataFrame, per_group: DataFrame, by: Sequence[str] = ("road_number",),
+                   salts: int = SALTS) -> DataFrame:
+    """Inner join to a table with few rows per group (a grid, an axis), with hot groups spread out.
+
+    Rows of `df` get a salt from all their plain columns, and the small side is repeated for each
+    salt, so that a group that holds most rows fills `salts` tasks at least. Nothing downstream can
+    reuse an exchange by the group alone: aggregates by group and bin sum up in the map tasks
+    first. While the repeated side is small, Spark's own size check broadcasts it instead.
+    """
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    repeated = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, [*by, "_salt"], "inner").drop("_salt")
+
+
 def using(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return a.join(b, key, "inner")
 
@@ -74,9 +92,9 @@ def successor_gaps(chain: DataFrame, min_jump: float = 100.0) -> DataFrame:
     Joined on the successor's position: ranks are unique, so this stays an even equi-join.
     """
     following = chain.select("road_number", (F.col("seg_ord") - 1).alias("seg_ord"),
-                             geo.start("geom_rd").alias("next"))
+                             geo.parts_start(geo.parts_of(chain)).alias("next"))
     jumps = chain.join(following, ["road_number", "seg_ord"]).select(
-        "road_number", "seg_ord", geo.gap(sh.end("geom_rd"), "next").alias("jump_m"))
+        "road_number", "seg_ord", geo.gap(sh.parts_end(geo.parts_of(chain)), "next").alias("jump_m"))
     return jumps.where(F.col("jump_m") > min_jump)
 
 

@@ -61,27 +61,36 @@ def segment_attributes(wegvakken: DataFrame, cmap: ColumnMap) -> DataFrame:
 
 
 def attach_geometry(segments: DataFrame, lines: DataFrame, cmap: ColumnMap) -> DataFrame:
-    """Left join to the line table on the trimmed key; adds geom_rd."""
+    """Left join to the line table on the trimmed key; adds geom_rd, and geom_parts for lines of several parts.
+
+    Segments without a key are spread out.
+    """
     g = cmap.wegvakgeografie
     key = g.join_col or g.id_col or cmap.wegvakken.fk_col or "FK_VELD1"
-    lookup = lines.select(
-        F.trim(role(key)).alias("_fk"),
-        F.col(f"`{g.geometry_col or 'geom'}`").alias("geom_rd"))
-    return segments.join(lookup, "_fk", "left")
+    line = F.col(f"`{g.geometry_col or 'geom'}`")
+    none = F.lit(None).cast(geo.MULTILINE_TYPE)
+    parts = F.when(line.isNull() & (F.size("geom_parts") > 0), F.col("geom_parts")) if "geom_parts" in lines.columns else none
+    lookup = lines.select(F.trim(role(key)).alias("_fk"), line.alias("geom_rd"), parts.alias("geom_parts"))
+    return lookup_join(segments, lookup, "_fk", "wegvak_id")
 
 
 def build_roads(wegvakken: DataFrame, lines: DataFrame, cmap: ColumnMap) -> DataFrame:
-    """roads_norm: attributes, road number, oriented measures, line in RD and WGS84, GeoJSON."""
+    """roads_norm: attributes, road number, oriented measures, line in RD and WGS84, GeoJSON.
+
+    A line of several parts has its parts in geom_parts, and no geom_rd and geom_wgs84; its
+    length is that of the parts, and its GeoJSON a MultiLineString.
+    """
     attributes = segment_attributes(wegvakken, cmap)
     based = attach_geometry(attributes, lines, cmap)
-    named = orient_measures(with_road_number(based, cmap.target))
+    parts = geo.parts_of(based)
+    named = orient_measures(with_road_number(based, cmap.target)).withColumn("_parts_wgs84", geo.parts_to_wgs84(parts))
     return named.select(
         "wegvak_id", "road_number_raw", "road_type_raw", "road_number_norm",
         F.col("road_type_raw").alias("road_type"), "direction", "carriageway",
-        "start_hm", "end_hm", geo.length("geom_rd").alias("length_m"),
+        "start_hm", "end_hm", geo.parts_length(parts).alias("length_m"),
         (F.col("road_number_norm") == cmap.target.canonical_road_number).alias("is_target_a2"),
         "geom_rd", geo.rd_to_wgs84("geom_rd").alias("geom_wgs84"),
-    ).withColumn("geojson", geo.as_geojson("geom_wgs84"))
+        geo.as_geojson("_parts_wgs84", "parts").alias("geojson"), "geom_parts")
 
 
 def union_points(puntlocaties: DataFrame, hectopunten: DataFrame, cmap: ColumnMap) -> DataFrame:
@@ -121,7 +130,7 @@ def dedupe_points(points: DataFrame) -> DataFrame:
 def attach_road(points: DataFrame, roads: DataFrame) -> DataFrame:
     """Left join to the segments; adds road names and a point in RD."""
     lookup = roads.select("wegvak_id", "road_number_raw", "road_number_norm", "is_target_a2",
-                          "start_hm", "end_hm", "length_m", geo.measured("geom_rd").alias("_line"))
+                          "start_hm", "end_hm", "length_m", geo.parts_measured(geo.parts_of(roads)).alias("_line"))
     joined = lookup_join(points, lookup, "wegvak_id", "point_id")
     begin, finish = F.coalesce("start_hm", F.lit(0.0)), F.coalesce("end_hm", F.lit(0.0))
     # a measure range of zero gives NULL, and greatest() skips it: the start of the line
@@ -158,17 +167,17 @@ def best_point(points: DataFrame) -> DataFrame:
 
 def hm_chain(roads: DataFrame, bucket: int = 100, min_jump: float = 100.0) -> DataFrame:
     """Segments kept one per hm bucket (the longest), chained by hm, with the jump to the next."""
-    hr = roads.where((F.coalesce("carriageway", F.lit("")) == "HR") & F.col("geom_rd").isNotNull())
+    hr = roads.where((F.coalesce("carriageway", F.lit("")) == "HR") & F.col("length_m").isNotNull())
+    parts = geo.parts_of(hr)
     measured = hr.select(
-        F.col("road_number_norm").alias("road_number"), "wegvak_id", "geom_rd",
-        F.col("length_m").alias("seg_len_m"),
+        F.col("road_number_norm").alias("road_number"), "wegvak_id", geo.parts_start(parts).alias("first"),
+        geo.parts_end(parts).alias("last"), F.col("length_m").alias("seg_len_m"),
         ((F.coalesce("start_hm", "end_hm", F.lit(0.0)) + F.coalesce("end_hm", "start_hm", F.lit(0.0)))
          / 2.0).alias("hm_mid"))
     longest = (
         measured.groupBy("road_number", F.floor(F.col("hm_mid") / bucket).alias("hm_bucket"))
         .agg(F.min(F.struct((-F.col("seg_len_m")).alias("neg"), "wegvak_id", "hm_mid",
-                            geo.start("geom_rd").alias("first"),
-                            geo.end("geom_rd").alias("last"))).alias("s"))
+                            "first", "last")).alias("s"))
         .select("road_number", "hm_bucket", "s.wegvak_id", "s.hm_mid", "s.first", "s.last",
                 (-F.col("s.neg")).alias("seg_len_m")))
     chained = prefix_scan(longest, ["road_number"], ["hm_mid", "wegvak_id"], rank="seg_ord",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadlines.config import AppConfig
 from roadlines.functions import geometry as geo
+from roadlines.functions import shapes as sh
 from roadlines.operators import filters as flt
 from roadlines.operators.joins import cross_one
 
@@ -48,9 +49,16 @@ def severities(df: DataFrame, road: str | None = None) -> DataFrame:
 
 
 def bbox(df: DataFrame, geom: str = "geom_wgs84", by: Sequence[str] = ()) -> DataFrame:
-    """Box around all lines, per group."""
-    boxed = df.where(F.col(geom).isNotNull()).select(
-        *by, geo.envelope(geom).alias("box"))
+    """Box around all lines, per group.
+
+    Lines of several parts (`geom_parts`, in RD) take part in the box of geom_rd, and turned to
+    degrees in that of geom_wgs84.
+    """
+    box = geo.envelope(geom)
+    if "geom_parts" in df.columns and geom in ("geom_rd", "geom_wgs84"):
+        parts = sh.parts_to_wgs84("geom_parts") if geom == "geom_wgs84" else "geom_parts"
+        box = F.coalesce(box, geo.parts_envelope(parts))
+    boxed = df.select(*by, box.alias("box")).where(F.col("box").isNotNull())
     edges = [F.min("box.xmin").alias("xmin"), F.min("box.ymin").alias("ymin"),
              F.max("box.xmax").alias("xmax"), F.max("box.ymax").alias("ymax")]
     return boxed.groupBy(*by).agg(*edges) if by else boxed.agg(*edges)
@@ -152,6 +160,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str], n: int | None = 30)
 
 
 def geometry_types(df: DataFrame, geom: str, kind: str = "line") -> DataFrame:
+    """Rows per geometry type; `geom` names a column or is SQL text for a line or its parts."""
     return df.groupBy(geo.geometry_type(geom, kind).alias("geometry_type")).agg(
         F.count(F.lit(1)).alias("rows"))
 

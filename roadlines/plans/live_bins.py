@@ -36,7 +36,8 @@ def drawn_intervals(roads: DataFrame, intervals: DataFrame, road: str | None = N
         flt.main_road(flt.has_geometry(flt.on_road(roads, road), "length_m"), main_road_only),
         direction)
     return segment_intervals(
-        segments.select("wegvak_id", F.col("road_number_norm").alias("road_number"), "geom_rd"),
+        segments.select("wegvak_id", F.col("road_number_norm").alias("road_number"), "geom_rd",
+                        *[c for c in ("geom_parts",) if c in segments.columns]),
         intervals)
 
 
@@ -67,11 +68,22 @@ def with_year_span(bins: DataFrame, accidents: DataFrame, year_from: int | None,
             .withColumn("year_span", F.coalesce("year_span", F.lit(1))))
 
 
+def bin_clips(segments: DataFrame, grid: DataFrame) -> DataFrame:
+    """Pieces of the drawn intervals inside each bin."""
+    usable = segments.where(F.abs(F.col("end_km") - F.col("beg_km")) > 0)
+    return bn.clip_segments(usable, grid, "beg_km", "end_km")
+
+
 def bin_parts(segments: DataFrame, grid: DataFrame) -> DataFrame:
     """Merged line parts of each bin, one row per part."""
-    usable = segments.where(F.abs(F.col("end_km") - F.col("beg_km")) > 0)
-    clips = bn.clip_segments(usable, grid, "beg_km", "end_km")
-    return merge_lines(clips, KEYS, "geom_clip")
+    return merge_lines(bin_clips(segments, grid), KEYS, "geom_clip")
+
+
+def flag_drawn(bins: DataFrame, segments: DataFrame, grid: DataFrame) -> DataFrame:
+    """`bins` with is_drawn: some clip in the bin has a line to draw. Nothing is merged for it."""
+    lines = bin_clips(segments, grid).where(geo.is_valid("geom_clip")).select(*KEYS).distinct()
+    return bins.join(lines.withColumn("_drawn", F.lit(True)), list(KEYS), "left").withColumn(
+        "is_drawn", F.coalesce("_drawn", F.lit(False))).drop("_drawn")
 
 
 def placed_counts(accidents: DataFrame, roads: DataFrame, intervals: DataFrame, grid: DataFrame,
@@ -86,10 +98,11 @@ def road_bins(roads: DataFrame, accidents: DataFrame, intervals: DataFrame,
               year_from: int | None = None, year_to: int | None = None,
               severities: Sequence[str] | None = None, main_road_only: bool = True,
               direction: str | None = None, staging: DataFrame | None = None,
-              geometry: bool = True) -> DataFrame:
+              geometry: bool = True, drawn: bool = False) -> DataFrame:
     """Bins with counts and density for one road, or for all roads at once (`road` None).
 
-    Without `geometry` the lines are not clipped and merged; the geometry columns are left out.
+    Without `geometry` the lines are not merged and the geometry columns are left out; with
+    `drawn` a column is_drawn then says which bins have a line, those that a map shows.
     """
     segments = drawn_intervals(roads, intervals, road, main_road_only, direction)
     grid = bn.km_grid(km_extent(segments), sizes)
@@ -109,9 +122,9 @@ def road_bins(roads: DataFrame, accidents: DataFrame, intervals: DataFrame,
     dense = measured.withColumn("density_per_km_year", bn.density(
         F.col("accident_count"), F.col("length_m"), F.col("year_span")))
     if not geometry:
-        return dense.drop("bin_idx")
-    drawn = collect_lines(bin_parts(segments, grid), KEYS)
-    return with_drawing(dense.join(drawn, list(KEYS), "left")).drop("bin_idx")
+        return (flag_drawn(dense, segments, grid) if drawn else dense).drop("bin_idx")
+    lines = collect_lines(bin_parts(segments, grid), KEYS)
+    return with_drawing(dense.join(lines, list(KEYS), "left")).drop("bin_idx")
 
 
 def quality(parts: Column, label: str) -> Column:

@@ -43,7 +43,7 @@ def require_same_count(raw: DataFrame, norm: DataFrame) -> None:
 
 def has_segments(roads: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
-    sums = roads.agg(n.alias("n"), F.count_if(F.col("geom_rd").isNull()).alias("lost"))
+    sums = roads.agg(n.alias("n"), F.count_if(F.expr(geo.parts_of(roads)).isNull()).alias("lost"))
     return _rows(sums, [_row("segments", F.col("n"), F.col("n") > 0),
                         _row("segments_without_geometry", F.col("lost"), F.lit(True))])
 
