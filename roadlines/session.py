@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; unset, one in the warehouse, which is shared too."""
+    """Use the shared folder the session names in spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine takes a folder in its warehouse. On a cluster that
+    is an error: a folder made up here could be local to each machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_cuts")
 
 

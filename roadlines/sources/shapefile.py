@@ -27,6 +27,7 @@ FILE_HEADER, INDEX_ENTRY, RECORD_HEADER = 100, 8, 8
 
 RECORDS_PER_TASK = 50_000
 RECORDS_PER_BATCH = 4_096
+READ_GAP = 1 << 16  # bytes between records that are read along rather than skipped
 POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 
 
@@ -91,17 +92,61 @@ def crs_of(path: str) -> str | None:
     return "EPSG:28992 (RD New)" if "RD_New" in text or "Amersfoort" in text else "unknown"
 
 
-def _parts(body: bytes) -> list[np.ndarray]:
-    """Vertex arrays of one shape record body; empty for a null shape."""
-    kind = struct.unpack_from("<i", body)[0]
-    if kind in POINT_SHAPES:
-        return [np.frombuffer(body, "<f8", 2, 4).reshape(1, 2)]
-    if kind not in LINE_SHAPES:
-        return []
-    n_parts, n_points = struct.unpack_from("<ii", body, 36)
-    firsts = np.frombuffer(body, "<i4", n_parts, 44)
-    points = np.frombuffer(body, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2)
-    return np.split(points, firsts[1:])
+def _record_bytes(shp, offsets: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """One read over some records, and where each one's body starts in it.
+
+    Records lie one after the other as a rule; where they do not, each stretch without a gap is
+    one read.
+    """
+    order = np.argsort(offsets, kind="stable")
+    first, last = offsets[order], (offsets + RECORD_HEADER + sizes)[order]
+    breaks = np.flatnonzero(first[1:] > np.maximum.accumulate(last)[:-1] + READ_GAP) + 1
+    chunks, starts, at = [], np.empty(len(offsets), np.int64), 0
+    for part in np.split(np.arange(len(order)), breaks):
+        if not len(part):
+            continue
+        lo, hi = int(first[part[0]]), int(last[part].max())
+        chunks.append(shp.read_at(hi - lo, lo))
+        starts[order[part]] = first[part] - lo + RECORD_HEADER + at
+        at += hi - lo
+    return b"".join(chunks), starts
+
+
+def _integers(data: bytes, places: np.ndarray) -> np.ndarray:
+    """Little-endian 32-bit integers at byte places."""
+    raw = np.frombuffer(data, np.uint8)
+    return raw[places[:, None] + np.arange(4)].copy().view("<i4").ravel().astype(np.int64)
+
+
+def _lines(data: bytes, starts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(line of one-part records, all parts) as Arrow arrays that share one array of points."""
+    kinds = _integers(data, starts) if len(starts) else np.zeros(0, np.int64)
+    lines, dots = np.isin(kinds, LINE_SHAPES), np.isin(kinds, POINT_SHAPES)
+    n_parts, n_points = dots.astype(np.int64), dots.astype(np.int64)
+    if lines.any():
+        n_parts[lines] = _integers(data, starts[lines] + 36)
+        n_points[lines] = _integers(data, starts[lines] + 40)
+    at_points = np.where(dots, starts + 4, starts + 44 + 4 * n_parts)
+    points = np.frombuffer(b"".join(
+        data[s:s + 16 * n] for s, n in zip(at_points.tolist(), n_points.tolist(), strict=True)), "<f8").reshape(-1, 2)
+    firsts = np.frombuffer(b"".join(
+        (b"\0\0\0\0" if dot else data[s + 44:s + 44 + 4 * n]) if n else b""
+        for s, n, dot in zip(starts.tolist(), n_parts.tolist(), dots.tolist(), strict=True)), "<i4").astype(np.int64)
+    of_record = np.concatenate([[0], np.cumsum(n_points)])
+    of_parts = np.concatenate([[0], np.cumsum(n_parts)])
+    part_offsets = np.append(firsts + np.repeat(of_record[:-1], n_parts), of_record[-1])
+    spots = pa.StructArray.from_arrays([pa.array(points[:, 0].copy()), pa.array(points[:, 1].copy())], ["x", "y"])
+    parts = pa.ListArray.from_arrays(pa.array(part_offsets.astype(np.int32)), spots)
+    return (pa.ListArray.from_arrays(pa.array(of_record.astype(np.int32)), spots, mask=pa.array(n_parts != 1)),
+            pa.ListArray.from_arrays(pa.array(of_parts.astype(np.int32)), parts, mask=pa.array(n_parts == 0)))
+
+
+def _texts(rows: bytes, width: int, f: Field, encoding: str) -> pa.Array:
+    """One attribute of some records, blanks as NULL."""
+    table = np.frombuffer(rows, np.uint8).reshape(-1, width)
+    column = np.ascontiguousarray(table[:, f.offset:f.offset + f.width]).view(f"S{f.width}").ravel()
+    values = np.char.strip(np.char.decode(column, encoding, "replace"), " \0")
+    return pa.array(values, pa.string(), mask=values == "")
 
 
 class RecordRange(InputPartition):
@@ -129,28 +174,15 @@ class LineShapeReader(DataSourceReader):
             for first in range(partition.first, partition.first + partition.count,
                                RECORDS_PER_BATCH):
                 n = min(RECORDS_PER_BATCH, partition.first + partition.count - first)
+                if n < 1:
+                    continue
                 index = np.frombuffer(
                     shx.read_at(INDEX_ENTRY * n, FILE_HEADER + INDEX_ENTRY * first), ">i4")
                 offsets, sizes = index[0::2].astype(np.int64) * 2, index[1::2].astype(np.int64) * 2
-                shapes = [_parts(shp.read_at(int(s), int(o) + RECORD_HEADER))
-                          for o, s in zip(offsets, sizes)]
+                data, starts = _record_bytes(shp, offsets, sizes)
                 rows = dbf.read_at(width * n, header + width * first)
-                yield self._batch(shapes, rows, fields, width, encoding)
-
-    def _batch(self, shapes: list[list[np.ndarray]], rows: bytes, fields: list[Field],
-               width: int, encoding: str) -> pa.RecordBatch:
-        def text(row: int, f: Field) -> str | None:
-            at = row * width + f.offset
-            return rows[at:at + f.width].decode(encoding, "replace").strip(" \0") or None
-
-        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-        columns = [pa.array([text(i, f) for i in range(len(shapes))], pa.string()) for f in fields]
-        nested = [[[{"x": float(x), "y": float(y)} for x, y in part] for part in parts] or None
-                  for parts in shapes]
-        lines = [parts[0] if parts and len(parts) == 1 else None for parts in nested]
-        columns.append(pa.array(lines, pa.list_(point)))
-        columns.append(pa.array(nested, pa.list_(pa.list_(point))))
-        return pa.RecordBatch.from_arrays(columns, names=self.schema.fieldNames())
+                columns = [_texts(rows, width, f, encoding) for f in fields]
+                yield pa.RecordBatch.from_arrays([*columns, *_lines(data, starts)], names=self.schema.fieldNames())
 
 
 class LineShapes(DataSource):

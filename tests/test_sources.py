@@ -100,6 +100,57 @@ def test_shapefile_splits_into_record_ranges(spark, tmp_path):
     assert crs_of(path) == "EPSG:28992 (RD New)"
 
 
+def test_surplus_fields_never_vanish(spark, tmp_path):
+    path = write(tmp_path / "r.txt", 'a;b\n1;2\n3;4;5\n6\n"x;y";"q"";"\n7;8;\n"9;";;"z;"\n1;2;;3\n')
+    rows = read_delimited(spark, path, surplus="keep").collect()
+    got = [(r.a, r.b, r._surplus) for r in rows]
+    assert got == [("1", "2", None), ("3", "4", "3;4;5"), ("6", None, None), ("x;y", 'q";', None), ("7", "8", "7;8;"),
+                   ("9;", None, '"9;";;"z;"'), ("1", "2", "1;2;;3")]
+    with pytest.raises(Exception, match="more than 2 fields: 3;4;5"):
+        read_delimited(spark, path).collect()
+    with pytest.raises(ValueError):
+        read_delimited(spark, path, surplus="drop")
+    fine = read_delimited(spark, write(tmp_path / "f.txt", "a;b\n1;2\n6\n"))
+    assert fine.count() == 2 and [(r.a, r.b) for r in fine.collect()] == [("1", "2"), ("6", None)]
+
+
+def test_files_without_a_header_have_positional_names(spark, tmp_path):
+    df = read_delimited(spark, write(tmp_path / "n.txt", "100\n200\n300\n"))
+    assert df.columns[0] == "column0" and sorted(r.column0 for r in df.collect()) == ["100", "200", "300"]
+
+
+def test_shapes_of_all_kinds_and_scattered_records(spark, tmp_path, monkeypatch):
+    from roadlines.sources import shapefile as sf
+    records = [(7, [[(1.0, 2.0), (3.0, 4.0)]]), (8, None), (9, [[(0.0, 0.0), (1.0, 1.0)], [(5.0, 5.0), (6.0, 6.0), (7.0, 7.0)]]),
+               (10, [[(9.0, 9.0), (8.0, 8.0), (7.0, 6.0)]])]
+    path = write_shapes(tmp_path / "geo", records)
+
+    class Counted:
+        def __init__(self, name):
+            self.data, self.reads = open(name, "rb").read(), 0
+
+        def read_at(self, n, at):
+            self.reads += 1
+            return self.data[at:at + n]
+
+    shp, shx = Counted(path), Counted(path[:-4] + ".shx")
+    index = sf.np.frombuffer(shx.data[100:], ">i4").astype(sf.np.int64) * 2
+    offsets, sizes = index[0::2], index[1::2]
+    for gap in (1 << 16, -10**9):  # one read, or one for each record
+        monkeypatch.setattr(sf, "READ_GAP", gap)
+        for order in ([0, 1, 2, 3], [3, 1, 0, 2]):
+            before = shp.reads
+            line, parts = sf._lines(*sf._record_bytes(shp, offsets[order], sizes[order]))
+            assert shp.reads - before == (1 if gap > 0 else 4)
+            want = [records[k][1] for k in order]
+            assert [p and [[(v["x"], v["y"]) for v in g] for g in p] for p in parts.to_pylist()] == want
+            assert [g and [(v["x"], v["y"]) for v in g] for g in line.to_pylist()] == [p[0] if p and len(p) == 1 else None for p in want]
+    dot = struct.pack("<i2d", 1, 4.0, 5.0)
+    line, parts = sf._lines(dot, sf.np.array([0]))
+    assert line.to_pylist() == [[{"x": 4.0, "y": 5.0}]] and parts.to_pylist() == [[[{"x": 4.0, "y": 5.0}]]]
+    assert [len(a) for a in sf._lines(b"", sf.np.zeros(0, sf.np.int64))] == [0, 0]
+
+
 def test_ingest_and_profile(spark, own_database, tmp_path):
     seg = write(tmp_path / "wegvakken.txt", "WVK_ID;FK_VELD1;WEGNR_HMP\n1;500000;A2\n2;500001;A 2\n3;;N1\n")
     acc = write(tmp_path / "ongevallen.txt", "VKL_NUMMER;JAAR_VKL;WVK_ID\nx;2020;1\ny;2021;2\n")
