@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -26,7 +28,8 @@ from roadlines.plans import live_bins as lb
 from roadlines.plans import profile as pf
 from roadlines.plans import validate as va
 from roadlines.session import cut, shared_path
-from roadlines.sources.delimited import read_delimited
+from roadlines.sources.delimited import TextFormat, read_delimited
+from roadlines.sources.ingest import ingest_all, tables_ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = AppConfig()
@@ -871,3 +874,123 @@ def serving_export_rows(n: Network) -> DataFrame:
 @query
 def raw_archive_counts(n: Network) -> DataFrame:
     return ex.archive_counts(_stored(n))
+
+
+# ---- requests, reports, jobs -------------------------------------------------------------
+
+@query
+def bins_request(n: Network) -> DataFrame:
+    return shown(lb.requested_bins(n.roads, n.counted, n.intervals, CFG, " a2 ", 5, "all", year_from=1996, year_to=2000, geometry=False))
+
+
+@query
+def road_top_bins(n: Network) -> DataFrame:
+    """The busiest bins of the road's bundle of statistics."""
+    top = st.road_stats(n.accidents, "A2", cb.top_bins(n.chain_defs, n.cube))["top_bins"]
+    return top.withColumns({c: r(c, 4) for c in ("bin_start_m", "bin_end_m")})
+
+
+@query
+def validation_report(n: Network) -> DataFrame:
+    """The whole report of the target road, with its chain bins and the busiest ten."""
+    report = va.validate(n.raw.accidents, n.stored_accidents, n.stored_roads, "A2", cb.chain_bins(n.chain),
+                         cb.top_bins(n.chain_defs, n.cube))
+    return report.withColumn("value", r("value", 5))
+
+
+@query
+def target_roads(n: Network) -> DataFrame:
+    return flt.target_subset(n.roads).select("wegvak_id", "road_number_raw")
+
+
+@query
+def bars_in_order(n: Network) -> DataFrame:
+    """The first ten bars of a chart by count."""
+    bins = n.stored_bins.where((F.col("road_number") == "A2") & (F.col("bin_size_km") == 5))
+    return cl.bar_order(bins, "accidents").limit(10).select("bin_id", "accident_count")
+
+
+@query
+def first_bins(n: Network) -> DataFrame:
+    return st.by_start(n.bins(sizes=[5])).limit(25).select("bin_id", "bin_start_m")
+
+
+@query
+def points_with_road(n: Network) -> DataFrame:
+    marks = n.raw.hectopunten.select(F.col("fk_veld5").alias("point_id"), F.col("wvk_id").alias("wegvak_id"))
+    return jn.using(marks, n.attributes.select("wegvak_id", "carriageway"), "wegvak_id").groupBy("carriageway").agg(
+        F.count(F.lit(1)).alias("points"))
+
+
+@query
+def reattached_years(n: Network) -> DataFrame:
+    """Binned accident ids with the year fetched by id."""
+    placed = bn.point_in_bin_join(n.chainage.where(F.col("chain_m").isNotNull()).select("road_number", "accident_id", "chain_m"),
+                                  n.chain_grid.where(F.col("bin_size_km") == 5), "chain_m")
+    return jn.reattach_accidents(placed, n.counted).groupBy("road_number", "bin_idx", "accident_year").agg(
+        F.count(F.lit(1)).alias("accident_count"))
+
+
+@query
+def ragged_scan(n: Network) -> DataFrame:
+    """Text rows with too many and too few fields, read back without a loss."""
+    k = F.col("vkl_nummer").cast("long") % 7
+    line = F.when(k == 0, F.concat_ws(";", "vkl_nummer", "jaar_vkl", F.lit("extra;;x"))).when(k == 1, F.col("vkl_nummer")).otherwise(
+        F.concat_ws(";", "vkl_nummer", "jaar_vkl"))
+    path = shared_path(n.spark, "ragged")
+    n.raw.accidents.select(line).write.text(path)
+    back = read_delimited(n.spark, path, TextFormat(delimiter=";", header=False, columns=("a", "b")), surplus="keep")
+    return back.select("column0", "column1", F.col("_surplus").alias("surplus"))
+
+
+@query
+def ingest_job(n: Network) -> DataFrame:
+    """Text files to raw tables in a database of the run's own: rows of each table."""
+    spark, before = n.spark, n.spark.catalog.currentDatabase()
+    paths = {}
+    for name in ("wegvakken", "puntlocaties", "hectopunten", "hectointervallen", "accidents"):
+        paths[name] = shared_path(spark, name)
+        getattr(n.raw, name).write.csv(paths[name], header=True, sep=";", quoteAll=True, emptyValue="")
+    cmap = replace(ColumnMap(), wegvakgeografie=replace(n.cmap.wegvakgeografie, path=None), **{
+        k: replace(getattr(n.cmap, k), path=p) for k, p in paths.items()})
+    name = f"ingest_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    spark.catalog.setCurrentDatabase(name)
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            counts = cut(ingest_all(spark, cmap))
+        ready = tables_ready(spark)
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+    return counts.withColumn("served", F.lit(ready))
+
+
+def _read_back(n: Network, tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    return {name: n.spark.read.parquet(f"{folder}/{name}") for name in tables}
+
+
+@query
+def raw_archive_contents(n: Network) -> DataFrame:
+    """Digests of the archive's copies."""
+    tables = {k: df for k, df in _stored(n).items() if k.startswith("raw_")}
+    folder = shared_path(n.spark, "archive")
+    ex.export_raw(tables, folder)
+    return ex.digests(_read_back(n, tables, folder))
+
+
+SERVED_COLUMNS = {
+    "roads_norm": ["wegvak_id", "road_number_norm", "direction", "carriageway"],
+    "accidents_norm": ["accident_id", "accident_year", "severity", "road_number_norm", "wegvak_id", "point_id", "location_quality"],
+    "raw_nwb_hectointervallen": ["wvk_id", "begkm", "endkm"],
+    "accidents_staging": ["accident_id", "fatal_count", "injury_count"],
+}
+
+
+@query
+def serving_export_contents(n: Network) -> DataFrame:
+    """Digests of the copies that the query layer reads."""
+    folder = shared_path(n.spark, "serving")
+    ex.export_serving(_stored(n), folder, CFG.roads)
+    return ex.digests(_read_back(n, SERVED_COLUMNS, folder), SERVED_COLUMNS)

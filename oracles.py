@@ -644,6 +644,55 @@ UNION ALL SELECT 'road_points_norm', count(*) FROM pt_one""",
 }
 
 
+def _digest(table: str, source: str, columns: list[str]) -> str:
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
+    return f"""
+SELECT '{table}' AS "table", count(*) AS rows, CAST(coalesce(sum(b % 1073741824), 0) AS BIGINT) AS hash_sum,
+ CAST(coalesce(bit_xor(b), 0) AS BIGINT) AS hash_xor
+FROM (SELECT CAST(('0x' || substr(md5(concat_ws('|', {text})), 1, 15)) AS BIGINT) AS b FROM {source})"""
+
+
+_RAW_COLUMNS = {
+    "raw_nwb_wegvakken": ("fx_wegvakken", "bst_code fk_veld1 klok_beg klok_end rijrichtng routeltr routenr wegbehsrt wegnr_hmp wegnummer wvk_id"),
+    "raw_nwb_puntlocaties": ("fx_puntlocaties", "fk_veld5 x_coord y_coord"),
+    "raw_nwb_hectopunten": ("fx_hectopunten", "fk_veld5 hectometer wvk_id"),
+    "raw_nwb_hectointervallen": ("fx_hectointervallen", "begkm endkm wvk_id"),
+    "raw_bron_accidents": ("fx_accidents", "antl_dod antl_gzh aol_id ap3_code datum_vkl fk_veld5 hectometer jaar_vkl uur vkl_nummer "
+                           "wvk_id x_direct y_direct"),
+}
+ORACLES |= {
+    "bins_request": f"SELECT {BIN_COLUMNS} FROM lf_out",
+    "road_top_bins": f"SELECT * FROM ({ORACLES['top_bins']}) WHERE road_number = 'A2'",
+    "validation_report": ORACLES["validation_checks"] + f"""
+UNION ALL SELECT 'bins_1km', count(*) * 1e0, true FROM cbin WHERE road = 'A2' AND s = 1
+UNION ALL SELECT 'invalid_bin_geometries', count(*) * 1e0, true FROM ({ORACLES['empty_bins']}) WHERE road_number = 'A2'
+UNION ALL SELECT 'top_' || bin_id, coalesce(accident_count, 0) * 1e0, true FROM ({ORACLES['top_bins']}) WHERE road_number = 'A2'""",
+    "target_roads": "SELECT wegvak_id, road_number_raw FROM road_attr WHERE road = 'A2'",
+    "bars_in_order": """
+SELECT bin_id, accident_count FROM ls_drawn WHERE road_number = 'A2' AND bin_size_km = 5
+ORDER BY accident_count DESC, bin_start_m LIMIT 10""",
+    "first_bins": "SELECT bin_id, bin_start_m FROM la_out ORDER BY road_number, bin_size_km, bin_start_m LIMIT 25",
+    "points_with_road": """
+SELECT carriageway, count(*) AS points FROM fx_hectopunten h JOIN seg_attr s ON s.wegvak_id = h.wvk_id GROUP BY carriageway""",
+    "reattached_years": """
+SELECT road AS road_number, i AS bin_idx, accident_year, CAST(sum(n) AS BIGINT) AS accident_count FROM cube WHERE s = 5 GROUP BY ALL""",
+    "ragged_scan": """
+SELECT vkl_nummer AS column0, CASE WHEN k % 7 <> 1 THEN jaar_vkl END AS column1,
+ CASE WHEN k % 7 = 0 THEN vkl_nummer || ';' || jaar_vkl || ';extra;;x' END AS surplus
+FROM (SELECT *, CAST(vkl_nummer AS BIGINT) AS k FROM fx_accidents)""",
+    "ingest_job": " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", count(*) AS rows, false AS served FROM {source}" for t, (source, _) in _RAW_COLUMNS.items()),
+    "raw_archive_contents": " UNION ALL ".join(_digest(t, source, names.split()) for t, (source, names) in _RAW_COLUMNS.items()),
+    "serving_export_contents": " UNION ALL ".join([
+        _digest("roads_norm", f"road WHERE road IN ({_ROADS_IN})", ["wegvak_id", "road", "direction", "carriageway"]),
+        _digest("accidents_norm", f"acc_attr WHERE road IN ({_ROADS_IN})",
+                ["accident_id", "accident_year", "severity", "road", "wegvak_id", "point_id", "location_quality"]),
+        _digest("raw_nwb_hectointervallen", f"fx_hectointervallen v JOIN road r ON r.wegvak_id = v.wvk_id WHERE r.road IN ({_ROADS_IN})",
+                ["v.wvk_id", "v.begkm", "v.endkm"]),
+        _digest("accidents_staging", f"stg s JOIN acc_attr a ON a.accident_id = s.accident_id WHERE a.road IN ({_ROADS_IN})",
+                ["s.accident_id", "s.fatal_count", "s.injury_count"])]),
+}
+
 #: Queries over lines of which some have two parts, by the query that they repeat or with an own text.
 MULTIPART = {
     "multipart_roads": f"""

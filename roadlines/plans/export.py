@@ -17,6 +17,30 @@ SERVING_REQUIRED = ("roads_norm", "accidents_norm", "raw_nwb_hectointervallen")
 STAGING_SCHEMA = "accident_id string, fatal_count int, injury_count int"
 
 
+def table_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """rows, hash_sum and hash_xor of a table, whatever the order of its rows.
+
+    A row is the text of its columns (by name, or as listed) with ~ for NULL. Its digest's first
+    60 bits are summed by their low half and combined by exclusive or, so that a changed, lost or
+    repeated row shows.
+    """
+    names = columns or sorted(df.columns, key=str.lower)
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in names])
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    return df.select(bits.alias("b")).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("b") % (1 << 30)), F.lit(0)).alias("hash_sum"),
+        F.coalesce(F.bit_xor("b"), F.lit(0)).cast("long").alias("hash_xor"))
+
+
+def digests(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """The digest of each of some tables, one row per table."""
+    out = None
+    for name, df in tables.items():
+        one = table_digest(df, (columns or {}).get(name)).select(F.lit(name).alias("table"), "rows", "hash_sum", "hash_xor")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def archive_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of every archived table; an error without any raw table."""
     names = [n for n in sorted(tables) if n.startswith("raw_")]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlines.config import GEOMETRY_DIRECTION, clean_direction
+from roadlines.config import GEOMETRY_DIRECTION, AppConfig, check_args, clean_direction
 from roadlines.functions import geometry as geo
 from roadlines.operators import bins as bn
 from roadlines.operators import filters as flt
@@ -127,6 +127,16 @@ def road_bins(roads: DataFrame, accidents: DataFrame, intervals: DataFrame,
     return with_drawing(dense.join(lines, list(KEYS), "left")).drop("bin_idx")
 
 
+def requested_bins(roads: DataFrame, accidents: DataFrame, intervals: DataFrame, cfg: AppConfig, road: str,
+                   size: int, direction: str | None = None, **filters) -> DataFrame:
+    """Bins of one request: road name, size and direction are checked and put into their normal form first.
+
+    An unknown road, size or direction is an error before any work starts; `filters` go on to `road_bins`.
+    """
+    name, size, direction = check_args(cfg, road, size, direction)
+    return road_bins(roads, accidents, intervals, [size], name, direction=direction, **filters)
+
+
 def quality(parts: Column, label: str) -> Column:
     return F.when(parts.isNull(), "empty").otherwise(label)
 

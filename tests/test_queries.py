@@ -11,7 +11,7 @@ from check import TABLES, norm
 from roadsupport import SF
 
 SAMPLE = ["roads_norm", "accidents_direct_xy", "line_locate", "road_bins_flagship", "bins_geometry", "tail_km",
-          "road_search", "accident_chainage", "chain_bins", "density_classes", "validation_checks", "hm_chain_gaps"]
+          "road_search", "multipart_clips", "drawn_flags", "ragged_scan", "ingest_job", "raw_archive_contents", "accident_chainage", "chain_bins", "density_classes", "validation_checks", "hm_chain_gaps"]
 EQUI_JOINED = ["road_bins_all", "accidents_norm", "bins_clip", "road_meta"]
 
 
