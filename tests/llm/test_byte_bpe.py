@@ -42,3 +42,14 @@ def test_columns(spark, docs_of):
         assert r.ids == enc.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
     assert byte_bpe.encode(docs.limit(0), ranks, PATTERN).count() == 0
+
+
+def test_both_at_once(spark, docs_of, monkeypatch):
+    texts = [*odd_texts()[:60], None, ""]
+    docs = docs_of([(i, t) for i, t in enumerate(texts)]).withColumns({"ids": F.lit("old"), "_both": F.lit("mine")})
+    ranks = byte_bpe.read_ranks(spark, PATH)
+    got = byte_bpe.encode_and_decode(docs, ranks, PATTERN, leaf=7)
+    enc = plain()
+    for r in got.collect():
+        assert (r.ids, bytes(r.decoded), r._both) == (enc.encode_ordinary(r.text or ""), (r.text or "").encode(), "mine")
+    assert got.count() == len(texts) and byte_bpe.encode_and_decode(docs.limit(0), ranks, PATTERN).count() == 0

@@ -1,7 +1,7 @@
 import corpus_pipeline as cp
 from roadlines.llm import decontaminate as dc
-from test_line_dedup import brute as brute_lines
 from test_near_dedup import brute as brute_components
+from test_short_lines import brute as brute_lines
 
 
 def test_stages_on_the_table(spark):
@@ -17,7 +17,8 @@ def test_stages_on_the_table(spark):
         if name == "language id":
             assert {r.doc_id for r in got} <= {r.doc_id for r in before} and len(got) > 0.95 * len(before)
         elif name == "line dedup":
-            assert {(r.doc_id, r.text) for r in got} == {p for p, old in zip(brute_lines(pairs), pairs, strict=True) if p[1].strip() or p == old}
+            assert {(r.doc_id, r.text) for r in got} == {p for p, old in zip(
+                brute_lines(pairs, cp.ALIKE_CHARS), pairs, strict=True) if p[1].strip() or p == old}
             assert all(r.n_chars == len(r.text) for r in got)
         elif name == "near dedup":
             assert {r.doc_id for r in got} == {d for d, _, _, kept in brute_components(pairs) if kept}
