@@ -111,21 +111,17 @@ def encode_and_decode(docs: DataFrame, ranks, pattern: str, text: str = "text",
     Both run in one Python worker a task, a few texts at a time, which halves the memory that
     vocabularies and batches take beside each other.
     """
-    kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = codec(ranks.value, pattern)
         for batch in batches:
-            done = []
             for s in range(0, len(batch), TEXTS):
                 parts = [encode_text(enc, t.as_py() or "", leaf) for t in batch[s:s + TEXTS]]
                 ends = np.cumsum([0, *map(len, parts)])
                 flat = np.concatenate(parts).astype(np.int32)
-                done.append(pa.StructArray.from_arrays([
+                yield pa.StructArray.from_arrays([
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                    pa.array([decode_ids(enc, x, leaf) for x in parts], pa.binary())], ["ids", "decoded"]))
-            yield pa.concat_arrays(done) if done else pa.array([], kind)
+                    pa.array([decode_ids(enc, x, leaf) for x in parts], pa.binary())], ["ids", "decoded"])
 
     both, others = unused(docs, "_both"), [c for c in docs.columns if c not in (ids, decoded)]
     return docs.withColumn(both, run(F.col(text))).select(
