@@ -19,13 +19,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadlines.llm.common import unused
+from roadlines.session import cut
+
 #: Labelled rows that the model is fitted on, for each language (expected number, drawn by a hash).
 SAMPLE_ROWS = 1500
 ROUNDS = 3
 SMOOTHING = 0.05
 UNKNOWN = 1e-7  # of a character that no piece holds
 SCALE = 50.0  # factor per character, the same for all languages, that keeps products in range
-CACHED_WORDS = 300_000
+TEXTS = 64  # whose words are counted at a time
+CACHED_BYTES = 64_000_000  # of words and scores that a task keeps
+WORD_BYTES = 150  # of a cached word beside its letters and scores
 WORDS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 
@@ -154,7 +159,7 @@ def fit(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "t
 
     About `sample_rows` whole texts of each language are drawn by a hash of their id. Their words
     are counted in Spark, and every round sums expected counts there; what comes to the driver is
-    a number for each vocabulary piece and language. Words of over 200 letters are not learned from.
+    a number for each vocabulary piece and language. A word of over 200 letters counts as several.
     """
     spark = docs.sparkSession
     pieces = vocabulary_pieces(model_file)
@@ -168,11 +173,10 @@ def fit(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "t
     place = F.pmod(F.xxhash64(F.lit(4), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = usable.where(place < shares[F.col("_lang")])
     order = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
-    words = F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}+)"), F.lit(1))
-    table = (
+    words = F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}{1,200})"), F.lit(1))
+    table = cut(
         sample.select(order[F.col("_lang")].alias("l"), F.explode(words).alias("word"))
-        .where(F.char_length("word") <= 200).groupBy("l", "word").agg(F.count(F.lit(1)).alias("n")))
-    table = table.checkpoint() if spark.sparkContext.getCheckpointDir() else table
+        .groupBy("l", "word").agg(F.count(F.lit(1)).alias("n")))
     prior = np.full((len(pieces), len(languages)), 1.0 / len(pieces))
     for _ in range(rounds):
         model = spark.sparkContext.broadcast(Model(languages, pieces, prior))
@@ -210,24 +214,28 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         languages = held.value.languages
         known: dict[str, int] = {}
         scores = np.zeros((0, len(languages)))
+        held_bytes = 0
         for batch in batches:
-            counts = [Counter(words_of(x.as_py())) if languages else Counter() for x in batch]
-            for s in range(0, len(counts), 64):
-                part = counts[s:s + 64]
+            totals: list[np.ndarray | None] = []
+            for s in range(0, len(batch), TEXTS):
+                # word counts of a few texts at a time: those of a whole batch would fill the memory
+                part = [Counter(words_of(x.as_py())) if languages else Counter() for x in batch[s:s + TEXTS]]
                 fresh = list({w for c in part for w in c if w not in known})
-                if len(known) + len(fresh) > CACHED_WORDS:
+                held_bytes += sum(map(len, fresh)) + (8 * len(languages) + WORD_BYTES) * len(fresh)
+                if held_bytes > CACHED_BYTES:
                     known, scores = {}, np.zeros((0, len(languages)))
                     fresh = list({w for c in part for w in c})
+                    held_bytes = sum(map(len, fresh)) + (8 * len(languages) + WORD_BYTES) * len(fresh)
                 if fresh:
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                     room = np.empty((max(len(known), len(scores)) if len(known) <= len(scores) else 2 * len(known), len(languages)))
                     room[: len(scores)] = scores
                     scores = room
                     scores[len(known) - len(fresh): len(known)] = score_words(fresh, ids, table, longest)
-                for k, c in enumerate(part):
-                    counts[s + k] = np.array(list(c.values()), float) @ scores[[known[w] for w in c]] if c else None
+                for c in part:
+                    totals.append(np.array(list(c.values()), float) @ scores[[known[w] for w in c]] if c else None)
             langs, best = [], []
-            for logs in counts:
+            for logs in totals:
                 if logs is None:
                     langs.append(UNDETERMINED)
                     best.append(0.0)
@@ -238,5 +246,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(best, pa.float64())], ["lang", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__lang", run(F.col(text))).select(
-        *kept, F.col("__lang.lang").alias("lang_pred"), F.col("__lang.score").alias("score"))
+    said = unused(docs, "_said")
+    return docs.withColumn(said, run(F.col(text))).select(
+        *kept, F.col(said)["lang"].alias("lang_pred"), F.col(said)["score"].alias("score"))
