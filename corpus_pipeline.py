@@ -11,6 +11,7 @@ from roadlines.session import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5
+ALIKE_CHARS = 20  # of lines that go for a line within one edit
 
 #: Language identification and BPE are not expressible in SQL; the stages are tested by brute force.
 ORACLE_SQL = None
@@ -24,8 +25,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; n_chars follows. One that loses all it had goes."""
-    kept = line_dedup.drop_repeated_lines(docs)
+    """Documents without repeated lines; n_chars follows. One that loses all it had goes.
+
+    Lines of any length go if the same line stands earlier, longer ones for a line within one edit too: to
+    drop a whole document for a short line that only looks like another would lose clean ones.
+    """
+    kept = line_dedup.drop_repeated_lines(docs, min_chars=ALIKE_CHARS)
     gone = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.where(~gone).withColumn("n_chars", n_chars).select(*COLUMNS)
@@ -45,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether these decode to the text."""
     path, pattern = vocabulary("byte_bpe_50k.tiktoken")
     ranks = byte_bpe.read_ranks(spark, path)
-    both = byte_bpe.decode(byte_bpe.encode(docs.select(*COLUMNS), ranks, pattern), ranks, pattern)
+    both = byte_bpe.encode_and_decode(docs.select(*COLUMNS), ranks, pattern)
     return both.select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_tokens"), (
         F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
