@@ -2,15 +2,16 @@
 
 Two line ends are linked when exactly these two ends meet in a node. The links form paths and
 rings of lines. Each line is walked in both directions, so a directed walk state is
-(line, direction); pointers are doubled per round until every state knows the end of its path
+(line, direction); pointers are followed per round until every state knows the end of its path
 and its distance to it. A pointer target is shared by no two unfinished states, so no round
-has a hot key, and a chain of n lines takes about log2(n) rounds, each cut by a checkpoint.
+has a hot key, and a chain of n lines takes about log4(n) rounds, each written once.
 No bin is ever gathered in one task; only the finished parts are put together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from roadlines.functions import geometry as geo
 from roadlines.session import cut
 
+FOLLOWED = 3  # pointers that a written round follows: each round makes walks four times as long
+
 
 def _exit_node(forward: Column) -> Column:
     return F.when(forward, geo.end("geom")).otherwise(geo.start("geom"))
@@ -47,39 +50,67 @@ def _links(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.col("l.into.line") * 2 + F.col("l.into.side")).alias("dst"))
 
 
-def _walk(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Pointer doubling: (state, last, hops) for paths, and the lowest line ids of any rings.
+def _follow(states: DataFrame, ahead: DataFrame) -> DataFrame:
+    """States moved on by the pointers of `ahead`, each by as many steps as its pointer has.
 
-    `low` is the lowest line met within `hops` steps; a state that meets itself lies on a ring.
+    States that are done have a key of their own below zero, so none of them meet at one end.
+    """
+    key = F.when(F.col("active"), F.col("ptr")).otherwise(-1 - F.col("state"))
+    met = F.least("low", F.struct(F.col("_low.state").alias("state"), (F.col("hops") + F.col("_low.at")).alias("at")))
+    on = F.col("_active").isNotNull()
+    return states.withColumn("_key", key).join(ahead, "_key", "left").select(
+        "state", F.coalesce("_ptr", "ptr").alias("ptr"),
+        (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+        F.when(on, met).otherwise(F.col("low")).alias("low"), F.coalesce("_active", "active").alias("active"))
+
+
+def _walk(links: DataFrame) -> DataFrame:
+    """Pointer jumping: (state, last, hops), where `last` names the directed walk of the state.
+
+    A written round follows the pointers of the round before FOLLOWED times, so a path of n lines
+    takes log(n) rounds to the base of FOLLOWED + 1. States that reached their end are written once,
+    in that round, and are only looked up afterwards.
+
+    `low` is the lowest state met within `hops` steps and the steps to it; a state that meets itself
+    as the lowest lies on a ring. A ring needs no second walk: opened at end 0 of its lowest line, the
+    way that enters there begins with `low` and the other ends with it, so the steps to `low` give the
+    place of each state.
     """
-    starts = links.select(F.col("src").alias("state"), F.col("dst").alias("ptr"),
-                          F.lit(1).cast("long").alias("hops"),
-                          F.floor(F.col("dst") / 2).cast("long").alias("low"),
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    starts = links.select(F.col("src").alias("state"), F.col("dst").alias("ptr"), one.alias("hops"),
+                          F.struct(F.col("dst").alias("state"), one.alias("at")).alias("low"),
                           F.lit(True).alias("active"))
-    last = (links.select(F.col("dst").alias("state"))
+    ends = (links.select(F.col("dst").alias("state"))
             .join(links.select(F.col("src").alias("state")), "state", "left_anti")
-            .select("state", F.col("state").alias("ptr"), F.lit(0).cast("long").alias("hops"),
-                    F.floor(F.col("state") / 2).cast("long").alias("low"),
-                    F.lit(False).alias("active")))
-    table = cut(starts.unionByName(last))
+            .select("state", F.col("state").alias("ptr"), zero.alias("hops"),
+                    F.struct("state", zero.alias("at")).alias("low"), F.lit(False).alias("active")))
+    table = cut(starts.unionByName(ends))
+    done, rings = [], None
     while True:
-        mine = F.floor(F.col("state") / 2) == F.col("low")
-        status = table.where("active").agg(
-            F.count(F.lit(1)).alias("open"), F.count_if(mine).alias("rings")).first()
+        done.append(table.where(~F.col("active")))
+        left = table.where("active")
+        mine = F.col("state") == F.col("low.state")
+        status = left.agg(F.count(F.lit(1)).alias("open"), F.count_if(mine).alias("rings")).first()
         if not status["open"]:
-            return table.select("state", F.col("ptr").alias("last"), "hops"), None
+            break
         if status["rings"]:
-            lows = table.where(F.col("active") & mine).select("low").distinct()
-            held = table.where("active").join(lows, "low", "left_semi").count()
-            if held == status["open"]:
-                return table, lows
-        ahead = table.select(F.col("state").alias("ptr"), F.col("ptr").alias("_ptr"),
-                             F.col("hops").alias("_hops"), F.col("low").alias("_low"),
-                             F.col("active").alias("_active"))
-        moved = table.where("active").join(ahead, "ptr").select(
-            "state", F.col("_ptr").alias("ptr"), (F.col("hops") + F.col("_hops")).alias("hops"),
-            F.least("low", "_low").alias("low"), F.col("_active").alias("active"))
-        table = cut(table.where(~F.col("active")).unionByName(moved))
+            lows = left.where(mine).select(F.col("state").alias("_low"))
+            if left.join(lows, F.col("low.state") == F.col("_low"), "left_semi").count() == status["open"]:
+                rings = left
+                break
+        ahead = reduce(DataFrame.unionByName, done, left).select(
+            F.col("state").alias("_key"), F.col("ptr").alias("_ptr"), F.col("hops").alias("_hops"),
+            F.col("low").alias("_low"), F.col("active").alias("_active"))
+        moved = left
+        for _ in range(FOLLOWED):
+            moved = _follow(moved, ahead)
+        table = cut(moved)
+    walked = reduce(DataFrame.unionByName, done).select("state", F.col("ptr").alias("last"), "hops")
+    if rings is None:
+        return walked
+    low, at = F.col("low.state"), F.col("low.at")
+    hops = F.when(low % 2 == 0, at - 1).when(low == F.col("state"), zero).otherwise(at)
+    return walked.unionByName(rings.select("state", low.bitwiseXOR(one).alias("last"), hops.alias("hops")))
 
 
 def merge_lines(df: DataFrame, keys: Sequence[str], geom: str = "geom") -> DataFrame:
@@ -95,15 +126,7 @@ def merge_lines(df: DataFrame, keys: Sequence[str], geom: str = "geom") -> DataF
     links = cut(_links(lines, keys))
     if links.isEmpty():
         return lines.select(*keys, "geom")
-    walked, lows = _walk(links)
-    if lows is not None:
-        # open each ring at end 0 of its lowest line, in both walking directions
-        opened = lows.select(F.col("low").alias("_low"))
-        links = cut(
-            links.join(opened, links["dst"] == F.col("_low") * 2, "left_anti")
-            .join(opened, links["src"] == F.col("_low") * 2 + 1, "left_anti"))
-        walked, _ = _walk(links)
-
+    walked = _walk(links)
     states = walked.select(F.floor(F.col("state") / 2).cast("long").alias("line"),
                            (F.col("state") % 2 == 0).alias("forward"), "last", "hops")
     pairs = states.groupBy("line").agg(F.min("last").alias("part"))
