@@ -445,17 +445,37 @@ def bin_health(n: Network) -> DataFrame:
     return st.bin_health(n.drawn_bins)
 
 
-@query
-def bin_ribbons(n: Network) -> DataFrame:
+def _ribbons(n: Network) -> DataFrame:
     segments = lb.drawn_intervals(n.roads, n.intervals)
     grid = bn.km_grid(lb.km_extent(segments), [5])
     parts = lb.bin_parts(segments, grid)
     dense = n.bins(sizes=[5]).withColumn(
         "bin_idx", F.substring_index(F.substring_index("bin_id", "km_", -1), "_", 1).cast("long"))
-    ribbons = cl.bin_ribbons(parts.join(
+    return cl.bin_ribbons(parts.join(
         dense.select("bin_id", *lb.KEYS, "density_per_km_year"), list(lb.KEYS)))
-    return ribbons.select("bin_id", r("extrusion_height_m", 3).alias("extrusion_height_m"),
-                          geo.as_geojson("polygon").alias("ring"))
+
+
+@query
+def bin_ribbons(n: Network) -> DataFrame:
+    return _ribbons(n).select("bin_id", r("extrusion_height_m", 3).alias("extrusion_height_m"),
+                              geo.as_geojson("polygon").alias("ring"))
+
+
+@query
+def bin_ribbon_counts(n: Network) -> DataFrame:
+    """Ribbons and their height for each bin; a ribbon has the vertices of its line twice, and is closed."""
+    closed = (F.element_at("polygon", 1) == F.element_at("polygon", -1)) & (F.size("polygon") == 2 * F.size("geom") + 1)
+    return _ribbons(n).groupBy("bin_id").agg(
+        r(F.max("extrusion_height_m"), 3).alias("extrusion_height_m"), F.count(F.lit(1)).alias("n_ribbons"),
+        F.count_if(closed).alias("n_closed"))
+
+
+@query
+def segment_ribbons(n: Network) -> DataFrame:
+    """The ring around the line of each segment, vertex by vertex."""
+    rings = geo.ribbon(n.lines.select("fk_veld1", "geom"), "geom", 15.0)
+    return rings.select("fk_veld1", F.posexplode("polygon").alias("pos", "v")).select(
+        "fk_veld1", "pos", r("v.x", 7).alias("lon"), r("v.y", 7).alias("lat"))
 
 
 @query

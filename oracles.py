@@ -73,6 +73,18 @@ SELECT fk, sum(len) AS total, sum(len * (x1 + x2) / 2) / sum(len) AS cx, sum(len
 FROM edges GROUP BY fk""",
     "road": """
 SELECT a.*, l.total AS length_m, l.cx, l.cy, l.xa, l.ya, l.xz, l.yz FROM road_attr a LEFT JOIN line l ON l.fk = a.fk""",
+    "normal0": """
+SELECT fk_veld1, x, y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY fk_veld1) AS n,
+ coalesce(lag(x) OVER w, x) AS xa, coalesce(lag(y) OVER w, y) AS ya, coalesce(lead(x) OVER w, x) AS xb, coalesce(lead(y) OVER w, y) AS yb
+FROM fx_vertices WINDOW w AS (PARTITION BY fk_veld1 ORDER BY seq)""",
+    "normal": """
+SELECT *, coalesce(15 * (ya - yb) / nullif(sqrt((xb - xa) * (xb - xa) + (yb - ya) * (yb - ya)), 0), 0e0) AS mx,
+ coalesce(15 * (xb - xa) / nullif(sqrt((xb - xa) * (xb - xa) + (yb - ya) * (yb - ya)), 0), 0e0) AS my
+FROM normal0 WHERE n >= 2""",
+    "ribbon_ring": """
+SELECT fk_veld1, i AS pos, x + mx AS x, y + my AS y FROM normal
+UNION ALL SELECT fk_veld1, 2 * n - 1 - i, x - mx, y - my FROM normal
+UNION ALL SELECT fk_veld1, 2 * n, x + mx, y + my FROM normal WHERE i = 0""",
     "iv": """
 SELECT wvk_id AS wegvak_id, TRY_CAST(begkm AS DOUBLE) AS b, TRY_CAST(endkm AS DOUBLE) AS e FROM fx_hectointervallen""",
     # ---- points
@@ -464,6 +476,12 @@ SELECT o.road_number, o.bin_size_km, count(*) AS bins, count(*) FILTER (p.n_part
  count(*) FILTER (p.road IS NULL OR o.length_m <= 0 OR p.drawn_m < 0.5 * o.length_m) AS thin,
  min(o.bin_start_m) / 1000 AS km_from, max(o.bin_end_m) / 1000 AS km_to, CAST(sum(o.accident_count) AS BIGINT) AS accidents
 FROM la_out o LEFT JOIN parts p ON p.road = o.road_number AND p.s = o.bin_size_km AND p.i = o.i GROUP BY ALL""",
+    "bin_ribbon_counts": f"""
+SELECT o.bin_id, {rnd('greatest(coalesce(o.density_per_km_year, 0) * 1000, 0)', 3)} AS extrusion_height_m,
+ CAST(p.n_parts AS BIGINT) AS n_ribbons, CAST(p.n_parts AS BIGINT) AS n_closed
+FROM la_out o JOIN parts p ON p.road = o.road_number AND p.s = o.bin_size_km AND p.i = o.i""",
+    "segment_ribbons": f"""
+SELECT fk_veld1, CAST(pos AS INTEGER) AS pos, {rnd(lon('x', 'y'), 7)} AS lon, {rnd(lat('x', 'y'), 7)} AS lat FROM ribbon_ring""",
     "scored_accidents": "SELECT accident_id, road AS road_number_norm, km AS road_km FROM la_km",
     "accidents_per_km": _PERKM.format(t="la", where="WHERE km IS NOT NULL"),
     "corridor_per_km": _PERKM.format(t="la", where="WHERE km BETWEEN 15 AND 45"),
