@@ -161,7 +161,9 @@ def nearest_join(points: DataFrame, lines: DataFrame, by: Sequence[str], cell: f
     by = list(by)
     unique = cut(
         lines.where(F.size("geom") >= 1)
-        .groupBy(*by, "geom").agg(F.min(F.struct(tie, *carry)).alias("p"))
+        # lines are equal if both hashes are: the key stays small, lines are never compared to be sorted
+        .groupBy(*by, F.xxhash64("geom").alias("_h1"), F.xxhash64(F.lit(1), "geom").alias("_h2"))
+        .agg(F.min(F.struct(tie, *carry)).alias("p"), F.first("geom").alias("geom"))
         .select(*by, "geom", f"p.{tie}", *[f"p.{c}" for c in carry],
                 geo.start("geom").alias("home"), geo.envelope("geom").alias("box")))
     x0, y0, side = _corner(unique)
