@@ -35,17 +35,30 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
 
 
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As `cut`, with the path, for a caller who knows when its last reader is done (`drop_cuts`)."""
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from the written table.
 
     Later branches read one and the same result, lost executors recompute nothing before it,
     and as a Parquet table it can be pruned and its size is known to the planner.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, "cut")
-    df.write.parquet(path)
-    delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut_at(df)[0]
+
+
+def drop_cuts(spark: SparkSession, *paths: str) -> None:
+    """Delete written cuts that no plan still to be run reads."""
+    sc = spark.sparkContext
+    for path in paths:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
