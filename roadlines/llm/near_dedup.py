@@ -9,6 +9,7 @@ With BANDS x ROWS = 60 x 6 a pair of similarity 0.75 misses all bands with a cha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlines.llm.common import key_of, unused
-from roadlines.session import cut
+from roadlines.session import cut, cut_at, drop_cuts
 
 WORDS = 5
 BANDS, ROWS = 60, 6
 PERCENT = 75
+MEETING = 1000  # members of a bucket that another member meets in one place
 PARTS = 64  # parts of the hashes that overlaps are bounded by
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -149,26 +151,31 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     In each round a label takes the least label across an edge, chains of such hooks are halved
     twice, and nodes and edges move to the new labels. Only edges whose ends still differ go on.
-    Each round is written to the shared folder.
+    Each round is written to the shared folder, and dropped once the next one is written.
     """
-    roots = nodes.select("id", F.col("id").alias("root"))
+    spark, read = nodes.sparkSession, []
+    roots, at_roots = nodes.select("id", F.col("id").alias("root")), None
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
-        edges = cut(edges.where(F.col("u") != F.col("v")).distinct())
+        edges, at_edges = cut_at(edges.where(F.col("u") != F.col("v")).distinct())
+        drop_cuts(spark, *read)
         if edges.isEmpty():
+            drop_cuts(spark, at_edges)
             return roots
         hooks = edges.groupBy("u").agg(F.min("v").alias("up")).withColumnRenamed("u", "at")
         for _ in range(2):
             above = hooks.select(F.col("at").alias("up"), F.col("up").alias("_top"))
             hooks = hooks.join(above, "up", "left").select("at", F.coalesce("_top", "up").alias("up"))
-        hooks = cut(hooks)
+        hooks, at_hooks = cut_at(hooks)
 
         def moved(df: DataFrame, name: str, to=hooks) -> DataFrame:
             return df.join(to.withColumnRenamed("at", name), name, "left").withColumn(
                 name, F.coalesce("up", name)).drop("up")
 
         edges = moved(moved(edges, "u"), "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        roots = cut(moved(roots, "root").select("id", "root"))
+        before = [at_roots] if at_roots else []
+        roots, at_roots = cut_at(moved(roots, "root").select("id", "root"))
+        read = [at_edges, at_hooks, *before]
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -193,6 +200,14 @@ def may_reach(n: Column, c: Column, p: Column, m: Column, d: Column, q: Column,
     return F.when(reaches(F.least(c, d)), reaches(by_part)).otherwise(F.lit(False))
 
 
+def size_level(n: Column, percent: int = PERCENT) -> Column:
+    """Sets that can be this similar have sizes of the same or of neighbouring levels.
+
+    A level is a little wider than the largest ratio of such sizes, which leaves rounding no room.
+    """
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent * 1.005)).cast("int")
+
+
 def with_common(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`rows` (id, n) with c and parts: how many shingles another class of `rows` has too, by part.
 
@@ -224,6 +239,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets that hold several components are left; in these, members outside the bucket's largest
     component are compared with the members of other components, so no candidate link between
     components stays unlooked at, while a bucket of one component, however large, costs nothing.
+    Only sets of neighbouring sizes meet there, and a large bucket is spread: its members lie in
+    one place for each MEETING of them, to which the members outside are copied.
     Texts without words (null, empty) have no shingles and link with nothing. Repeated rows are
     exact copies: each row comes back, and rows with the component's id are kept. Rows without an
     id join a component but cannot name it, and are kept only in a component without any id.
@@ -247,29 +264,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # the shingled text depends on both sides of the join, so that only texts that are needed are
     # shingled, and texts and not sets are moved
     wanted = texts.join(owners, ["_key", "_th"]).withColumn("_text", F.when(F.col("n") > 0, F.col("_text")))
-    sets = cut(
+    sets, at_sets = cut_at(
         shingled(wanted, "_text").where(F.size("s") == F.col("n"))
         .groupBy("id").agg(F.min("s").alias("s")))
     stars = shared.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v"))
-    links = cut(confirmed(stars.distinct(), sets))
+    links, at_links = cut_at(confirmed(stars.distinct(), sets))
     roots = components(needed, links)
 
     rooted = shared.select("band", "key", "id", "n").join(roots, "id")
     counts = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = counts.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("top")).where(
-        F.col("roots") > 1).select("band", "key", F.col("top.root").alias("top"))
-    rest = cut(with_common(cut(rooted.join(mixed, ["band", "key"])), sets))
-    minor = rest.where(F.col("root") != F.col("top")).select(
-        "band", "key", F.col("id").alias("mid"), F.col("n").alias("mn"), F.col("c").alias("mc"), F.col("parts").alias("mparts"),
+        F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size")).where(
+        F.col("roots") > 1).select("band", "key", F.col("top.root").alias("top"),
+                                   F.ceil(F.col("size") / MEETING).cast("int").alias("places"))
+    rooted_mixed, at_mixed = cut_at(rooted.join(mixed, ["band", "key"]))
+    rest, at_rest = cut_at(with_common(rooted_mixed, sets).withColumns({
+        "level": size_level(F.col("n")), "place": F.pmod(F.xxhash64("id"), F.col("places")).cast("int")}))
+    drop_cuts(docs.sparkSession, at_mixed, at_links)
+    minor = rest.where(F.col("root") != F.col("top")).withColumn(
+        "place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).select(
+        "band", "key", "place", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"),
+        F.col("id").alias("mid"), F.col("n").alias("mn"), F.col("c").alias("mc"), F.col("parts").alias("mparts"),
         F.col("root").alias("mroot"))
-    others = rest.join(minor, ["band", "key"]).where((F.col("root") != F.col("mroot")) & may_reach(
+    others = rest.join(minor, ["band", "key", "level", "place"]).where((F.col("root") != F.col("mroot")) & may_reach(
         F.col("n"), F.col("c"), F.col("parts"), F.col("mn"), F.col("mc"), F.col("mparts")))
     across = others.select(F.least("id", "mid").alias("u"), F.greatest("id", "mid").alias("v")).distinct()
     more = confirmed(across, sets).join(roots.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(
         roots.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v")
     upper = components(roots.select(F.col("root").alias("id")).distinct(),
                        more.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+    drop_cuts(docs.sparkSession, at_sets, at_rest)  # the links are in the components now
     final = roots.join(upper.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("id", "top")
 
     labelled = classes.join(final, "id", "left").select(

@@ -1,10 +1,13 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadlines.llm import near_dedup as nd
+from roadlines.session import ensure_checkpoint_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -116,3 +119,25 @@ def test_keep_one(docs_of):
     got = nd.keep_one(docs_of(rows))
     assert got.columns == docs_of(rows).columns
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(3, "A b  c"), (7, None), (8, ""), (9, "d e")]
+
+
+def test_large_buckets_are_spread_without_losing_a_link(docs_of, monkeypatch):
+    monkeypatch.setattr(nd, "MEETING", 2)
+    rows = cases()
+    assert sorted(map(tuple, nd.near_duplicates(docs_of(rows)).drop("text_hash").collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 75, 100])
+def test_sets_that_can_be_alike_have_neighbouring_levels(spark, percent):
+    pairs = spark.range(1, 400).withColumn("m", F.explode(F.sequence("id", F.floor(F.col("id") * 100 / percent))))
+    off = pairs.where(F.abs(nd.size_level(F.col("id"), percent) - nd.size_level(F.col("m"), percent)) > 1)
+    assert off.count() == 0
+
+
+def test_rounds_leave_one_written_table(spark):
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("cut-*"))
+    roots = nd.components(spark.range(1, 45).select("id"), spark.createDataFrame([(i, i + 1) for i in range(1, 44)], "u long, v long"))
+    assert len(set(folder.glob("cut-*")) - before) == 1
+    assert {r.root for r in roots.collect()} == {1}
