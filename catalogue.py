@@ -473,8 +473,11 @@ def bin_ribbon_counts(n: Network) -> DataFrame:
 @query
 def segment_ribbons(n: Network) -> DataFrame:
     """The ring around the line of each segment, vertex by vertex."""
-    rings = geo.ribbon(n.lines.select("fk_veld1", "geom"), "geom", 15.0)
-    return rings.select("fk_veld1", F.posexplode("polygon").alias("pos", "v")).select(
+    # lines are small next to the work on their vertices: few splits of a file would be few tasks
+    lines = n.lines.select("fk_veld1", "geom").repartition(F.xxhash64("fk_veld1", "geom"))
+    rings = geo.ribbon(lines, "geom", 15.0)
+    # no ring is empty; `posexplode` would have each computed three times, to leave out empty ones
+    return rings.select("fk_veld1", F.posexplode_outer("polygon").alias("pos", "v")).select(
         "fk_veld1", "pos", r("v.x", 7).alias("lon"), r("v.y", 7).alias("lat"))
 
 

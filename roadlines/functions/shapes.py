@@ -228,9 +228,10 @@ def _centroid(edge_list: str, first: str) -> str:
 
 
 def envelope(g: str) -> str:
-    xs, ys = f"transform({g}, _v -> _v.x)", f"transform({g}, _v -> _v.y)"
-    return (f"CASE WHEN {g} IS NOT NULL THEN named_struct('xmin', array_min({xs}), 'ymin', array_min({ys}), "
-            f"'xmax', array_max({xs}), 'ymax', array_max({ys})) END")
+    xs, ys = "transform(_g, _v -> _v.x)", "transform(_g, _v -> _v.y)"
+    box = (f"CASE WHEN _g IS NOT NULL THEN named_struct('xmin', array_min({xs}), 'ymin', array_min({ys}), "
+           f"'xmax', array_max({xs}), 'ymax', array_max({ys})) END")
+    return let(g, "_g", box)
 
 
 def finite(v: str) -> str:
@@ -258,13 +259,19 @@ def _polynomial(terms: tuple[tuple[int, int, float], ...], u: str, v: str) -> st
     return _nested({p: _nested(inner, v) for p, inner in by_power.items()}, u)
 
 
-def rd_point_to_wgs84(x: str, y: str) -> str:
-    """struct(x = longitude, y = latitude); NULL in, NULL out."""
-    dx = f"(({x} - {pr.RD_ORIGIN[0]}D) * 1e-5D)"
-    dy = f"(({y} - {pr.RD_ORIGIN[1]}D) * 1e-5D)"
+def _rd_offsets(x: str, y: str) -> tuple[str, str]:
+    return f"(({x} - {pr.RD_ORIGIN[0]}D) * 1e-5D)", f"(({y} - {pr.RD_ORIGIN[1]}D) * 1e-5D)"
+
+
+def _degrees(dx: str, dy: str) -> str:
     lon = f"{pr.WGS_ORIGIN[1]!r}D + {_polynomial(pr.LON_TERMS, dx, dy)} / 3600D"
     lat = f"{pr.WGS_ORIGIN[0]!r}D + {_polynomial(pr.LAT_TERMS, dx, dy)} / 3600D"
-    return f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {point(lon, lat)} END"
+    return point(lon, lat)
+
+
+def rd_point_to_wgs84(x: str, y: str) -> str:
+    """struct(x = longitude, y = latitude); NULL in, NULL out."""
+    return f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {_degrees(*_rd_offsets(x, y))} END"
 
 
 def wgs84_point_to_rd(lon: str, lat: str) -> str:
@@ -276,7 +283,9 @@ def wgs84_point_to_rd(lon: str, lat: str) -> str:
 
 
 def rd_to_wgs84(g: str) -> str:
-    return f"transform({g}, _v -> {rd_point_to_wgs84('_v.x', '_v.y')})"
+    # the offsets are bound: the polynomials name them some eighty times
+    offsets = f"transform({g}, _v -> {point(*_rd_offsets('_v.x', '_v.y'))})"
+    return f"transform({offsets}, _o -> CASE WHEN _o.x IS NOT NULL AND _o.y IS NOT NULL THEN {_degrees('_o.x', '_o.y')} END)"
 
 
 def wgs84_to_rd(g: str) -> str:
@@ -327,14 +336,17 @@ def geometry_type(g: str, kind: str = "line") -> str:
 def ribbon(g: str, half_width: float) -> str:
     """Ring around an RD line: left side, right side back, closed; vertices move along the mean
     normal of the adjoining edges."""
-    before, after = f"get({g}, greatest(_i - 1, 0))", f"get({g}, least(_i + 1, size({g}) - 1))"
-    span = f"nullif({gap(before, after)}, 0D)"
-    nx = f"coalesce((({before}).y - ({after}).y) / {span}, 0D)"
-    ny = f"coalesce((({after}).x - ({before}).x) / {span}, 0D)"
+    # the line, its normals and its sides are bound: each is computed once for a line
+    n = "greatest(size(_l) - 1, 0)"
+    before, after = f"concat(slice(_l, 1, 1), slice(_l, 1, {n}))", f"concat(slice(_l, 2, {n}), slice(_l, -1, 1))"
+    normal = let(f"nullif({gap('_b', '_a')}, 0D)", "_span", point(
+        "coalesce((_b.y - _a.y) / _span, 0D)", "coalesce((_a.x - _b.x) / _span, 0D)"))
+    normals = f"zip_with({before}, {after}, (_b, _a) -> {normal})"
 
     def side(width: float) -> str:
-        moved = point(f"_v.x + ({width}D) * {nx}", f"_v.y + ({width}D) * {ny}")
-        return f"transform({g}, (_v, _i) -> {moved})"
+        moved = point(f"_v.x + ({width}D) * _u.x", f"_v.y + ({width}D) * _u.y")
+        return f"zip_with(_l, _n, (_v, _u) -> {moved})"
 
-    left, right = side(half_width), f"reverse({side(-half_width)})"
-    return f"concat({left}, {right}, slice({left}, 1, 1))"
+    sides = let(normals, "_n", f"named_struct('left', {side(half_width)}, 'right', {side(-half_width)})")
+    ring = let(sides, "_w", "concat(_w.left, reverse(_w.right), slice(_w.left, 1, 1))")
+    return let(g, "_l", ring)
