@@ -116,7 +116,7 @@ class Network:
 
     @cached_property
     def stored_bins(self) -> DataFrame:
-        """Drawn bins of all sizes: those that measures, classes and selections are about."""
+        """Drawn bins of all sizes: those that classes, selections and most measures are about."""
         return self.flagged_bins.where("is_drawn")
 
     @cached_property
@@ -692,7 +692,7 @@ def class_table(n: Network) -> DataFrame:
 
 @query
 def bar_heights(n: Network) -> DataFrame:
-    by_density = cl.bar_height(n.stored_bins).withColumnRenamed("height_pct", "height_density")
+    by_density = cl.bar_height(cut(n.sized_bins)).withColumnRenamed("height_pct", "height_density")
     both = cl.bar_height(by_density, "accidents").withColumnRenamed("height_pct", "height_count")
     return both.select("bin_id", r("height_density").alias("height_density"),
                        r("height_count").alias("height_count"))

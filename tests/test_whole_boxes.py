@@ -45,3 +45,14 @@ def test_ribbons_of_segments_are_drawn_once(spark):
     got = {(r.fk_veld1, r.pos): (r.m.x, r.m.y) for r in back.collect()}
     assert got.keys() == want.keys()
     assert all(math.dist(got[k], want[k]) < 1 for k in want)
+
+
+def test_bars_of_all_bins(spark):
+    class Bins(catalogue.Network):
+        flagged_bins = spark.createDataFrame(
+            [("a", "A2", 5, 1, 2.0, True), ("b", "A2", 5, 4, 8.0, False), ("c", "A2", 5, 0, 0.0, False)],
+            "bin_id string, road_number string, bin_size_km int, accident_count long, density_per_km_year double, is_drawn boolean")
+        sized_bins = flagged_bins.drop("is_drawn")
+
+    got = {r.bin_id: (r.height_density, r.height_count) for r in catalogue.bar_heights(Bins(spark, "")).collect()}
+    assert got == {"a": (25.0, 25.0), "b": (100.0, 100.0), "c": (0.0, 0.0)}
