@@ -58,10 +58,14 @@ def bbox(df: DataFrame, geom: str = "geom_wgs84", by: Sequence[str] = ()) -> Dat
     if "geom_parts" in df.columns and geom in ("geom_rd", "geom_wgs84"):
         parts = sh.parts_to_wgs84("geom_parts") if geom == "geom_wgs84" else "geom_parts"
         box = F.coalesce(box, geo.parts_envelope(parts))
-    boxed = df.select(*by, box.alias("box")).where(F.col("box").isNotNull())
+    boxed = df.select(*by, box.alias("box"))
     edges = [F.min("box.xmin").alias("xmin"), F.min("box.ymin").alias("ymin"),
              F.max("box.xmax").alias("xmax"), F.max("box.ymax").alias("ymax")]
-    return boxed.groupBy(*by).agg(*edges) if by else boxed.agg(*edges)
+    if not by:
+        return boxed.agg(*edges)
+    # groups without a box go after they are summed up: a filter of rows would be moved down to the scan,
+    # which would draw each line there once more for every edge of its box
+    return boxed.groupBy(*by).agg(*edges, F.count("box").alias("_boxes")).where(F.col("_boxes") > 0).drop("_boxes")
 
 
 def road_bbox(roads: DataFrame, intervals: DataFrame, road: str | None = None) -> DataFrame:

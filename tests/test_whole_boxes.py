@@ -47,6 +47,17 @@ def test_ribbons_of_segments_are_drawn_once(spark):
     assert all(math.dist(got[k], want[k]) < 1 for k in want)
 
 
+def test_boxes_leave_lines_to_the_sums(spark):
+    rows = [("A1", *LINES[0]), ("A1", *LINES[4]), ("A2", *LINES[3])]
+    made = spark.createDataFrame(rows, f"road string, id string, g {LINE_TYPE}").repartition(2)
+    boxes = stats.bbox(made.withColumn("geom_wgs84", geo.rd_to_wgs84("g")), by=["road"])
+    assert not any("transform(" in line for line in filters(boxes))
+    (box,) = boxes.collect()  # a road without a line has no box
+    assert box.road == "A1" and boxes.columns == ["road", "xmin", "ymin", "xmax", "ymax"]
+    assert abs(box.xmin - 5.387206) < 1e-4 and box.xmin < box.xmax and box.ymin < box.ymax
+    assert stats.bbox(made.where("road = 'A2'").withColumn("geom_wgs84", geo.rd_to_wgs84("g"))).collect() == [(None,) * 4]
+
+
 def test_bars_of_all_bins(spark):
     class Bins(catalogue.Network):
         flagged_bins = spark.createDataFrame(
