@@ -27,6 +27,7 @@ MEETING = 1000  # members of a bucket that another member meets in one place
 PARTS = 64  # parts of the hashes that overlaps are bounded by
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+TEXTS = 256  # texts whose sets are in a worker's memory at a time
 CHUNK = 1 << 14  # shingles that are ranked at a time, so that they stay in the processor's cache
 
 
@@ -115,12 +116,16 @@ def _lists(values: np.ndarray, counts: list[int]) -> pa.Array:
 
 
 def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `s`: the sorted distinct shingle hashes of the whole text, 64 bits each."""
+    """Add `s`: the sorted distinct shingle hashes of the whole text, 64 bits each.
+
+    A few texts at a time are in memory as sets, and go to Spark.
+    """
     @F.arrow_udf("array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sets = [shingle_set((x.as_py() or "").encode()) for x in batch]
-            yield _lists(np.concatenate([*sets, np.zeros(0, np.uint64)]), [len(s) for s in sets])
+            for i in range(0, len(batch), TEXTS):
+                sets = [shingle_set((x.as_py() or "").encode()) for x in batch[i:i + TEXTS]]
+                yield _lists(np.concatenate(sets), [len(s) for s in sets])
 
     return docs.withColumn("s", run(F.col(text)))
 
@@ -129,19 +134,22 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add `sig`: (n, a, b, bands): set size, 128-bit digest of the set, band keys (none if empty)."""
     kind = "struct<n:bigint,a:bigint,b:bigint,bands:array<bigint>>"
 
+    def signs(sets: list[np.ndarray]) -> pa.StructArray:
+        full = [s for s in sets if len(s)]
+        bands = iter(band_keys(signatures(full))) if full else iter(())
+        rows = [next(bands) if len(s) else s for s in sets]
+        digest = lambda c: pa.array(np.array(
+            [np.add.reduce(_mix(s ^ np.uint64(c))) for s in sets], np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([
+            pa.array([len(s) for s in sets], pa.int64()), digest(0x452821E638D01377), digest(0x13198A2E03707344),
+            _lists(np.concatenate(rows), [len(r) for r in rows])],
+            ["n", "a", "b", "bands"])
+
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sets = [shingle_set((x.as_py() or "").encode()) for x in batch]
-            full = [s for s in sets if len(s)]
-            bands = iter(band_keys(signatures(full))) if full else iter(())
-            rows = [next(bands) if len(s) else s for s in sets]
-            digest = lambda c: pa.array(np.array(
-                [np.add.reduce(_mix(s ^ np.uint64(c))) for s in sets], np.uint64).view(np.int64))
-            yield pa.StructArray.from_arrays([
-                pa.array([len(s) for s in sets], pa.int64()), digest(0x452821E638D01377), digest(0x13198A2E03707344),
-                _lists(np.concatenate([*rows, np.zeros(0, np.uint64)]), [len(r) for r in rows])],
-                ["n", "a", "b", "bands"])
+            for i in range(0, len(batch), TEXTS):
+                yield signs([shingle_set((x.as_py() or "").encode()) for x in batch[i:i + TEXTS]])
 
     return docs.withColumn("sig", run(F.col(text)))
 
