@@ -8,7 +8,6 @@ backward sums give each piece's expected count.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,26 +27,87 @@ ROUNDS = 3
 SMOOTHING = 0.05
 UNKNOWN = 1e-7  # of a character that no piece holds
 SCALE = 50.0  # factor per character, the same for all languages, that keeps products in range
-TEXTS = 64  # whose words are counted at a time
+PLACES = 200_000  # in words, times piece sizes, that are looked at together
+CHARACTERS = 0x110000
+TEXTS = 64  # whose words are looked up at a time
+TOKENS = 4096  # whose scores are added at a time
 CACHED_BYTES = 64_000_000  # of words and scores that a task keeps
 WORD_BYTES = 150  # of a cached word beside its letters and scores
 WORDS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 
 
+class Pieces:
+    """Piece ids by prefix: a node for each prefix of a piece, and the steps from node to node by a character."""
+
+    def __init__(self, pieces: tuple[str, ...]) -> None:
+        nodes = {"": 0}
+        for piece in pieces:
+            for size in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:size], len(nodes))
+        steps = np.array([nodes[p[:-1]] * CHARACTERS + ord(p[-1]) for p in nodes if p], np.int64)
+        order = np.argsort(steps)
+        self.steps = np.append(steps[order], np.iinfo(np.int64).max)  # no step is beyond the last
+        self.ends = np.append(order + 1, 0)
+        self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.ids = np.full(len(nodes), self.none, np.int64)
+        self.ids[[nodes[p] for p in pieces]] = range(len(pieces))
+
+    def __len__(self) -> int:
+        return self.unknown
+
+    def found(self, letters: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size the flat places in `letters` (characters x words) where a piece starts, and its id.
+
+        All words advance together. Single characters that are no piece count as unknown; 0 ends a word.
+        """
+        flat, words = letters.ravel(), letters.shape[1]
+        at = np.flatnonzero(flat)
+        node = np.zeros(len(at), np.int64)
+        for size in range(1, longest + 1):
+            end = at + (size - 1) * words
+            if size > 1:
+                inside = end < len(flat)
+                at, node, end = at[inside], node[inside], end[inside]
+            step = node * CHARACTERS + flat[end]
+            place = np.searchsorted(self.steps, step)
+            known = self.steps[place] == step
+            if size == 1:
+                ids = self.ids[np.where(known, self.ends[place], 0)]
+                yield size, at, np.where(ids == self.none, self.unknown, ids)
+            at, node = at[known], self.ends[place[known]]
+            if size > 1:
+                ids = self.ids[node]
+                yield size, at[ids != self.none], ids[ids != self.none]
+            if not len(at):
+                return
+
+
+class Numbers(dict[str, int]):
+    """Words numbered in the order in which they are first asked for; `fresh` holds those not scored yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
     pieces: tuple[str, ...]
     probabilities: np.ndarray  # pieces x languages
 
-    def table(self) -> tuple[dict[str, int], np.ndarray, int]:
+    def table(self) -> tuple[Pieces, np.ndarray, int]:
         """Piece ids, and probabilities with a row for unknown characters and one for no piece."""
         sizes = np.array([len(p) for p in self.pieces], float)
         scaled = self.probabilities * (SCALE ** sizes)[:, None]
         rest = np.array([[UNKNOWN * SCALE], [0.0]]) * np.ones((1, scaled.shape[1]))
-        return ({p: i for i, p in enumerate(self.pieces)}, np.vstack([scaled, rest]),
-                max(map(len, self.pieces), default=1))
+        return Pieces(self.pieces), np.vstack([scaled, rest]), max(map(len, self.pieces), default=1)
 
 
 def vocabulary_pieces(model_file: str) -> tuple[str, ...]:
@@ -63,62 +123,75 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def piece_ids(words: list[str], ids: dict[str, int], longest: int) -> np.ndarray:
+def letters_of(words: list[str]) -> np.ndarray:
+    """letters[i, w]: code points of words in columns, filled up with 0."""
+    n = max(map(len, words))
+    joined = "".join(w.ljust(n, "\0") for w in words).encode("utf-32-le", "surrogatepass")
+    return np.ascontiguousarray(np.frombuffer(joined, np.uint32).reshape(len(words), n).T).astype(np.int64)
+
+
+def piece_ids(words: list[str], ids: Pieces, longest: int) -> np.ndarray:
     """ids[w, start, size - 1] for words of one length; unknown single characters have their own id."""
-    n, none, unknown = len(words[0]), len(ids) + 1, len(ids)
-    out = np.full((len(words), n, longest), none, np.int32)
-    for w, word in enumerate(words):
-        row = out[w]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = ids.get(word[i:j])
-                if p is not None:
-                    row[i, j - i - 1] = p
-            if row[i, 0] == none:
-                row[i, 0] = unknown
+    out = np.full((len(words), len(words[0]), longest), ids.none, np.int32)
+    for size, at, found in ids.found(letters_of(words), longest):
+        start, w = np.divmod(at, len(words))
+        out[w, start, size - 1] = found
     return out
 
 
-def forward(found: np.ndarray, table: np.ndarray) -> np.ndarray:
+def forward(letters: np.ndarray, sizes: np.ndarray, ids: Pieces, table: np.ndarray, longest: int) -> np.ndarray:
     """Log of the sum over all segmentations of each word, by language, times SCALE per character.
 
-    alpha[j] sums the segmentations of the first j characters. What the next sums look back to is
-    rescaled now and then, for each language on its own, so that very long words don't underflow.
+    Words stand in the columns of `letters`, the longest first. alpha[j] sums the segmentations of the
+    first j characters; only pieces that stand there are looked at, those of some columns of characters
+    at a time. What the next sums look back to is rescaled now and then, for each language on its own,
+    so that very long words don't underflow.
     """
-    w, n, longest = found.shape
+    n, w = letters.shape
     alpha = np.zeros((n + 1, w, table.shape[1]))
     alpha[0] = 1.0
+    sums = alpha.reshape((n + 1) * w, -1)
     logs = np.zeros((w, table.shape[1]))
-    none = len(table) - 1
-    for j in range(1, n + 1):
-        least = max(0, j - longest)
-        if j % longest == 0:
-            top = np.maximum(alpha[least:j].max(axis=0), 1e-300)
-            alpha[least:j] /= top
-            logs += np.log(top)
-        for i in range(least, j):
-            at = found[:, i, j - i - 1]
-            if (at != none).any():
-                alpha[j] += alpha[i] * table[at]
-    return np.log(np.maximum(alpha[n], 1e-300)) + logs
-
-
-def score_words(words: list[str], ids: dict[str, int], table: np.ndarray, longest: int) -> np.ndarray:
+    columns = max(1, PLACES // (w * longest))
+    for first in range(0, n, columns):
+        last, back = min(n, first + columns), max(0, first + 1 - longest)
+        # larger pieces first, as they start before the others that end at the same place
+        found = [(size, at + back * w, piece) for size, at, piece in ids.found(letters[back:last], longest)][::-1]
+        starts, pieces = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+        ends = np.concatenate([at + size * w for size, at, _ in found])
+        order = np.argsort(ends, kind="stable")
+        order = order[np.searchsorted(ends, (first + 1) * w, sorter=order):]
+        starts, ends, pieces = starts[order], ends[order], pieces[order]
+        groups = np.flatnonzero(np.diff(ends, prepend=-1))  # every place in a word has a piece that ends there
+        bounds = np.searchsorted(ends[groups], np.arange(first + 1, last + 2) * w).tolist()
+        groups = np.append(groups, len(ends))
+        for j, low, high in zip(range(first + 1, last + 1), bounds, bounds[1:], strict=False):
+            active = high - low
+            if j % longest == 0:
+                near = alpha[max(0, j - longest):j, :active]
+                top = np.maximum(near.max(axis=0), 1e-300)
+                near /= top
+                logs[:active] += np.log(top)
+            s, e = groups[low], groups[high]
+            alpha[j, :active] = np.add.reduceat(sums[starts[s:e]] * table[pieces[s:e]], groups[low:high] - s, axis=0)
+    return np.log(np.maximum(alpha[sizes, np.arange(w)], 1e-300)) + logs
+
+
+def score_words(words: list[str], ids: Pieces, table: np.ndarray, longest: int) -> np.ndarray:
     """Log-likelihood of each word under each language."""
     out = np.empty((len(words), table.shape[1]))
-    by_size: dict[int, list[int]] = {}
-    for k, word in enumerate(words):
-        by_size.setdefault(len(word) + 1, []).append(k)
-    for n, places in by_size.items():
-        step = max(1, 200_000 // (n * longest))
-        for s in range(0, len(places), step):
-            part = places[s:s + step]
-            found = piece_ids(["▁" + words[k] for k in part], ids, longest)
-            out[part] = forward(found, table) - n * np.log(SCALE)
+    order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+    s = 0
+    while s < len(order):
+        part = order[s:s + max(1, PLACES // ((len(words[order[s]]) + 1) * longest))]
+        sizes = np.array([len(words[k]) + 1 for k in part])
+        found = forward(letters_of(["▁" + words[k] for k in part]), sizes, ids, table, longest)
+        out[part] = found - sizes[:, None] * np.log(SCALE)
+        s += len(part)
     return out
 
 
-def expected_counts(words: list[str], counts: np.ndarray, ids: dict[str, int], column: np.ndarray,
+def expected_counts(words: list[str], counts: np.ndarray, ids: Pieces, column: np.ndarray,
                     longest: int) -> np.ndarray:
     """Expected number of each piece in words that occur `counts` times, for one language."""
     total = np.zeros(len(column))
@@ -126,7 +199,7 @@ def expected_counts(words: list[str], counts: np.ndarray, ids: dict[str, int], c
     for k, word in enumerate(words):
         by_size.setdefault(len(word) + 1, []).append(k)
     for n, places in by_size.items():
-        step = max(1, 200_000 // (n * longest))
+        step = max(1, PLACES // (n * longest))
         for s in range(0, len(places), step):
             part = places[s:s + step]
             found = piece_ids(["▁" + words[k] for k in part], ids, longest)
@@ -212,28 +285,26 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids, table, longest = held.value.table()
         languages = held.value.languages
-        known: dict[str, int] = {}
-        scores = np.zeros((0, len(languages)))
+        known, scores = Numbers(), np.zeros((0, len(languages)))
         held_bytes = 0
         for batch in batches:
             totals: list[np.ndarray | None] = []
             for s in range(0, len(batch), TEXTS):
-                # word counts of a few texts at a time: those of a whole batch would fill the memory
-                part = [Counter(words_of(x.as_py())) if languages else Counter() for x in batch[s:s + TEXTS]]
-                fresh = list({w for c in part for w in c if w not in known})
-                held_bytes += sum(map(len, fresh)) + (8 * len(languages) + WORD_BYTES) * len(fresh)
+                # words of a few texts at a time: those of a whole batch would fill the memory
                 if held_bytes > CACHED_BYTES:
-                    known, scores = {}, np.zeros((0, len(languages)))
-                    fresh = list({w for c in part for w in c})
-                    held_bytes = sum(map(len, fresh)) + (8 * len(languages) + WORD_BYTES) * len(fresh)
+                    known, scores, held_bytes = Numbers(), np.zeros((0, len(languages))), 0
+                part = [[known[w] for w in words_of(x.as_py())] if languages else [] for x in batch[s:s + TEXTS]]
+                fresh, known.fresh = known.fresh, []
                 if fresh:
-                    known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-                    room = np.empty((max(len(known), len(scores)) if len(known) <= len(scores) else 2 * len(known), len(languages)))
-                    room[: len(scores)] = scores
-                    scores = room
+                    held_bytes += sum(map(len, fresh)) + (8 * len(languages) + WORD_BYTES) * len(fresh)
+                    if len(known) > len(scores):
+                        room = np.empty((2 * len(known), len(languages)))
+                        room[: len(scores)] = scores
+                        scores = room
                     scores[len(known) - len(fresh): len(known)] = score_words(fresh, ids, table, longest)
-                for c in part:
-                    totals.append(np.array(list(c.values()), float) @ scores[[known[w] for w in c]] if c else None)
+                for numbers in part:
+                    totals.append(sum(scores[numbers[t:t + TOKENS]].sum(axis=0) for t in range(0, len(numbers), TOKENS))
+                                  if numbers else None)
             langs, best = [], []
             for logs in totals:
                 if logs is None:
